@@ -100,7 +100,7 @@ def tokenizers_classes() -> tuple[frozenset[int], frozenset[int]]:
 
     def members(kind: str, joins: str) -> frozenset[int]:
         # What a newer Unicode leaves unassigned no older one has as a letter or number.
-        known = [*map(ord, regex.findall(rf"[\p{{{kind}}}\p{{Cn}}\p{{M}}\p{{So}}]", EVERY))]
+        known = [*map(ord, regex.findall(rf"[\p{{{kind}}}\p{{M}}\p{{So}}]", EVERY))]
         found = set()
         for at in range(0, len(known), 4096):
             part = known[at : at + 4096]
