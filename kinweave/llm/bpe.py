@@ -18,7 +18,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .base import pieces
+from .base import pieces, ship
 from .pretokens import Splitter, tiktoken_classes
 
 #: Pre-tokens that a worker remembers in each of two generations; it bounds memory and changes time alone.
@@ -169,6 +169,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     A null text counts as empty: 0 tokens and the digests of no bytes. Texts are encoded whole, rows are independent, so
     ties, repeats and an empty table need no rule of their own. Other columns of docs are not read, whatever their names.
     """
+    ship(docs.sparkSession)
     fields = [f for f in docs.schema.fields if f.name in keep]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}", "n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"] + ["token_ids array<int>"] * with_ids)
 
@@ -201,6 +202,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
     """Texts (id, text) of arrays of ids; null stays null. Bytes that are no UTF-8, as of a cut array, become U+FFFD."""
 
+    ship(rows.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token_of = coder(path).bytes_of
         for batch in pieces(batches):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .base import table
+from .base import shared_dir, table
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +23,35 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import crc_is, identify
+
+    return identify(table(spark, sf_dir, "documents"), crc_is(2)).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive
+
+    path = f"{shared_dir(spark)}/kinweave-warc-{uuid.uuid4().hex}"
+    return archive(table(spark, sf_dir, "pages"), path).drop("target_uri")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op8_token_counts": op8_token_counts,
+    "op1_language_id": op1_language_id,
+    "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS newest FROM p),
+        g AS (SELECT *, list_transform(range(8), lambda k: ('0x' || substr(h, (k * 5 + 1)::INT, 5))::BIGINT) AS fives FROM d)
+        SELECT page_id, payload_bytes,
+            list_aggregate(flatten(list_transform(fives, lambda v: list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31)::INT + 1, 1)))), 'string_agg', '') AS payload_digest,
+            CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> newest THEN newest END AS refers_to
+        FROM g
+    """,
+}

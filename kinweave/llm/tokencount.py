@@ -15,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .base import pieces
+from .base import pieces, ship
 from .bpe import Coder, Memory
 from .pretokens import Splitter, tokenizers_classes
 
@@ -87,6 +87,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
     one; other columns of docs are not read, whatever their names.
     """
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
         for batch in pieces(batches):
