@@ -36,11 +36,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages"), path).drop("target_uri")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op8_token_counts": op8_token_counts,
     "op1_language_id": op1_language_id,
     "op10_warc": op10_warc,
+    "op4_decontamination": op4_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -54,4 +61,18 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN page_id <> newest THEN newest END AS refers_to
         FROM g
     """,
+    "op4_decontamination": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+        i AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
+        ip AS (SELECT item_id, w, least(len(w), 10) AS size, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0),
+        iw AS (SELECT DISTINCT item_id, size, array_to_string(w[s : s + size - 1], ' ') AS win FROM ip),
+        sizes AS (SELECT DISTINCT size FROM iw),
+        dp AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM d, sizes WHERE len(w) >= size),
+        dw AS (SELECT doc_id, size, s, array_to_string(w[s : s + size - 1], ' ') AS win FROM dp),
+        hit AS (SELECT doc_id, s, dw.size, item_id FROM dw JOIN iw USING (win)),
+        hw AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM hit) GROUP BY doc_id),
+        hi AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hit) GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
+    """,
 }
