@@ -5,6 +5,9 @@ SPAN words choose the same smallest hash there, so the join on fingerprints miss
 extended to the spans around it, and those are joined on their very words. Items of fewer words than a span are one gram
 of their own length; all grams of that length are then fingerprints of the documents.
 
+explode_outer() is used throughout: for explode() the optimizer infers a filter on the array's size and, pushing it down,
+writes the fingerprints' expressions out inside one another, which makes them quadratic in a text's length.
+
 Texts stay where they are read: fingerprints meet a broadcast table where the benchmark's size, counted first, allows it.
 Beyond that size documents are first narrowed to those with a matching fingerprint.
 """
@@ -62,9 +65,9 @@ def benchmark_tables(benchmark: DataFrame, id_col: str, text_col: str, span: int
     long_enough = F.col("n_words") >= span
     starts = F.when(long_enough, positions(F.col("n_words"), span)).otherwise(F.array(F.lit(0)))
     length = F.least(F.col("n_words"), F.lit(span))
-    windows = items.select("item", "words", length.alias("length"), F.explode(starts).alias("at")).select(F.array_join(F.slice("words", F.col("at") + 1, F.col("length")), " ").alias("window"), "length", "item").distinct()
+    windows = items.select("item", "words", length.alias("length"), F.explode_outer(starts).alias("at")).select(F.array_join(F.slice("words", F.col("at") + 1, F.col("length")), " ").alias("window"), "length", "item").distinct()
     short = [r[0] for r in items.where(~long_enough).select("n_words").distinct().collect()]
-    prints = with_prints(items.where(long_enough), span, size, []).select(F.explode("prints").alias("p")).select("p.print", "p.length")
+    prints = with_prints(items.where(long_enough), span, size, []).select(F.explode_outer("prints").alias("p")).where("p IS NOT NULL").select("p.print", "p.length")
     whole = items.where(~long_enough).select(gram(F.col("hashes"), F.lit(0), F.col("n_words")).alias("print"), F.col("n_words").alias("length"))
     return cut(windows), cut(prints.union(whole).distinct()), sorted(short)
 
@@ -89,10 +92,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     held = prints.withColumnRenamed("print", "own").withColumnRenamed("length", "own_length").withColumn("found", F.lit(True))
     matches = lambda x: x.join(near(held), (F.col("p.print") == F.col("own")) & (F.col("p.length") == F.col("own_length")), "left").where("found OR p.print IS NULL")
     if not few:
-        narrow = matches(rows.select("id", "text_hash", F.explode("prints").alias("p"))).where("found").groupBy("id", "text_hash").agg(F.collect_set("p").alias("only"))
+        narrow = matches(rows.select("id", "text_hash", F.explode_outer("prints").alias("p"))).where("found").groupBy("id", "text_hash").agg(F.collect_set("p").alias("only"))
         same = [rows["id"].eqNullSafe(narrow["id"]), rows["text_hash"] == narrow["text_hash"]]
         rows = rows.drop("prints").join(narrow, same, "left").select(rows["id"], rows["text_hash"], "words", "n_words", "hashes", F.coalesce("only", F.array().cast("array<struct<print:bigint,length:int>>")).alias("prints"))
-    found = matches(rows.select("id", "text_hash", "words", "n_words", "hashes", F.explode(F.concat("prints", marker)).alias("p")))
+    found = matches(rows.select("id", "text_hash", "words", "n_words", "hashes", F.explode_outer(F.concat("prints", marker)).alias("p")))
     found = found.select("id", "text_hash", "n_words", "words", "hashes", F.col("p.print").alias("print"), F.col("p.length").alias("length"))
     # Where a fingerprint's gram stands, the spans around it may begin.
     length, n = F.col("length"), F.col("n_words")
@@ -100,7 +103,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     places = F.filter(positions(n, sized), lambda i: gram(F.col("hashes"), i, sized) == F.col("print"))
     around = F.transform(places, lambda i: F.sequence(F.greatest(i - (length - sized), F.lit(0)), F.least(i, n - length)))
     starts = F.when(F.col("print").isNull(), F.array(F.lit(-1))).otherwise(F.array_distinct(F.flatten(F.filter(around, lambda x: F.size(x) > 0))))
-    found = found.where("print IS NULL OR n_words >= length").select("id", "text_hash", "n_words", "words", "length", F.explode(starts).alias("at"))
+    found = found.where("print IS NULL OR n_words >= length").select("id", "text_hash", "n_words", "words", "length", F.explode_outer(starts).alias("at")).where("at IS NOT NULL")
     found = found.select("id", "text_hash", "n_words", "at", "length", F.when(F.col("at") >= 0, F.array_join(F.slice("words", F.col("at") + 1, F.greatest("length", F.lit(1))), " ")).alias("window"))
     there = windows.select("window").distinct().withColumn("hit", F.lit(True))
     hits = cut(found.join(near(there), "window", "left").where("hit OR at < 0").select("id", "text_hash", "n_words", "at", "length", "window"))
