@@ -22,10 +22,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
 
-from .base import ship
+from .base import cut, ship
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
+#: Shared payloads up to which their table is broadcast.
+BROADCAST_SHARED = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Column of the source: the header that it holds.
 HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "date": "warc-date", "target_uri": "warc-target-uri", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to", "content_type": "content-type"}
@@ -53,8 +55,10 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
     # Partial aggregation meets a payload that many rows share before the shuffle; only shared ones are joined.
-    shared = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.max("id").alias("newest"), F.count("*").alias("n")).where("n > 1 AND newest IS NOT NULL").drop("n")
-    joined = rows.join(shared, ["payload_digest", "payload_bytes"], "left")
+    shared = cut(rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.max("id").alias("newest"), F.count("*").alias("n")).where("n > 1 AND newest IS NOT NULL").drop("n"))
+    # Payloads are shuffled only where more are shared than a broadcast of some 20 MB holds.
+    near = F.broadcast if shared.count() <= BROADCAST_SHARED else lambda x: x
+    joined = rows.join(near(shared), ["payload_digest", "payload_bytes"], "left")
     older = F.col("newest").isNotNull() & ~F.col("id").eqNullSafe(F.col("newest"))
     return joined.select("id", "url", "payload", "payload_bytes", "payload_digest", F.when(older, F.col("newest")).alias("refers_to"))
 
