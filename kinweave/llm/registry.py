@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .base import shared_dir, table
 
@@ -48,11 +49,18 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op8_token_counts": op8_token_counts,
     "op1_language_id": op1_language_id,
     "op10_warc": op10_warc,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op2_near_duplicates": op2_near_duplicates,
     "op4_decontamination": op4_decontamination,
 }
