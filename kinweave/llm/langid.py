@@ -195,7 +195,7 @@ def identify(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
                 flush()
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([g or "und" for g in lang], pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score", "bits_per_byte"])
 
-    wanted = docs.select(*keep, id_col, F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), text_col)
+    wanted = docs.select(*keep, id_col, F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).alias("text to score"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields[:-1])
     return wanted.mapInArrow(run, f"{schema}, lang_pred string, score double, bits_per_byte double")
 

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .base import shared_dir, table
 
+#: Batches in which documents arrive at the sharded store.
+ARRIVALS = 12
+
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_decode
@@ -55,11 +58,36 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    arrival = F.coalesce(F.pmod("doc_id", F.lit(ARRIVALS)), F.lit(0))
+    docs = table(spark, sf_dir, "documents").withColumn("arrival", arrival)
+    rows = shard(docs, f"{shared_dir(spark)}/kinweave-shards-{uuid.uuid4().hex}", F.col("arrival"))
+    text = F.coalesce("text", F.lit(""))
+    return rows.select("doc_id", "lang", "source", "n_chars", "arrival", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import pseudo_likelihood
+
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import scan_licences
+
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op8_token_counts": op8_token_counts,
     "op1_language_id": op1_language_id,
     "op10_warc": op10_warc,
+    "op3_sharding": op3_sharding,
+    "op7_lm_scoring": op7_lm_scoring,
+    "op9_licences": op9_licences,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op2_near_duplicates": op2_near_duplicates,
     "op4_decontamination": op4_decontamination,
@@ -90,4 +118,8 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
     """,
+    "op3_sharding": """
+        SELECT doc_id, lang, source, n_chars, coalesce(doc_id % 12, 0)::BIGINT AS arrival, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents
+    """,
 }
