@@ -1,4 +1,622 @@
-"""Queries over the test tables, one for each operator, and their SQL."""
+"""Queries over the test tables, one or more for each operator, and the SQL that their results are held to.
 
-QUERIES: dict = {}
+Every query runs over its whole tables and whole texts. Operators without SQL (string similarities other than
+Jaro-Winkler, hashes that DuckDB lacks, trained scorers) are tested against brute force in tests/.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kinweave.functions import similarity as sim
+from kinweave.functions import text as T
+from kinweave.operators import blocking as B
+from kinweave.operators import contract, evaluation, features, regions, scorer, selection, splits
+from kinweave.session import scratch_dir
+from kinweave.sources import tables
+
+from . import worlds as W
+from .worlds import EDGES, RECORDS, VECTORS, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def six(c) -> F.Column:
+    return F.round(c, 6)
+
+
+# Sources, normalisation, keys
+
+
+@query(f"WITH {RECORDS} SELECT id AS entity_id, business_name, business_address, country FROM rec")
+def tsv_roundtrip(spark, d):
+    path = scratch_dir(spark)
+    tables.write_tsv(W.records(spark, d).select(F.col("id").alias("entity_id"), "business_name", "business_address", "country"), path)
+    return tables.read_tsv(spark, path)
+
+
+@query(f"SELECT doc_id, md5({W.sql_norm('text')}) AS digest, length({W.sql_norm('text')})::BIGINT AS n FROM documents")
+def norm_basic(spark, d):
+    own = T.norm_latin("text")
+    return table(spark, d, "documents").select("doc_id", F.md5(own).alias("digest"), F.length(own).cast("long").alias("n"))
+
+
+@query(f"SELECT doc_id, md5({W.sql_norm('strip_accents(text)')}) AS digest FROM documents")
+def norm_full(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.norm("text").alias("x")).select("doc_id", F.md5("x").alias("digest"))
+
+
+@query(f"WITH {RECORDS} SELECT id, name, addr, {W.sql_core('name')} AS core FROM rec")
+def core_name(spark, d):
+    return W.records(spark, d).select("id", "name", "addr", T.core_name("name").alias("core"))
+
+
+NAME_KEY = f"CASE WHEN length({W.sql_core('name', '')}) >= 3 THEN {W.sql_core('name', '')} || '|' || array_to_string(string_split(addr, ' ')[-2:], ' ') ELSE '' END"
+ADDR_KEY = f"CASE WHEN length({W.sql_squeeze('regexp_replace(addr, $$[^a-z0-9 ]$$, $$ $$, $$g$$)')}) >= 12 THEN {W.sql_squeeze('regexp_replace(addr, $$[^a-z0-9 ]$$, $$ $$, $$g$$)')} ELSE '' END"
+
+
+@query(f"WITH {RECORDS} SELECT id, {NAME_KEY} AS key FROM rec")
+def name_key(spark, d):
+    return W.records(spark, d).select("id", T.name_key("name", "addr").alias("key"))
+
+
+@query(f"WITH {RECORDS} SELECT id, {ADDR_KEY} AS key FROM rec")
+def addr_key(spark, d):
+    return W.records(spark, d).select("id", T.addr_key("addr").alias("key"))
+
+
+@query("SELECT o_custkey::VARCHAR AS s1, unnest(string_split(string_agg(o_orderkey::VARCHAR, ','), ',')) AS m FROM orders GROUP BY o_custkey")
+def pair_explode(spark, d):
+    listed = table(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("source1_entity_id")).agg(F.array_join(F.collect_list(F.col("o_orderkey").cast("string")), ",").alias("matched_entity_ids"))
+    return tables.explode_truth(listed)
+
+
+@query("SELECT page_id, len(list_distinct(list_filter(string_split(url, '/'), lambda x: x <> '')))::BIGINT AS parts, array_to_string(list_distinct(regexp_extract_all(url, '\\d+')).list_sort(), ',') AS numbers FROM pages")
+def url_tokens(spark, d):
+    url = F.replace(F.col("url"), F.lit("/"), F.lit(" "))
+    return table(spark, d, "pages").select("page_id", F.size(T.tokens(url)).cast("long").alias("parts"), F.array_join(F.array_sort(T.numbers("url")), ",").alias("numbers"))
+
+
+# Key lists
+
+KEYED = f"WITH {RECORDS}, a AS (SELECT country, id, {{key}} AS key FROM s1), b AS (SELECT country, id, {{key}} AS key, count(*) OVER (PARTITION BY country, {{key}}) AS n FROM rr) SELECT a.country, a.id AS s1, b.id AS r FROM a JOIN b ON a.country = b.country AND a.key = b.key WHERE a.key <> '' AND b.n <= 30"
+
+
+def _keyed(spark, d) -> tuple[DataFrame, DataFrame]:
+    return W.sides(W.records(spark, d).withColumns({"name_key": T.name_key("name", "addr"), "addr_key": T.addr_key("addr"), "core": T.core_name("name")}))
+
+
+@query(KEYED.replace("{key}", NAME_KEY))
+def capped_key_join_name(spark, d):
+    return B.capped_pairs(*_keyed(spark, d), "name_key")
+
+
+@query(KEYED.replace("{key}", ADDR_KEY))
+def capped_key_join_addr(spark, d):
+    return B.capped_pairs(*_keyed(spark, d), "addr_key")
+
+
+@query(f"""
+    WITH {RECORDS}, a AS (SELECT country, id, addr, {W.sql_core('name')} AS key FROM s1), b AS (SELECT country, id, addr, {W.sql_core('name')} AS key, count(*) OVER (PARTITION BY country, {W.sql_core('name')}) AS n FROM rr),
+    k AS (SELECT a.country, a.id AS s1, b.id AS r, a.addr AS x, b.addr AS y FROM a JOIN b ON a.country = b.country AND a.key = b.key WHERE a.key <> '' AND b.n <= 30),
+    f AS (SELECT *, list_distinct(regexp_extract_all(x, '\\d+')) AS nx, list_distinct(regexp_extract_all(y, '\\d+')) AS ny, list_filter(list_distinct(string_split(x, ' ')), lambda t: t <> '') AS tx, list_filter(list_distinct(string_split(y, ' ')), lambda t: t <> '') AS ty FROM k),
+    g AS (SELECT country, s1, r, CASE WHEN len(nx) + len(ny) = 0 THEN -1.0 ELSE len(list_intersect(nx, ny)) / len(list_distinct(list_concat(nx, ny))) END AS num_jacc, round(len(list_intersect(tx, ty)) / len(list_distinct(list_concat(tx, ty))), 6) AS score FROM f)
+    SELECT country, s1, r, round(num_jacc, 6) AS num_jacc, score, count(*) OVER (PARTITION BY country, s1) AS n_cand_s1, count(*) OVER (PARTITION BY country, r) AS n_cand_r,
+        row_number() OVER (PARTITION BY country, s1 ORDER BY score DESC, r)::INTEGER AS score_rank_in_s1, row_number() OVER (PARTITION BY country, r ORDER BY score DESC, s1)::INTEGER AS score_rank_in_r FROM g
+""")
+def key_edges(spark, d):
+    """Edges of the core-name list with features and competition: the slice from records to edges, end to end."""
+    s1, r = _keyed(spark, d)
+    pairs = features.pair_columns(B.capped_pairs(s1, r, "core"), s1, r)
+    x, y = T.tokens("addr_1"), T.tokens("addr_2")
+    jaccard = six(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+    scored = pairs.select("country", "s1", "r", six(features.number_jaccard(F.col("addr_1"), F.col("addr_2"))).alias("num_jacc"), jaccard.alias("score"))
+    return B.competition(scored)
+
+
+# Trigrams
+
+GRAMS = f"""{RECORDS},
+    w AS (SELECT id, country, id LIKE 'S1-%' AS anchor, ' ' || unnest(list_filter(string_split_regex(lower(name || ', ' || addr), '\\s+'), lambda x: x <> '')) || ' ' AS w FROM rec),
+    g AS (SELECT id, country, anchor, substr(w, i::INT, 3) AS gram, count(*) AS tf FROM (SELECT *, unnest(range(1, length(w) - 1)) AS i FROM w) GROUP BY ALL),
+    n AS (SELECT country, count(*) AS n FROM rr GROUP BY country),
+    idf AS (SELECT country, gram, count(*) AS df, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1.0 AS idf FROM g JOIN n USING (country) WHERE NOT anchor GROUP BY country, gram HAVING count(*) >= 2),
+    raw_w AS (SELECT id, country, anchor, gram, (1 + ln(tf)) * idf AS x FROM g JOIN idf USING (country, gram)),
+    wt AS (SELECT id, country, anchor, gram, x / sqrt(sum(x * x) OVER (PARTITION BY country, id)) AS w FROM raw_w),
+    sc AS (SELECT a.country, a.id AS s1, b.id AS r, round(sum(a.w * b.w), 9) AS score FROM wt a JOIN wt b ON a.country = b.country AND a.gram = b.gram WHERE a.anchor AND NOT b.anchor GROUP BY a.country, a.id, b.id)
+"""
+TEXT = T.record_text("name", "addr")
+
+
+def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
+    return W.sides(W.records(spark, d))
+
+
+def _grams(spark, d) -> DataFrame:
+    return B.gram_scores(*_sides(spark, d), TEXT)
+
+
+@query(f"WITH {GRAMS} SELECT country, gram, df, round(idf, 6) AS idf FROM idf")
+def trigram_df(spark, d):
+    _, r = _sides(spark, d)
+    return B.gram_idf(r, B.gram_counts(r, TEXT)).select("country", "gram", "df", six("idf").alias("idf"))
+
+
+@query(f"WITH {GRAMS} SELECT country, id, gram, round(w, 6) AS w FROM wt WHERE anchor")
+def trigram_tfidf_weights(spark, d):
+    s1, r = _sides(spark, d)
+    return B.gram_weights(B.gram_counts(s1, TEXT), B.gram_idf(r, B.gram_counts(r, TEXT))).select("country", "id", "gram", six("w").alias("w"))
+
+
+RANKED = "SELECT country, s1, r, round(score, 6) AS score, rk AS rank FROM (SELECT *, (row_number() OVER (PARTITION BY country, {by} ORDER BY score DESC, {other}) - 1)::INTEGER AS rk FROM sc) WHERE rk < {k}"
+
+
+@query(f"WITH {GRAMS} {RANKED.format(by='s1', other='r', k=B.FORWARD)}")
+def trigram_topk_fwd(spark, d):
+    return B.top(_grams(spark, d), "s1", "r", B.FORWARD).withColumn("score", six("score"))
+
+
+@query(f"WITH {GRAMS} {RANKED.format(by='r', other='s1', k=B.BACK)}")
+def trigram_topk_rev(spark, d):
+    return B.top(_grams(spark, d), "r", "s1", B.BACK).withColumn("score", six("score"))
+
+
+PRUNED = f"""{GRAMS},
+    q0 AS (SELECT *, row_number() OVER (PARTITION BY country, s1 ORDER BY score DESC, r) - 1 AS rank, max(score) OVER (PARTITION BY country, s1) AS best FROM sc),
+    tq AS (SELECT country, s1, r, score, rank FROM q0 WHERE rank < 30 AND (rank < 5 OR score >= best - 0.15)),
+    r0 AS (SELECT *, row_number() OVER (PARTITION BY country, r ORDER BY score DESC, s1) - 1 AS rank, max(score) OVER (PARTITION BY country, r) AS best FROM sc),
+    tr AS (SELECT country, s1, r, score, rank FROM r0 WHERE rank < 5 AND (rank < 2 OR score >= best - 0.10)),
+    ka AS (SELECT country, id, {ADDR_KEY} AS key FROM s1), kb AS (SELECT country, id, {ADDR_KEY} AS key, count(*) OVER (PARTITION BY country, {ADDR_KEY}) AS n FROM rr),
+    a AS (SELECT ka.country, ka.id AS s1, kb.id AS r FROM ka JOIN kb ON ka.country = kb.country AND ka.key = kb.key WHERE ka.key <> '' AND kb.n <= 30),
+    u AS (SELECT country, s1, r, bool_or(leg = 'tq') AS in_tq, bool_or(leg = 'tr') AS in_tr, bool_or(leg = 'a') AS in_a,
+            coalesce(min(rank) FILTER (leg = 'tq'), 99)::TINYINT AS rank_tq, coalesce(min(rank) FILTER (leg = 'tr'), 99)::TINYINT AS rank_tr
+        FROM (SELECT country, s1, r, 'tq' AS leg, rank FROM tq UNION ALL SELECT country, s1, r, 'tr', rank FROM tr UNION ALL SELECT country, s1, r, 'a', 0 FROM a) GROUP BY country, s1, r)
+"""
+
+
+@query(f"WITH {PRUNED} SELECT country, s1, r, round(score, 6) AS score, rank::INTEGER AS rank FROM tq")
+def adaptive_prune(spark, d):
+    return B.prune(B.top(_grams(spark, d), "s1", "r", B.FORWARD), "s1", *B.PRUNE["tq"]).withColumn("score", six("score"))
+
+
+def _union(spark, d) -> DataFrame:
+    s1, r = _keyed(spark, d)
+    scores = B.gram_scores(s1, r, TEXT)
+    legs = {
+        "tq": B.prune(B.top(scores, "s1", "r", B.FORWARD), "s1", *B.PRUNE["tq"]),
+        "tr": B.prune(B.top(scores, "r", "s1", B.BACK), "r", *B.PRUNE["tr"]),
+        "a": B.capped_pairs(s1, r, "addr_key"),
+    }
+    return B.union_legs(legs)
+
+
+@query(f"WITH {PRUNED} SELECT country, s1, r, in_tq, in_tr, in_a FROM u")
+def leg_union(spark, d):
+    return _union(spark, d).select("country", "s1", "r", "in_tq", "in_tr", "in_a")
+
+
+@query(f"WITH {PRUNED} SELECT country, s1, r, rank_tq, rank_tr FROM u")
+def leg_ranks(spark, d):
+    return _union(spark, d).select("country", "s1", "r", "rank_tq", "rank_tr")
+
+
+@query(f"WITH {PRUNED} SELECT country, count(*) AS pairs, round(avg((u.s1 IS NOT NULL)::INT), 6) AS recall, round(avg(coalesce(in_tq, false)::INT), 6) AS recall_in_tq, round(avg(coalesce(in_tr, false)::INT), 6) AS recall_in_tr, round(avg(coalesce(in_a, false)::INT), 6) AS recall_in_a FROM truth LEFT JOIN u USING (country, s1, r) GROUP BY ROLLUP (country)")
+def recall_rollup(spark, d):
+    out = evaluation.recall(W.true_pairs(W.records(spark, d)), _union(spark, d), ["in_tq", "in_tr", "in_a"])
+    return out.select("country", "pairs", *[six(c).alias(c) for c in out.columns[2:]])
+
+
+@query(f"WITH {PRUNED} SELECT truth.* FROM truth ANTI JOIN u USING (country, s1, r)")
+def missed_pairs(spark, d):
+    return evaluation.missed(W.true_pairs(W.records(spark, d)), _union(spark, d))
+
+
+@query(f"WITH {PRUNED} SELECT id, country FROM rr WHERE id NOT IN (SELECT r FROM u)")
+def orphans(spark, d):
+    return evaluation.orphans(_sides(spark, d)[1], _union(spark, d)).select("id", "country")
+
+
+ROSTER = f"""{PRUNED}, c AS (SELECT s1, count(*) AS n_cand FROM u GROUP BY s1),
+    t AS (SELECT truth.s1, count(*) AS n_truth, count(u.r) AS n_in FROM truth LEFT JOIN u USING (s1, r) GROUP BY truth.s1),
+    ro AS (SELECT id AS s1, s1.country, coalesce(n_cand, 0) AS n_cand, coalesce(n_truth, 0) AS n_truth, coalesce(n_in, 0) AS n_truth_in_cands, coalesce(n_truth, 0) = 0 AS singleton, coalesce(n_cand, 0) = 0 AS zero_cand FROM s1 LEFT JOIN c ON id = c.s1 LEFT JOIN t ON id = t.s1)
+"""
+
+
+@query(f"WITH {ROSTER} SELECT * FROM ro")
+def eval_roster(spark, d):
+    return evaluation.roster(_sides(spark, d)[0], _union(spark, d), W.true_pairs(W.records(spark, d)))
+
+
+@query(f"WITH {ROSTER} SELECT country, count(*) AS anchors, sum(singleton::INT)::BIGINT AS singletons, sum(zero_cand::INT)::BIGINT AS zero_cand, round(avg(n_cand), 6) AS mean, max(n_cand) AS most, round(quantile_cont(n_cand, 0.5), 6) AS p50, round(quantile_cont(n_cand, 0.95), 6) AS p95, round(quantile_cont(n_cand, 0.99), 6) AS p99 FROM ro GROUP BY country")
+def roster_summary(spark, d):
+    out = evaluation.roster_summary(evaluation.roster(_sides(spark, d)[0], _union(spark, d), W.true_pairs(W.records(spark, d))))
+    return out.select("country", "anchors", "singletons", "zero_cand", "most", *[six(c).alias(c) for c in ("mean", "p50", "p95", "p99")])
+
+
+@query(f"WITH {PRUNED} SELECT id AS s1, coalesce((SELECT string_agg(u.r, ',' ORDER BY u.r) FROM u WHERE u.s1 = id), '') AS matches FROM s1")
+def candidates_tsv(spark, d):
+    return tables.matches_by_anchor(_union(spark, d), _sides(spark, d)[0].select(F.col("id").alias("s1")), "s1", "r")
+
+
+# Regions
+
+PARTS = """pt AS (SELECT country, id, id LIKE 'S1-%' AS anchor, list_filter(list_transform(string_split(lower(business_address), ','), lambda p: trim(regexp_replace(regexp_replace(p, '[^\\p{L}\\p{N} ]', ' ', 'g'), '\\s+', ' ', 'g'))), lambda p: length(p) >= 2) AS parts FROM rec),
+    voc AS (SELECT country, term FROM (SELECT country, id, unnest(list_distinct(parts)) AS term FROM pt WHERE anchor) JOIN (SELECT country, count(*) AS n FROM s1 GROUP BY country) USING (country) GROUP BY country, term HAVING count(*) >= 0.0005 * any_value(n) AND NOT regexp_matches(term, '\\d'))"""
+ALIAS = f"""{RECORDS}, {PARTS},
+    g AS (SELECT country, id AS s1, min(term) AS term FROM (SELECT DISTINCT country, id, unnest(parts) AS term FROM pt WHERE anchor) JOIN voc USING (country, term) GROUP BY country, id HAVING count(*) = 1),
+    o AS (SELECT id AS r, unnest(list_distinct(parts)) AS alias FROM pt WHERE NOT anchor),
+    seen AS (SELECT country, alias, g.term, count(*) AS n FROM truth JOIN g USING (country, s1) JOIN o USING (r) WHERE NOT EXISTS (SELECT 1 FROM voc v WHERE v.country = truth.country AND v.term = o.alias) GROUP BY country, alias, g.term),
+    al AS (SELECT country, alias, term FROM (SELECT *, sum(n) OVER (PARTITION BY country, alias) AS total FROM seen) WHERE n >= greatest(12, round(30.0 * (SELECT count(*) FROM truth) / 7638365)) AND n >= 0.9 * total AND NOT regexp_matches(alias, '\\d'))
+"""
+ASSIGNED = f"""{ALIAS},
+    ks AS (SELECT country, id, anchor, p, string_split(p, ' ') AS t FROM (SELECT country, id, anchor, unnest(parts) AS p FROM pt)),
+    k AS (SELECT DISTINCT country, id, anchor, unnest([p, t[1], t[-1], array_to_string(t[1:2], ' '), array_to_string(t[-2:], ' ')]) AS key FROM ks),
+    asg AS (SELECT DISTINCT country, id, anchor, v.term FROM k JOIN (SELECT country, term AS key, term FROM voc UNION ALL SELECT country, alias, term FROM al) v USING (country, key)),
+    pr AS (SELECT DISTINCT a.country, a.id AS s1, b.id AS r FROM asg a JOIN asg b ON a.country = b.country AND a.term = b.term AND a.anchor AND NOT b.anchor
+        UNION SELECT s1.country, s1.id, rr.id FROM s1 JOIN rr USING (country) WHERE s1.id NOT IN (SELECT id FROM asg) OR rr.id NOT IN (SELECT id FROM asg))
+"""
+
+
+def _parts(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = W.records(spark, d).withColumn("parts", T.address_parts("business_address"))
+    return *W.sides(rows), W.true_pairs(rows).select("s1", F.col("r").alias("m"))
+
+
+def _assigned(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    s1, r, pairs = _parts(spark, d)
+    vocab = regions.vocabulary(s1)
+    alias = regions.aliases(s1, r, pairs, vocab)
+    return s1, r, regions.assign(s1, vocab, alias), regions.assign(r, vocab, alias)
+
+
+@query(f"WITH {RECORDS}, {PARTS} SELECT country, term FROM voc")
+def region_vocab(spark, d):
+    return regions.vocabulary(_parts(spark, d)[0])
+
+
+@query(f"WITH {ALIAS} SELECT country, alias, term FROM al")
+def region_alias(spark, d):
+    s1, r, pairs = _parts(spark, d)
+    return regions.aliases(s1, r, pairs, regions.vocabulary(s1))
+
+
+@query(f"WITH {ASSIGNED} SELECT country, id, term FROM asg")
+def region_assign(spark, d):
+    _, _, a, b = _assigned(spark, d)
+    return a.unionByName(b)
+
+
+@query(f"WITH {ASSIGNED} SELECT country, s1, count(*) AS n, min(r) AS least, max(r) AS most FROM pr GROUP BY country, s1")
+def region_overlap_join(spark, d):
+    return regions.overlap_pairs(*_assigned(spark, d)).groupBy("country", "s1").agg(F.count("*").alias("n"), F.min("r").alias("least"), F.max("r").alias("most"))
+
+
+@query(f"""WITH {ASSIGNED}, x AS (SELECT country, sum(a.n * b.n) AS shared FROM (SELECT country, term, count(*) AS n FROM asg WHERE anchor GROUP BY ALL) a JOIN (SELECT country, term, count(*) AS n FROM asg WHERE NOT anchor GROUP BY ALL) b USING (country, term) GROUP BY country)
+    SELECT s.country, round((coalesce(shared, 0) + (n1 - coalesce(k1, 0)) * n2 + coalesce(k1, 0) * (n2 - coalesce(k2, 0))) / (n1 * n2), 6) AS share
+    FROM (SELECT country, count(*) AS n1 FROM s1 GROUP BY country) s JOIN (SELECT country, count(*) AS n2 FROM rr GROUP BY country) USING (country) LEFT JOIN x USING (country)
+    LEFT JOIN (SELECT country, count(DISTINCT id) AS k1 FROM asg WHERE anchor GROUP BY country) USING (country) LEFT JOIN (SELECT country, count(DISTINCT id) AS k2 FROM asg WHERE NOT anchor GROUP BY country) USING (country)""")
+def region_cost(spark, d):
+    return regions.cost(*_assigned(spark, d)).select("country", six("share").alias("share"))
+
+
+@query()
+def trigram_partitioned(spark, d):
+    """The forward trigram list within regions: both directions come from the same product."""
+    s1, r, a, b = _assigned(spark, d)
+    scores = B.gram_scores(s1, r, TEXT, within=regions.overlap_pairs(s1, r, a, b))
+    return B.top(scores, "s1", "r", B.FORWARD).withColumn("score", six("score"))
+
+
+# Vectors
+
+
+@query(f"WITH {VECTORS} SELECT country, (i - 1)::INTEGER AS dim, round(avg(v[i]), 6) AS mean FROM (SELECT country, v, unnest(range(1, len(v) + 1)) AS i FROM vec) GROUP BY country, i")
+def vec_mean(spark, d):
+    s1, r = W.vectors(spark, d)
+    return B.mean_vector(s1.unionByName(r)).select("country", "dim", six("mean").alias("mean"))
+
+
+VCODES = f"""{VECTORS}, mu AS (SELECT country, list(m ORDER BY i) AS mu FROM (SELECT country, i, avg(v[i]) AS m FROM (SELECT country, v, unnest(range(1, len(v) + 1)) AS i FROM vec) GROUP BY country, i) GROUP BY country),
+    cd AS (SELECT id, country, v, id % 5 = 0 AS anchor, list_transform(v, lambda x, i: (x > mu[i])::INT) AS code FROM vec JOIN mu USING (country)),
+    hm AS (SELECT a.country, a.id AS s1, b.id AS r, list_sum(list_transform(a.code, lambda x, i: (x <> b.code[i])::INT))::DOUBLE AS h FROM cd a JOIN cd b USING (country) WHERE a.anchor AND NOT b.anchor),
+    sh AS (SELECT *, (row_number() OVER (PARTITION BY country, s1 ORDER BY h, r) - 1)::INTEGER AS rank FROM hm)
+"""
+
+
+@query(f"WITH {VCODES} SELECT country, s1, r, -h AS score, rank FROM sh WHERE rank < 80")
+def sign_hamming_shortlist(spark, d):
+    s1, r = W.vectors(spark, d)
+    mean = B.mean_vector(s1.unionByName(r)).groupBy("country").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda x: x["mean"]).alias("mean"))
+    coded = lambda side: side.join(F.broadcast(mean), "country").withColumn("code", F.zip_with("v", "mean", lambda x, m: F.when(x.cast("double") > m, 1).otherwise(0)))
+    return B.block_top(coded(s1), coded(r), 80, "sign")
+
+
+Q8 = "list_transform({t}.v, lambda x: greatest(-127, least(127, round_even(x / {t}.s, 0))))"
+
+
+@query(f"""WITH {VCODES}, q AS (SELECT *, greatest(list_max(list_transform(v, lambda x: abs(x))), 1e-12) / 127.0 AS s FROM vec),
+    rs AS (SELECT sh.country, sh.s1, sh.r, round(list_sum(list_transform({Q8.format(t='a')}, lambda x, i: x * ({Q8.format(t='b')})[i])) * a.s * b.s, 9) AS score FROM sh JOIN q a ON a.id = sh.s1 JOIN q b ON b.id = sh.r WHERE sh.rank < 80)
+    SELECT country, s1, r, round(score, 6) AS score, rk AS rank FROM (SELECT *, (row_number() OVER (PARTITION BY country, s1 ORDER BY score DESC, r) - 1)::INTEGER AS rk FROM rs) WHERE rk < 20""")
+def int8_rescore_topk(spark, d):
+    return B.vault_top(*W.vectors(spark, d), 20).withColumn("score", six("score"))
+
+
+DENSE = f"{VECTORS}, sc AS (SELECT a.country, a.id AS s1, b.id AS r, round(list_dot_product(a.v, b.v), 9) AS score FROM s1 a JOIN rr b USING (country)), dn AS (SELECT *, (row_number() OVER (PARTITION BY country, s1 ORDER BY score DESC, r) - 1)::INTEGER AS rank FROM sc)"
+
+
+@query(f"WITH {DENSE} SELECT country, s1, r, round(score, 6) AS score, rank FROM dn WHERE rank < 50")
+def dense_topk(spark, d):
+    return B.block_top(*W.vectors(spark, d), B.FORWARD).withColumn("score", six("score"))
+
+
+@query(f"""WITH {VCODES}, dn AS (SELECT s1.country, s1.id AS s1, rr.id AS r, row_number() OVER (PARTITION BY s1.country, s1.id ORDER BY round(list_dot_product(s1.v, rr.v), 9) DESC, rr.id) AS rk FROM s1 JOIN rr USING (country)),
+    t AS (SELECT country, s1, r FROM dn WHERE rk <= 10), h AS (SELECT * FROM sh WHERE rank < 80)
+    SELECT t.country, k::INTEGER AS k, round(avg(coalesce(h.rank < k, false)::INT), 6) AS recall FROM t LEFT JOIN h USING (country, s1, r), (SELECT unnest([10, 20, 50, 80]) AS k) GROUP BY ALL""")
+def recall_at_k(spark, d):
+    """Recall of the sign-code shortlist against the ten true neighbours."""
+    s1, r = W.vectors(spark, d)
+    truth = B.block_top(s1, r, 10).select("country", "s1", "r")
+    return evaluation.recall_at(sign_hamming_shortlist(spark, d), truth, [10, 20, 50, 80]).select("country", "k", six("recall").alias("recall"))
+
+
+@query("SELECT vec_id, list_sum(list_transform(embedding, lambda x: (x > 0)::INT))::INTEGER AS ones FROM embeddings")
+def sign_codes(spark, d):
+    """Packed codes: how many components exceed 0, counted as bits that differ from the zero code."""
+    rows = table(spark, d, "embeddings")
+    zero = F.transform("embedding", lambda x: F.lit(0.0))
+    code = B.sign_code(F.col("embedding"), zero)
+    return rows.select("vec_id", B.hamming(code, F.transform(code, lambda x: F.lit(0).cast("bigint"))).cast("int").alias("ones"))
+
+
+# Pair and record features
+
+PAIRS = f"{RECORDS}, pc AS (SELECT truth.*, s1.name AS name_1, s1.addr AS addr_1, rr.name AS name_2, rr.addr AS addr_2 FROM truth JOIN s1 ON s1.id = truth.s1 JOIN rr ON rr.id = truth.r)"
+
+
+def _pairs(spark, d) -> DataFrame:
+    rows = W.records(spark, d)
+    return features.pair_columns(W.true_pairs(rows), *W.sides(rows))
+
+
+@query(f"WITH {PAIRS}, f AS (SELECT *, list_distinct(regexp_extract_all(addr_1, '\\d+')) AS x, list_distinct(regexp_extract_all(addr_2, '\\d+')) AS y FROM pc) SELECT s1, r, round(CASE WHEN len(x) + len(y) = 0 THEN -1 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END, 6) AS num_jacc FROM f")
+def number_jaccard(spark, d):
+    return _pairs(spark, d).select("s1", "r", six(features.number_jaccard(F.col("addr_1"), F.col("addr_2"))).alias("num_jacc"))
+
+
+@query(f"WITH {PAIRS} SELECT s1, r, CASE WHEN regexp_extract(addr_1, '\\d+') = '' OR regexp_extract(addr_2, '\\d+') = '' THEN -1 ELSE (regexp_extract(addr_1, '\\d+') = regexp_extract(addr_2, '\\d+'))::INT END AS house_eq FROM pc")
+def house_eq(spark, d):
+    return _pairs(spark, d).select("s1", "r", features.house_equal(F.col("addr_1"), F.col("addr_2")).alias("house_eq"))
+
+
+IDF = f"{PAIRS}, n AS (SELECT country, count(*) AS n FROM rec GROUP BY country), idf AS (SELECT country, token, ln((any_value(n) + 1.0) / (count(*) + 1.0)) + 1.0 AS idf FROM (SELECT country, unnest(list_distinct(list_filter(string_split(name, ' '), lambda x: x <> ''))) AS token FROM rec) JOIN n USING (country) GROUP BY country, token)"
+OVERLAP = f"""{IDF}, sd AS (SELECT country, s1, r, list_distinct(list_filter(string_split(name_1, ' '), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split(name_2, ' '), lambda x: x <> '')) AS b FROM pc),
+    lg AS (SELECT country, s1, r, a, b, unnest(list_distinct(list_concat(a, b))) AS token FROM sd), lw AS (SELECT lg.*, list_contains(a, token) AS ia, list_contains(b, token) AS ib, coalesce(idf, 1.0) AS w FROM lg LEFT JOIN idf USING (country, token))"""
+
+
+@query(f"WITH {IDF} SELECT country, token, round(idf, 6) AS idf FROM idf")
+def token_idf(spark, d):
+    return features.token_idf(W.records(spark, d), T.tokens("name")).select("country", "token", six("idf").alias("idf"))
+
+
+def _overlap(spark, d) -> DataFrame:
+    idf = features.token_idf(W.records(spark, d), T.tokens("name"))
+    out = features.weighted_overlap(_pairs(spark, d), T.tokens("name_1"), T.tokens("name_2"), idf)
+    return out.select("country", "s1", "r", *[six(c).alias(c) for c in ("wjacc", "rare_miss_s1", "rare_miss_r", "idf_match")])
+
+
+@query(f"WITH {OVERLAP} SELECT country, s1, r, round(coalesce(sum(w) FILTER (ia AND ib), 0) / sum(w), 6) AS wjacc, round(coalesce(sum(w) FILTER (ia AND ib), 0), 6) AS idf_match FROM lw GROUP BY country, s1, r")
+def weighted_jaccard(spark, d):
+    return _overlap(spark, d).select("country", "s1", "r", "wjacc", "idf_match")
+
+
+@query(f"WITH {OVERLAP} SELECT country, s1, r, round(coalesce(max(w) FILTER (ia AND NOT ib), 0), 6) AS rare_miss_s1, round(coalesce(max(w) FILTER (ib AND NOT ia), 0), 6) AS rare_miss_r FROM lw GROUP BY country, s1, r")
+def rare_miss(spark, d):
+    return _overlap(spark, d).select("country", "s1", "r", "rare_miss_s1", "rare_miss_r")
+
+
+@query(f"WITH {RECORDS}, c AS (SELECT country, id, {W.sql_core('name')} AS k FROM rec) SELECT country, id, CASE WHEN length(k) < 2 THEN 0 ELSE count(*) OVER (PARTITION BY country, k) END AS freq FROM c")
+def record_freq(spark, d):
+    return features.record_frequency(W.records(spark, d), T.core_name("name"), 2)
+
+
+@query("SELECT doc_id, regexp_matches(coalesce(text, ''), '[^\\p{Latin}\\p{Common}\\p{Inherited}]') AS nonlatin FROM documents")
+def nonlatin_flag(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.non_latin("text").alias("nonlatin"))
+
+
+@query(f"WITH {PAIRS} SELECT s1, r, round(jaro_winkler_similarity(addr_1, addr_2), 6) AS jw FROM pc")
+def jaro_winkler(spark, d):
+    return _pairs(spark, d).select("s1", "r", six(sim.jaro_winkler_column("addr_1", "addr_2")).alias("jw"))
+
+
+@query()
+def indel_ratio(spark, d):
+    return _pairs(spark, d).select("s1", "r", six(sim.indel_ratio_column("addr_1", "addr_2")).alias("ratio"))
+
+
+@query()
+def token_set_ratio(spark, d):
+    return _pairs(spark, d).select("s1", "r", six(sim.token_set_ratio_column("addr_1", "addr_2")).alias("ratio"))
+
+
+@query()
+def token_sort_ratio(spark, d):
+    return _pairs(spark, d).select("s1", "r", six(sim.token_sort_ratio_column("addr_1", "addr_2")).alias("ratio"))
+
+
+@query()
+def partial_ratio(spark, d):
+    return _pairs(spark, d).select("s1", "r", six(sim.partial_ratio_column("addr_1", "addr_2")).alias("ratio"))
+
+
+@query()
+def string_features(spark, d):
+    return features.string_features(_pairs(spark, d)).drop("name_1", "name_2", "addr_1", "addr_2", "core_1", "core_2", "business_name_1", "business_name_2", "business_address_1", "business_address_2")
+
+
+# Selection
+
+
+@query(f"WITH {EDGES} SELECT country, s1, r, p, is_s3, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, r)::INTEGER AS p_rank_s1, round(max(p) OVER w - p, 6) AS p_gap_best_s1, round(sum(p) OVER w, 6) AS p_sum_s1, (sum((p > 0.5)::INT) OVER w)::BIGINT AS n_hi_s1, round(sum(p * is_s3) OVER w, 6) AS e_s3_s1, round(sum(p * (1 - is_s3)) OVER w, 6) AS e_s2_s1 FROM e WINDOW w AS (PARTITION BY s1)")
+def ctx_s1_features(spark, d):
+    out = selection.anchor_context(W.edges(spark, d))
+    return out.withColumns({c: six(c) for c in ("p_gap_best_s1", "p_sum_s1", "e_s3_s1", "e_s2_s1")})
+
+
+@query(f"""WITH {EDGES}, k AS (SELECT *, row_number() OVER (PARTITION BY country, r ORDER BY p DESC, s1)::INTEGER AS p_rank_r, count(*) OVER (PARTITION BY country, r) AS n_s1_r FROM e),
+    t AS (SELECT country, r, max(p) FILTER (p_rank_r = 1) AS b1, coalesce(max(p) FILTER (p_rank_r = 2), 0) AS b2 FROM k GROUP BY country, r)
+    SELECT country, s1, r, p, is_s3, p_rank_r, n_s1_r, CASE WHEN p >= b1 THEN b2 ELSE b1 END AS p_best_other_s1, round(p - CASE WHEN p >= b1 THEN b2 ELSE b1 END, 6) AS p_margin_r FROM k JOIN t USING (country, r)""")
+def ctx_margin(spark, d):
+    return selection.record_context(W.edges(spark, d)).withColumn("p_margin_r", six("p_margin_r"))
+
+
+def _vector_edges(spark, d) -> tuple[DataFrame, DataFrame]:
+    s1, r = W.vectors(spark, d)
+    near = B.block_top(s1, r, 10)
+    return near.select("country", "s1", "r", F.round(F.greatest("score", F.lit(0.0)), 6).alias("p")), r
+
+
+@query(f"""WITH {DENSE}, pe AS (SELECT country, s1, r, round(greatest(score, 0.0), 6) AS p FROM dn WHERE rank < 10), x AS (SELECT pe.*, i, v[i] AS x FROM pe JOIN rr ON rr.id = pe.r, (SELECT unnest(range(1, 65)) AS i)),
+    c AS (SELECT *, sum(x * p) OVER (PARTITION BY s1, i) - x * p AS c FROM x), ag AS (SELECT country, s1, r, any_value(p) AS p, sum(x * c) AS dot, sqrt(sum(c * c)) AS size FROM c GROUP BY country, s1, r),
+    wp AS (SELECT *, sum(p) OVER (PARTITION BY s1) - p AS w_peers FROM ag)
+    SELECT country, s1, r, round(CASE WHEN w_peers > 0.3 THEN dot / greatest(size, 1e-6) ELSE -1 END, 6) AS sim_peers, round(w_peers, 6) AS w_peers FROM wp""")
+def peer_centroid(spark, d):
+    edges, r = _vector_edges(spark, d)
+    return selection.peer_similarity(edges, r).select("country", "s1", "r", six("sim_peers").alias("sim_peers"), six("w_peers").alias("w_peers"))
+
+
+OWNED = f"{EDGES}, ow AS (SELECT country, s1, r, p, is_s3 FROM (SELECT *, row_number() OVER (PARTITION BY country, r ORDER BY p DESC, s1) AS o FROM e) WHERE o = 1 AND p >= 0.05)"
+CHOSEN = f"""{OWNED}, an AS (SELECT s1, sum(p) AS truth, max(p) AS max_p FROM e GROUP BY s1),
+    kf AS (SELECT ow.*, truth, max_p, sum(p) OVER w AS tp, count(*) OVER w AS k FROM ow JOIN an USING (s1) WINDOW w AS (PARTITION BY ow.s1 ORDER BY p DESC, r ROWS UNBOUNDED PRECEDING)),
+    ef AS (SELECT *, round(1.25 * tp / (0.25 * truth + k), 12) AS expected_f FROM kf),
+    bb AS (SELECT s1, max(expected_f) AS best, arg_min(k, {{'f': -expected_f, 'k': k}}) AS best_k FROM ef GROUP BY s1),
+    ch AS (SELECT s1, r, k, expected_f FROM ef JOIN bb USING (s1) WHERE best > round(1 - max_p, 12) AND k <= best_k),
+    chx AS (SELECT s1, r, k, expected_f FROM ef JOIN bb USING (s1) WHERE best > round(1 - (s1 % 10) / 10.0, 12) AND k <= best_k)
+"""
+
+
+@query(f"WITH {OWNED} SELECT * FROM ow")
+def ownership(spark, d):
+    return selection.owners(W.edges(spark, d))
+
+
+def _chosen(spark, d) -> DataFrame:
+    return selection.select_sets(W.edges(spark, d), W.edge_roster(spark, d))
+
+
+@query(f"WITH {CHOSEN} SELECT s1, r, k, round(expected_f, 6) AS expected_f FROM ch")
+def select_sets(spark, d):
+    return _chosen(spark, d).withColumn("expected_f", six("expected_f"))
+
+
+@query(f"WITH {CHOSEN} SELECT s1, r, k, round(expected_f, 6) AS expected_f FROM chx")
+def select_sets_explicit(spark, d):
+    roster = W.edge_roster(spark, d)
+    told = roster.withColumn("p_has_match", (F.col("s1") % 10) / F.lit(10.0))
+    return selection.select_sets(W.edges(spark, d), roster, told).withColumn("expected_f", six("expected_f"))
+
+
+SCORES = """st AS (SELECT c_custkey AS s1, (SELECT 1) AS one FROM customer),
+    j AS (SELECT coalesce(a.s1, b.s1) AS s1, count(*) FILTER (a.r IS NOT NULL AND b.r IS NOT NULL) AS tp, count(a.r) AS np, count(b.r) AS nt FROM {side} a FULL JOIN (SELECT DISTINCT s1, r FROM et) b ON a.s1 = b.s1 AND a.r = b.r GROUP BY 1),
+    f AS (SELECT st.s1, coalesce(tp, 0) AS tp, coalesce(np, 0) AS np, coalesce(nt, 0) AS nt FROM st LEFT JOIN j USING (s1)),
+    g AS (SELECT s1, tp, np, nt, CASE WHEN np = 0 AND nt = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 1.25 * (tp / np) * (tp / nt) / (0.25 * (tp / np) + tp / nt) END AS f FROM f)"""
+
+
+@query(f"WITH {CHOSEN}, {SCORES.format(side='ch')} SELECT round(avg(f), 6) AS macro_f05, count(*) AS anchors FROM g")
+def macro_f05(spark, d):
+    truth = W.edge_truth(W.edges(spark, d))
+    return selection.macro_f(W.edge_roster(spark, d), _chosen(spark, d), truth).select(six("macro_f05").alias("macro_f05"), "anchors")
+
+
+@query(f"WITH {CHOSEN}, oc AS (SELECT DISTINCT s1, r FROM et), {SCORES.format(side='oc')} SELECT s1, tp, np AS n_predicted, nt AS n_truth, round(f, 6) AS f FROM g")
+def oracle_f05(spark, d):
+    edges = W.edges(spark, d)
+    return selection.oracle_scores(W.edge_roster(spark, d), edges, W.edge_truth(edges)).withColumn("f", six("f"))
+
+
+@query(f"WITH {CHOSEN} SELECT c_custkey AS s1, coalesce((SELECT string_agg(r::VARCHAR, ',' ORDER BY r) FROM ch WHERE ch.s1 = c_custkey), '') AS matches FROM customer")
+def matching_results(spark, d):
+    own = _chosen(spark, d).groupBy("s1").agg(F.array_join(F.transform(F.array_sort(F.collect_set("r")), lambda x: x.cast("string")), ",").alias("matches"))
+    return W.edge_roster(spark, d).join(own, "s1", "left").select("s1", F.coalesce("matches", F.lit("")).alias("matches"))
+
+
+# Contract and splits
+
+
+def _candidates(spark, d) -> DataFrame:
+    """Candidate tables from edges, with some rows that break each rule."""
+    e = W.edges(spark, d)
+    w, x = Window.partitionBy("s1").orderBy(F.desc("p"), "r"), Window.partitionBy("country", "r").orderBy(F.desc("p"), "s1")
+    rank = F.least(F.row_number().over(w) - 1, F.lit(120))
+    return e.select(
+        F.col("s1").cast("string").alias("source1_entity_id"), F.col("r").cast("string").alias("candidate_entity_id"), F.when(F.col("p") > 0.001, F.col("country")).alias("country"),
+        F.concat(F.lit("S"), (F.col("r") % 5).cast("string")).alias("cand_source"), *[rank.alias(c) for c in contract.RANKS], *[(F.col("r") % 2 == 0).alias(f"in_{c}") for c in contract.LEGS],
+        F.row_number().over(w).alias("cos_v_rank_in_s1"), (F.row_number().over(x) - 1).alias("cos_v_rank_in_r"),
+    )
+
+
+CANDS = f"{EDGES}, c AS (SELECT *, least(row_number() OVER (PARTITION BY s1 ORDER BY p DESC, r) - 1, 120) AS rank, row_number() OVER (PARTITION BY country, r ORDER BY p DESC, s1) - 1 AS zr FROM e)"
+
+
+@query(f"""WITH {CANDS} SELECT 'null value in a required column' AS rule, count(*) FILTER (p <= 0.001) AS rows FROM c UNION ALL SELECT 'cand_source must be S2/S3', count(*) FILTER (r % 5 NOT IN (2, 3)) FROM c
+    UNION ALL SELECT 'retrieval ranks are zero based, 0 to 99', count(*) FILTER (rank > 99) FROM c UNION ALL SELECT 'rank sentinel disagrees with the list''s flag', count(*) FILTER ((r % 2 = 0) <> (rank <> 99)) FROM c
+    UNION ALL SELECT 'competition ranks are one based', count(*) FILTER (zr < 1) FROM c UNION ALL SELECT 'duplicate candidate edge', count(*) - count(DISTINCT (s1, r)) FROM c""")
+def contract_violations(spark, d):
+    return contract.violations(_candidates(spark, d))
+
+
+@query("SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def edge_duplicates(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query()
+def label_partitions(spark, d):
+    s1, _ = _sides(spark, d)
+    return splits.label_parts(s1, s1.where(T.unit_hash("id", 1) < 0.1))
+
+
+@query()
+def density_split(spark, d):
+    return splits.density_split(_sides(spark, d)[0]).select("id", "country")
+
+
+@query()
+def folds(spark, d):
+    return splits.folds(_sides(spark, d)[0], 4)
+
+
+@query(f"""WITH {RECORDS}, x AS (SELECT country, substr(name, 1, 1) AS initial, id, name, id LIKE 'S1-%' AS anchor, row_number() OVER (PARTITION BY country, substr(name, 1, 1) ORDER BY name, id) - 1 AS k FROM rec)
+    SELECT country, initial, k // 64 AS batch, k % 64 AS at, id, name, anchor FROM x""")
+def hard_batch_windows(spark, d):
+    return splits.hard_batches(*_sides(spark, d), 64)
+
+
+@query()
+def name_fingerprint(spark, d):
+    return evaluation.fingerprint(W.records(spark, d), "name")
+
+
+@query()
+def stage_scorer(spark, d):
+    """Edges of the odd folds scored by the two stages trained on the even ones."""
+    e = W.edges(spark, d)
+    w = Window.partitionBy("country", "r")
+    rows = e.withColumns({"cos": F.col("p"), "n_cand": F.count("*").over(w), "label": (F.col("p") >= 0.6) & (F.col("r") % 3 != 0), "r_mod": F.col("r") % 3, "half": F.pmod(F.crc32(F.col("s1").cast("string").cast("binary")), F.lit(2))}).drop("p")
+    train = rows.where("half = 0").withColumn("fold", F.pmod(F.xxhash64("s1"), F.lit(2)).cast("int")).drop("half")
+    params = scorer.Params(rounds=3, depth=4, least=10)
+    return scorer.two_stage(train, rows.where("half = 1").drop("half", "label"), ["cos", "n_cand", "r_mod"], 2, params).select("country", "s1", "r", F.round("p", 6).alias("p"))
