@@ -2,42 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from kinweave.session import shared_dir, ship
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["cut", "pieces", "shared_dir", "ship", "table"]
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever they run: the driver serves it as a zip, once a context."""
-    context = spark.sparkContext
-    if getattr(context, "_kinweave_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    name = os.path.join(tempfile.mkdtemp(prefix="kinweave-"), "kinweave.zip")
-    with zipfile.ZipFile(name, "w") as z:
-        for folder, _, files in os.walk(top):
-            for f in sorted(files):
-                if f.endswith(".py"):
-                    z.write(os.path.join(folder, f), os.path.join("kinweave", os.path.relpath(os.path.join(folder, f), top)))
-    context.addPyFile(name)
-    context._kinweave_shipped = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext.getCheckpointDir()
-        found = held.rsplit("/", 1)[0] if held else "file://" + tempfile.mkdtemp(prefix="kinweave-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
