@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .indic import transliterate_text
 
@@ -45,14 +46,14 @@ def norm_latin(c: Column | str) -> Column:
     return plain(ligatures(text_or_empty(c)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_marks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Compatibility decomposition without combining marks."""
     for s in batches:
         yield s.map(lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def transliterate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Runs of Indic script in Latin letters."""
     for s in batches:
