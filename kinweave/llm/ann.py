@@ -81,18 +81,22 @@ def matrix(column, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float64).reshape(-1, width)
 
 
-def best(queries: np.ndarray, ids: list, rows: np.ndarray, row_ids: np.ndarray, k: int, allowed: np.ndarray | None = None) -> Iterator[tuple]:
-    """(query id, row id, score) of the k best rows of each query, ties to the smaller id. Scores are summed for each pair
+def best(queries: np.ndarray, ids: list, rows: np.ndarray, row_ids: np.ndarray, k: int, allowed: np.ndarray | None = None, least: np.ndarray | None = None) -> Iterator[tuple]:
+    """(query id, row id, score) of the k best rows of each query, ties to the smaller id, without those that fall short
+    of the query's least score. Scores are summed for each pair
     alone, so that equal vectors score equally wherever they stand."""
     rough = queries @ rows.T
     if allowed is not None:
         rough[~allowed] = -np.inf
+    if least is not None:
+        with np.errstate(invalid="ignore"):
+            rough[rough < (least - 1e-9 * (1 + np.abs(least)))[:, None]] = -np.inf
     for i, own in enumerate(ids):
         fine = np.isfinite(rough[i]) & (row_ids != own)
         at = np.flatnonzero(fine)
         if len(at) > k:
-            least = np.partition(rough[i, at], len(at) - k)[len(at) - k]
-            at = at[rough[i, at] >= least - 1e-9 * (1 + abs(least))]
+            kth = np.partition(rough[i, at], len(at) - k)[len(at) - k]
+            at = at[rough[i, at] >= kth - 1e-9 * (1 + abs(kth))]
         score = (rows[at] * queries[i]).sum(axis=1)
         for j in np.lexsort((row_ids[at], -score))[:k]:
             yield own, row_ids[at[j]], float(score[j])
@@ -194,24 +198,32 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     needed = np.sort([r["apart"] for r in apart.select("apart").collect()])  # at most SAMPLE * k numbers
     window = max(int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) if len(needed) else 0, 4 * k)
 
-    # Windows meet blocks of ranks; queries that many windows bring to a block come in groups of bounded size.
+    # Windows meet blocks of ranks; queries that many windows bring to a block come in groups of bounded size. The blocks
+    # in which queries themselves stand come first: what they find bounds what other blocks need to return.
     at_block = max(1, asking * min(in_curve, 2 * window + BLOCK) // max(1, in_curve))
     parts = -(-at_block // QUERIES_AT_ONCE)
     block = lambda c: F.floor(c / BLOCK).cast("int")
     salt = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    data = ranks.where("NOT query").select("id", "curve", "rank", block(F.col("rank")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    asks = ranks.where("query").select(F.col("id").alias("asks_id"), F.col("curve").alias("in_curve"), F.col("rank").alias("asks_rank"), F.explode(F.sequence(block(F.greatest(F.col("rank") - window, F.lit(0))), block(F.least(F.col("rank") + window, F.lit(in_curve - 1))))).alias("in_block"), salt.alias("in_part"))
+    own_block, rank = block(F.col("rank")), F.col("rank")
+    data = ranks.where("NOT query").select("id", "curve", "rank", own_block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    data = data.join(rows.select("id", "v"), "id")
+    reached = F.sequence(block(F.greatest(rank - window, F.lit(0))), block(F.least(rank + window, F.lit(in_curve - 1))))
+    asks = ranks.where("query").select(F.col("id").alias("asks_id"), F.col("curve").alias("in_curve"), F.col("rank").alias("asks_rank"), own_block.alias("home"), F.explode(reached).alias("in_block"), salt.alias("in_part"))
+    asks = asks.join(rows.where("asks").select(F.col("id").alias("asks_id"), F.col("v").alias("asks_v")), "asks_id")
 
     def compare(data: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         if not len(data) or not len(asks):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        d, q = matrix(data["v"], width), matrix(asks["asks_v"], width)
+        d, q, least = matrix(data["v"], width), matrix(asks["asks_v"], width), asks["least"].to_numpy()
         near = np.abs(asks["asks_rank"].to_numpy()[:, None] - data["rank"].to_numpy()) <= window
-        return pd.DataFrame([*best(q, asks["asks_id"].tolist(), d, data["id"].to_numpy(), k, near)], columns=["query_id", "vec_id", "score"])
+        return pd.DataFrame([*best(q, asks["asks_id"].tolist(), d, data["id"].to_numpy(), k, near, least)], columns=["query_id", "vec_id", "score"])
 
-    asked_of = rows.where("asks").select(F.col("id").alias("asks_id"), F.col("v").alias("asks_v"))
-    data = data.join(rows.select("id", "v"), "id").groupBy("curve", "block", "part")
-    asks = asks.join(asked_of, "asks_id").groupBy("in_curve", "in_block", "in_part")
-    found = data.cogroup(asks).applyInPandas(compare, schema)
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    def search(asks: DataFrame) -> DataFrame:
+        found = data.groupBy("curve", "block", "part").cogroup(asks.groupBy("in_curve", "in_block", "in_part")).applyInPandas(compare, schema)
+        return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    home = cut(search(asks.where("in_block = home").withColumn("least", F.lit(float("-inf")))))
+    bound = home.withColumn("rank", F.row_number().over(top)).where(F.col("rank") == k).select(F.col("query_id").alias("asks_id"), F.col("score").alias("least"))
+    away = search(asks.where("in_block <> home").join(bound, "asks_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")))))
+    found = home.unionByName(away).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
