@@ -39,6 +39,11 @@ def six(c) -> F.Column:
     return F.round(c, 6)
 
 
+def nine_to_six(c) -> F.Column:
+    """Six digits of a score of nine, half a unit of the ninth keeping decimal ties from being told either way."""
+    return F.round(F.col(c) + 5e-10, 6)
+
+
 # Sources, normalisation, keys
 
 
@@ -162,17 +167,17 @@ def trigram_tfidf_weights(spark, d):
     return B.gram_weights(B.gram_counts(s1, TEXT), B.gram_idf(r, B.gram_counts(r, TEXT))).select("country", "id", "gram", six("w").alias("w"))
 
 
-RANKED = "SELECT country, s1, r, round(score, 6) AS score, rk AS rank FROM (SELECT *, (row_number() OVER (PARTITION BY country, {by} ORDER BY score DESC, {other}) - 1)::INTEGER AS rk FROM sc) WHERE rk < {k}"
+RANKED = "SELECT country, s1, r, round(score + 5e-10, 6) AS score, rk AS rank FROM (SELECT *, (row_number() OVER (PARTITION BY country, {by} ORDER BY score DESC, {other}) - 1)::INTEGER AS rk FROM sc) WHERE rk < {k}"
 
 
 @query(f"WITH {GRAMS} {RANKED.format(by='s1', other='r', k=B.FORWARD)}")
 def trigram_topk_fwd(spark, d):
-    return B.top(_grams(spark, d), "s1", "r", B.FORWARD).withColumn("score", six("score"))
+    return B.top(_grams(spark, d), "s1", "r", B.FORWARD).withColumn("score", nine_to_six("score"))
 
 
 @query(f"WITH {GRAMS} {RANKED.format(by='r', other='s1', k=B.BACK)}")
 def trigram_topk_rev(spark, d):
-    return B.top(_grams(spark, d), "r", "s1", B.BACK).withColumn("score", six("score"))
+    return B.top(_grams(spark, d), "r", "s1", B.BACK).withColumn("score", nine_to_six("score"))
 
 
 PRUNED = f"""{GRAMS},
@@ -188,9 +193,9 @@ PRUNED = f"""{GRAMS},
 """
 
 
-@query(f"WITH {PRUNED} SELECT country, s1, r, round(score, 6) AS score, rank::INTEGER AS rank FROM tq")
+@query(f"WITH {PRUNED} SELECT country, s1, r, round(score + 5e-10, 6) AS score, rank::INTEGER AS rank FROM tq")
 def adaptive_prune(spark, d):
-    return B.prune(B.top(_grams(spark, d), "s1", "r", B.FORWARD), "s1", *B.PRUNE["tq"]).withColumn("score", six("score"))
+    return B.prune(B.top(_grams(spark, d), "s1", "r", B.FORWARD), "s1", *B.PRUNE["tq"]).withColumn("score", nine_to_six("score"))
 
 
 def _union(spark, d) -> DataFrame:
@@ -318,7 +323,7 @@ def trigram_partitioned(spark, d):
     """The forward trigram list within regions: both directions come from the same product."""
     s1, r, a, b = _assigned(spark, d)
     scores = B.gram_scores(s1, r, TEXT, within=regions.overlap_pairs(s1, r, a, b))
-    return B.top(scores, "s1", "r", B.FORWARD).withColumn("score", six("score"))
+    return B.top(scores, "s1", "r", B.FORWARD).withColumn("score", nine_to_six("score"))
 
 
 # Vectors
@@ -350,17 +355,17 @@ Q8 = "list_transform({t}.v, lambda x: greatest(-127, least(127, round_even(x / {
 
 @query(f"""WITH {VCODES}, q AS (SELECT *, greatest(list_max(list_transform(v, lambda x: abs(x))), 1e-12) / 127.0 AS s FROM vec),
     rs AS (SELECT sh.country, sh.s1, sh.r, round(list_sum(list_transform({Q8.format(t='a')}, lambda x, i: x * ({Q8.format(t='b')})[i])) * a.s * b.s, 9) AS score FROM sh JOIN q a ON a.id = sh.s1 JOIN q b ON b.id = sh.r WHERE sh.rank < 80)
-    SELECT country, s1, r, round(score, 6) AS score, rk AS rank FROM (SELECT *, (row_number() OVER (PARTITION BY country, s1 ORDER BY score DESC, r) - 1)::INTEGER AS rk FROM rs) WHERE rk < 20""")
+    SELECT country, s1, r, round(score + 5e-10, 6) AS score, rk AS rank FROM (SELECT *, (row_number() OVER (PARTITION BY country, s1 ORDER BY score DESC, r) - 1)::INTEGER AS rk FROM rs) WHERE rk < 20""")
 def int8_rescore_topk(spark, d):
-    return B.vault_top(*W.vectors(spark, d), 20).withColumn("score", six("score"))
+    return B.vault_top(*W.vectors(spark, d), 20).withColumn("score", nine_to_six("score"))
 
 
 DENSE = f"{VECTORS}, sc AS (SELECT a.country, a.id AS s1, b.id AS r, round(list_dot_product(a.v, b.v), 9) AS score FROM s1 a JOIN rr b USING (country)), dn AS (SELECT *, (row_number() OVER (PARTITION BY country, s1 ORDER BY score DESC, r) - 1)::INTEGER AS rank FROM sc)"
 
 
-@query(f"WITH {DENSE} SELECT country, s1, r, round(score, 6) AS score, rank FROM dn WHERE rank < 50")
+@query(f"WITH {DENSE} SELECT country, s1, r, round(score + 5e-10, 6) AS score, rank FROM dn WHERE rank < 50")
 def dense_topk(spark, d):
-    return B.block_top(*W.vectors(spark, d), B.FORWARD).withColumn("score", six("score"))
+    return B.block_top(*W.vectors(spark, d), B.FORWARD).withColumn("score", nine_to_six("score"))
 
 
 @query(f"""WITH {VCODES}, dn AS (SELECT s1.country, s1.id AS s1, rr.id AS r, row_number() OVER (PARTITION BY s1.country, s1.id ORDER BY round(list_dot_product(s1.v, rr.v), 9) DESC, rr.id) AS rk FROM s1 JOIN rr USING (country)),
