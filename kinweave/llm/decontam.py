@@ -52,10 +52,11 @@ def with_prints(df: DataFrame, span: int, size: int, short: list[int]) -> DataFr
     """df of with_words() with column prints: distinct fingerprints, each with the length of the span it stands for."""
     # Size is asked of the hashes themselves: with two uses the optimizer computes them once, not within the lambda.
     h, n = F.col("hashes"), F.size("hashes")
-    df = df.withColumn("grams", F.transform(positions(n, size), lambda i: gram(h, i, size)))
+    grams = lambda of: F.transform(positions(n, of), lambda i: gram(h, i, of))
+    df = df.withColumn("grams", grams(size))
     windows = F.transform(positions(n, span), lambda i: F.least(*[F.get("grams", i + k) for k in range(span - size + 1)]))
     of = lambda hashes, length: F.transform(F.array_distinct(hashes), lambda x: F.struct(x.alias("print"), F.lit(length).alias("length")))
-    parts = [of(windows, span), *(of(F.transform(positions(n, s), lambda i, s=s: gram(h, i, s)), s) for s in short)]
+    parts = [of(windows, span), *(of(grams(s), s) for s in short)]
     return df.withColumn("prints", F.concat(*parts)).drop("grams")
 
 
@@ -93,8 +94,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     matches = lambda x: x.join(near(held), (F.col("p.print") == F.col("own")) & (F.col("p.length") == F.col("own_length")), "left").where("found OR p.print IS NULL")
     if not few:
         narrow = matches(rows.select("id", "text_hash", F.explode_outer("prints").alias("p"))).where("found").groupBy("id", "text_hash").agg(F.collect_set("p").alias("only"))
-        same = [rows["id"].eqNullSafe(narrow["id"]), rows["text_hash"] == narrow["text_hash"]]
-        rows = rows.drop("prints").join(narrow, same, "left").select(rows["id"], rows["text_hash"], "words", "n_words", "hashes", F.coalesce("only", F.array().cast("array<struct<print:bigint,length:int>>")).alias("prints"))
+        narrow = narrow.select(F.col("id").alias("narrow_id"), F.col("text_hash").alias("narrow_hash"), "only")
+        rows = rows.drop("prints").join(narrow, F.col("id").eqNullSafe(F.col("narrow_id")) & (F.col("text_hash") == F.col("narrow_hash")), "left")
+        rows = rows.withColumn("prints", F.coalesce("only", F.array().cast("array<struct<print:bigint,length:int>>")))
     found = matches(rows.select("id", "text_hash", "words", "n_words", "hashes", F.explode_outer(F.concat("prints", marker)).alias("p")))
     found = found.select("id", "text_hash", "n_words", "words", "hashes", F.col("p.print").alias("print"), F.col("p.length").alias("length"))
     # Where a fingerprint's gram stands, the spans around it may begin.
