@@ -144,7 +144,10 @@ GRAMS = f"""{RECORDS},
     wt AS (SELECT id, country, anchor, gram, x / sqrt(sum(x * x) OVER (PARTITION BY country, id)) AS w FROM raw_w),
     sc AS (SELECT a.country, a.id AS s1, b.id AS r, round(sum(a.w * b.w), 9) AS score FROM wt a JOIN wt b ON a.country = b.country AND a.gram = b.gram WHERE a.anchor AND NOT b.anchor GROUP BY a.country, a.id, b.id)
 """
-TEXT = T.record_text("name", "addr")
+
+
+def _text() -> F.Column:
+    return T.record_text("name", "addr")
 
 
 def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -152,19 +155,19 @@ def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 def _grams(spark, d) -> DataFrame:
-    return B.gram_scores(*_sides(spark, d), TEXT)
+    return B.gram_scores(*_sides(spark, d), _text())
 
 
 @query(f"WITH {GRAMS} SELECT country, gram, df, round(idf, 6) AS idf FROM idf")
 def trigram_df(spark, d):
     _, r = _sides(spark, d)
-    return B.gram_idf(r, B.gram_counts(r, TEXT)).select("country", "gram", "df", six("idf").alias("idf"))
+    return B.gram_idf(r, B.gram_counts(r, _text())).select("country", "gram", "df", six("idf").alias("idf"))
 
 
 @query(f"WITH {GRAMS} SELECT country, id, gram, round(w, 6) AS w FROM wt WHERE anchor")
 def trigram_tfidf_weights(spark, d):
     s1, r = _sides(spark, d)
-    return B.gram_weights(B.gram_counts(s1, TEXT), B.gram_idf(r, B.gram_counts(r, TEXT))).select("country", "id", "gram", six("w").alias("w"))
+    return B.gram_weights(B.gram_counts(s1, _text()), B.gram_idf(r, B.gram_counts(r, _text()))).select("country", "id", "gram", six("w").alias("w"))
 
 
 RANKED = "SELECT country, s1, r, round(score + 5e-10, 6) AS score, rk AS rank FROM (SELECT *, (row_number() OVER (PARTITION BY country, {by} ORDER BY score DESC, {other}) - 1)::INTEGER AS rk FROM sc) WHERE rk < {k}"
@@ -200,7 +203,7 @@ def adaptive_prune(spark, d):
 
 def _union(spark, d) -> DataFrame:
     s1, r = _keyed(spark, d)
-    scores = B.gram_scores(s1, r, TEXT)
+    scores = B.gram_scores(s1, r, _text())
     legs = {
         "tq": B.prune(B.top(scores, "s1", "r", B.FORWARD), "s1", *B.PRUNE["tq"]),
         "tr": B.prune(B.top(scores, "r", "s1", B.BACK), "r", *B.PRUNE["tr"]),
@@ -322,7 +325,7 @@ def region_cost(spark, d):
 def trigram_partitioned(spark, d):
     """The forward trigram list within regions: both directions come from the same product."""
     s1, r, a, b = _assigned(spark, d)
-    scores = B.gram_scores(s1, r, TEXT, within=regions.overlap_pairs(s1, r, a, b))
+    scores = B.gram_scores(s1, r, _text(), within=regions.overlap_pairs(s1, r, a, b))
     return B.top(scores, "s1", "r", B.FORWARD).withColumn("score", nine_to_six("score"))
 
 

@@ -38,3 +38,12 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry_without_oracle_runs(spark):
     for name in ("indel_ratio", "label_partitions", "density_split", "folds", "name_fingerprint", "trigram_partitioned"):
         assert catalogue.QUERIES[name](spark, D).count() >= 0
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=top, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr
