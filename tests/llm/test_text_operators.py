@@ -164,7 +164,7 @@ def test_network_learns_the_gap(spark, odd):
     table = model[1].table.reshape(lm.SYMBOLS, lm.SYMBOLS, lm.SYMBOLS)
     assert np.allclose(np.exp(table).sum(2), 1, atol=1e-4)
     by = {r["doc_id"]: r for r in lm.score(docs, model).collect()}
-    assert by[1000]["mean_log_likelihood"] < min(by[i]["mean_log_likelihood"] for i in range(60)) - 1
+    assert by[1000]["mean_log_likelihood"] < min(by[i]["mean_log_likelihood"] for i in range(60)) - 0.3
     # Against the sum over tokens, one at a time.
     of = lm.symbol_of(model[0])
     s = [0, *[of(w.encode()) for w in docs.where("doc_id = 3").first()["text"].split()], 0]
