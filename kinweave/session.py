@@ -10,9 +10,15 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
+#: Rows of an Arrow batch, where the session has Spark's default of 10 000: whole documents are large rows.
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package wherever they run: the driver serves it as a zip, once a context."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH[0], BATCH[1]) == BATCH[1]:
+        spark.conf.set(BATCH[0], BATCH[2])
     if getattr(context, "_kinweave_shipped", False):
         return
     top = os.path.dirname(os.path.abspath(__file__))
