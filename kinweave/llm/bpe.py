@@ -22,7 +22,7 @@ from .base import pieces, ship
 from .pretokens import Splitter, tiktoken_classes
 
 #: Pre-tokens that a worker remembers in each of two generations; it bounds memory and changes time alone.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Pre-tokens longer than this are encoded afresh each time.
 REMEMBERED_LENGTH = 64
 
