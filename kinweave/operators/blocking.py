@@ -63,6 +63,57 @@ def gram_scores(s1: DataFrame, r: DataFrame, text: Column, min_df: int = 2, max_
     return out if within is None else out.join(within.select("country", "s1", "r"), ["country", "s1", "r"], "left_semi")
 
 
+def gram_top(s1: DataFrame, r: DataFrame, text: Column, forward: int = FORWARD, back: int = BACK, min_df: int = 2, max_df: float = 1.0, rows: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """The best records of every anchor and the best anchors of every record by cosine: two (country, s1, r, score, rank).
+
+    Where gram_scores() makes a row of each gram that a pair shares, this deals both sides into blocks by a hash of the id;
+    each pair of blocks of a country is one matrix product, made a few thousand grams at a time, of which both lists' best
+    are returned. What a task holds is bounded, and pairs are never rows.
+    """
+    of_s1, of_r = gram_counts(s1, text), gram_counts(r, text)
+    idf = gram_idf(r, of_r, min_df, max_df)
+    sparse = lambda counts: gram_weights(counts, idf).groupBy("country", "id").agg(F.collect_list(F.struct(F.xxhash64("gram").alias("g"), "w")).alias("x"))
+    a, b = sparse(of_s1), sparse(of_r)
+    count = lambda side, name: side.groupBy("country").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+    sizes = F.broadcast(count(s1, "n_s1").join(count(r, "n_r"), "country"))
+    hashed = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    unpack = [F.transform("x", lambda x: x["g"]).alias("g"), F.transform("x", lambda x: x["w"]).alias("w")]
+    a = a.join(sizes, "country").select("country", hashed("n_s1").alias("i"), every("n_r").alias("j"), F.col("id").alias("s1"), *unpack)
+    b = b.join(sizes, "country").select(F.col("country").alias("c"), every("n_s1").alias("bi"), hashed("n_r").alias("bj"), F.col("id").alias("r"), *unpack)
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"country": [], "way": [], "s1": [], "r": [], "score": []})
+        left, right = left.sort_values("s1", kind="stable"), right.sort_values("r", kind="stable")
+        flat = [(np.repeat(np.arange(len(x)), [len(g) for g in x["g"]]), np.concatenate(list(x["g"])), np.concatenate(list(x["w"]))) for x in (left, right)]
+        names = np.unique(np.concatenate([flat[0][1], flat[1][1]]))
+        z = np.zeros((len(left), len(right)))
+        for at in range(0, len(names), 4096):
+            part = names[at : at + 4096]
+            dense = []
+            for n, (row, gram, w) in zip((len(left), len(right)), flat, strict=True):
+                inside = (gram >= part[0]) & (gram <= part[-1])
+                m = np.zeros((n, len(part)))
+                m[row[inside], np.searchsorted(part, gram[inside])] = w[inside]
+                dense.append(m)
+            z += dense[0] @ dense[1].T
+        z = np.round(z, 9)
+        out = []
+        for way, scores, k in (("f", z, forward), ("b", z.T, back)):
+            at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            own, value = np.repeat(np.arange(len(scores)), at.shape[1]), np.take_along_axis(scores, at, 1).ravel()
+            x, y = (own, at.ravel()) if way == "f" else (at.ravel(), own)
+            out.append(pd.DataFrame({"country": left["country"].iloc[0], "way": way, "s1": left["s1"].to_numpy()[x], "r": right["r"].to_numpy()[y], "score": value}))
+        out = pd.concat(out)
+        return out[out["score"] > 0]
+
+    kind = s1.schema["id"].dataType.simpleString()
+    schema = f"country {s1.schema['country'].dataType.simpleString()}, way string, s1 {kind}, r {r.schema['id'].dataType.simpleString()}, score double"
+    found = a.groupBy("country", "i", "j").cogroup(b.groupBy("c", "bi", "bj")).applyInPandas(best, schema)
+    return top(found.where("way = 'f'").drop("way"), "s1", "r", forward), top(found.where("way = 'b'").drop("way"), "r", "s1", back)
+
+
 def top(hits: DataFrame, by: str, other: str, k: int, score: str = "score") -> DataFrame:
     """hits with their rank among those of `by`, the first k."""
     w = Window.partitionBy("country", by).orderBy(F.desc(score), other)

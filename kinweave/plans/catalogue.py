@@ -154,8 +154,8 @@ def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
     return W.sides(W.records(spark, d))
 
 
-def _grams(spark, d) -> DataFrame:
-    return B.gram_scores(*_sides(spark, d), _text())
+def _grams(spark, d) -> tuple[DataFrame, DataFrame]:
+    return B.gram_top(*_sides(spark, d), _text())
 
 
 @query(f"WITH {GRAMS} SELECT country, gram, df, round(idf, 6) AS idf FROM idf")
@@ -175,12 +175,12 @@ RANKED = "SELECT country, s1, r, round(score + 5e-10, 6) AS score, rk AS rank FR
 
 @query(f"WITH {GRAMS} {RANKED.format(by='s1', other='r', k=B.FORWARD)}")
 def trigram_topk_fwd(spark, d):
-    return B.top(_grams(spark, d), "s1", "r", B.FORWARD).withColumn("score", nine_to_six("score"))
+    return _grams(spark, d)[0].withColumn("score", nine_to_six("score"))
 
 
 @query(f"WITH {GRAMS} {RANKED.format(by='r', other='s1', k=B.BACK)}")
 def trigram_topk_rev(spark, d):
-    return B.top(_grams(spark, d), "r", "s1", B.BACK).withColumn("score", nine_to_six("score"))
+    return _grams(spark, d)[1].withColumn("score", nine_to_six("score"))
 
 
 PRUNED = f"""{GRAMS},
@@ -198,15 +198,15 @@ PRUNED = f"""{GRAMS},
 
 @query(f"WITH {PRUNED} SELECT country, s1, r, round(score + 5e-10, 6) AS score, rank::INTEGER AS rank FROM tq")
 def adaptive_prune(spark, d):
-    return B.prune(B.top(_grams(spark, d), "s1", "r", B.FORWARD), "s1", *B.PRUNE["tq"]).withColumn("score", nine_to_six("score"))
+    return B.prune(_grams(spark, d)[0], "s1", *B.PRUNE["tq"]).withColumn("score", nine_to_six("score"))
 
 
 def _union(spark, d) -> DataFrame:
     s1, r = _keyed(spark, d)
-    scores = B.gram_scores(s1, r, _text())
+    forward, back = B.gram_top(s1, r, _text())
     legs = {
-        "tq": B.prune(B.top(scores, "s1", "r", B.FORWARD), "s1", *B.PRUNE["tq"]),
-        "tr": B.prune(B.top(scores, "r", "s1", B.BACK), "r", *B.PRUNE["tr"]),
+        "tq": B.prune(forward, "s1", *B.PRUNE["tq"]),
+        "tr": B.prune(back, "r", *B.PRUNE["tr"]),
         "a": B.capped_pairs(s1, r, "addr_key"),
     }
     return B.union_legs(legs)
