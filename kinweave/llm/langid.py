@@ -141,7 +141,7 @@ class ContextTrees:
 def training_rows(docs: DataFrame, id_col: str, lang_col: str, text_col: str, held_out, per_lang: int, in_all: int, longest: int) -> list:
     """The sample that trees are learned from: about per_lang whole texts of each language and in_all together, of at
     most `longest` characters, chosen by a hash of the id among labelled rows that aren't held out."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("id")), F.lit(False)))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
