@@ -1,7 +1,9 @@
 """Language ID, BPE, token counts, LM scores and licences, with the odd rows that each must bear."""
 
 import hashlib
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -183,6 +185,38 @@ def test_triple_counts_cover_all(spark):
     assert got == {(0 * s + b) * s + a: 2, (a * s + a) * s + b: 2, (b * s + 0) * s + a: 2}
 
 
+def test_every_word_is_predicted(spark, monkeypatch):
+    """Against the definition, with rare words that are joined and, by HEAD, ones that are broadcast."""
+    draw = random.Random(2)
+    texts = [" ".join(f"w{int(draw.paretovariate(0.6)) % 900}" for _ in range(50)) for _ in range(120)] + ["solo0 w1 w2", "w1 Twice3 w2", "twice3"]
+    docs = spark.createDataFrame([(None if i == 5 else i // 2, t) for i, t in enumerate(texts)] + [(7, "w1 unseen4 w2")], "doc_id long, text string")
+    counts = Counter(w for t in texts for w in t.lower().split())
+    model = lm.train(docs.where("text NOT LIKE '%unseen%'"))
+    of = lm.symbol_of(model.vocabulary)
+    table = model.network.table.reshape(lm.SYMBOLS, lm.SYMBOLS, lm.SYMBOLS)
+    total = Counter()
+    for w, n in counts.items():
+        total[of(w.encode())] += n
+    assert len(counts) > lm.VOCABULARY + 100
+
+    def by_hand(text):
+        w = text.lower().split()
+        s = [0, *[of(x.encode()) for x in w], 0]
+        inside = [0.0 if x in model.vocabulary else math.log(max(counts[x], 1) / (1 + total[k])) for x, k in zip(w, s[1:-1], strict=True)]
+        return sum(inside) + sum(float(table[s[i - 1], s[i + 1], s[i]]) for i in range(1, len(s) - 1))
+
+    want = sorted(by_hand(r["text"]) for r in docs.collect())
+    for head in (lm.HEAD, 300):
+        monkeypatch.setattr(lm, "HEAD", head)
+        rows = lm.score(docs, model).collect()
+        assert np.allclose(sorted(r["log_likelihood"] for r in rows), want, atol=1e-3)
+    # A rare word for another of its class changes the score.
+    rare = next(w for w in counts if counts[w] > 1 and w not in model.vocabulary)
+    twin = next(f"x{k}" for k in range(9999) if of(f"x{k}".encode()) == of(rare.encode()))
+    got = {r["doc_id"]: r["log_likelihood"] for r in lm.score(spark.createDataFrame([(1, f"w1 {rare} w2"), (2, f"w1 {twin} w2")], "doc_id long, text string"), model).collect()}
+    assert abs(got[1] - got[2] - math.log(counts[rare])) < 1e-6
+
+
 def test_licences(spark, odd):
     plain = spark.createDataFrame([(100 + i, f"word{i} stone river lamp\nthe hill of {i} and a cloud in the night") for i in range(60)], "doc_id long, text string")
     marked = [(500, "one\nReleased under the MIT License.\ntwo"), (501, "Licensed under the Apache License, Version 2.0."), (502, "This work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0."), (503, "Licensed under the Zope Public License 2.1"), (504, "The licence of poets to lie."), (505, "RELEASED UNDER THE MIT LICENSE")]
