@@ -1,6 +1,7 @@
 """Licence scans by a trained paragraph classifier (operator 9).
 
-A paragraph is a line. Its features are the word n-grams, up to three words, that occur in the templates below; a
+A paragraph is a line, or neighbouring lines without a blank one between them that hold a notice together: a run whose
+share of a template is above that of each of its lines. Its features are the word n-grams, up to three words, that occur in the templates below; a
 multinomial logistic regression in numpy learns families from variations of the templates and `none` from paragraphs of
 the corpus. Probabilities are tempered, and the threshold under which a licence-like paragraph is called `unknown` is
 set, on variations held out from training. A family is reported where a template of it confirms the prediction by the
@@ -99,6 +100,8 @@ NEWLINE = b"\x01"
 CLEAN = bytes(b if b > 127 or b == 1 or chr(b).isalnum() and not chr(b).isupper() else ord(chr(b).lower()) if chr(b).isupper() else 32 for b in range(256))
 #: Share of a template's n-grams that a paragraph must have.
 CONFIRMED = 0.6
+#: By how much a run of lines must hold more of a template than each line alone, unless the template crosses its newlines; words that a run may have for each of a template.
+BETTER, LOOSE = 0.1, 2
 
 
 def words(text: str) -> list[bytes]:
@@ -109,10 +112,72 @@ def ngrams(tokens: list[bytes]) -> set[tuple[bytes, ...]]:
     return {tuple(tokens[i : i + n]) for n in (1, 2, 3) for i in range(len(tokens) - n + 1)}
 
 
+def shares(own: set, templates: list[tuple[str, set]]) -> np.ndarray:
+    return np.array([len(own & g) / len(g) for _, g in templates])
+
+
+def runs(lines: list[list[bytes]], templates: list[tuple[str, set]]) -> list[tuple[int, int]]:
+    """Runs [i, j) of lines of a block that hold a notice together, the longest notice first; none overlap."""
+    every = set().union(*(g for _, g in templates))
+    sizes = np.array([len(g) for _, g in templates])
+    longest = LOOSE * max(sum(len(x) == 1 for x in g) for _, g in templates)
+    family = np.array([f for f, _ in templates])
+    other = family[:, None] != family
+    alone = [shares(ngrams(x), templates) for x in lines]
+    found = []
+    for i, line in enumerate(lines):
+        if not any((w,) in every for w in line):
+            continue
+        found.append((-int((alone[i] * sizes)[alone[i] >= CONFIRMED].max(initial=0)), 1, i))
+        tokens, most, single, joint = list(line), 0, alone[i], True
+        for j in range(i + 1, len(lines)):
+            joint = joint & np.array([(*tokens[-1:], *lines[j][:1]) in g for _, g in templates])
+            tokens += lines[j]
+            if len(tokens) > longest:
+                break
+            single = np.maximum(single, alone[j])
+            share = shares(ngrams(tokens), templates)
+            # Clearly more of a template than a line has, or more where the template goes on from line to line; and no less
+            # than a line has of another family's.
+            fit = (share >= CONFIRMED) & ((share >= single + BETTER) | joint & (share > single)) & (share >= np.where(other, single, 0).max(1))
+            held = int(np.rint((share * sizes)[fit]).max(initial=0))
+            if held > most:
+                most = held
+                found.append((-held, j + 1 - i, i))
+    out, taken = [], set()
+    for held, n, i in sorted(found):
+        if held and taken.isdisjoint(range(i, i + n)):
+            taken.update(range(i, i + n))
+            if n > 1:
+                out.append((i, i + n))
+    return out
+
+
+def plain_lines(text: str, templates: list[tuple[str, set]]) -> list[str]:
+    """Lines of a text that aren't blank, without the wrapped notices."""
+    out: list[str] = []
+    block: list[str] = []
+    for x in [*text.split("\n"), ""]:
+        if words(x):
+            block.append(x)
+        else:
+            tokens = [words(b) for b in block]
+            if len(block) > 1 and shares(ngrams([w for t in tokens for w in t]), templates).max() >= CONFIRMED:
+                gone = {k for i, j in runs(tokens, templates) for k in range(i, j)}
+                block = [b for k, b in enumerate(block) if k not in gone]
+            out += block + [x] * bool(x.strip())
+            block = []
+    return out
+
+
+def template_sets() -> list[tuple[str, set]]:
+    return [(family, ngrams(words(t))) for family, texts in TEMPLATES.items() for t in texts]
+
+
 class Scanner:
     def __init__(self, plain: list[str], seed: int = 3, steps: int = 250):
         """plain: paragraphs of the corpus, from which those that a template would confirm are left out."""
-        self.templates = [(family, ngrams(words(t))) for family, texts in TEMPLATES.items() for t in texts]
+        self.templates = template_sets()
         self.families = [NONE, UNKNOWN, *TEMPLATES]
         # Features: every n-gram of the templates and openings, found along three tables of word, pair and triple.
         grams = set().union(*(g for _, g in self.templates), *(ngrams(words(x)) for x in OPENINGS))
@@ -127,6 +192,11 @@ class Scanner:
             self.triple[self.pair[self.word[a], self.word[b]], self.word[c]] = i
         self.bases = (0, size, size + len(pairs) + 1)
         self.width = size + len(pairs) + len(triples) + 2
+        self.holds = np.zeros((self.width, len(self.templates)), np.float32)
+        for t, (_, own) in enumerate(self.templates):
+            for n, ids in enumerate((((g, self.word[g[0]]) for g in own if len(g) == 1), ((g, i) for i, g in enumerate(pairs, 1) if g in own), ((g, i) for i, g in enumerate(triples, 1) if g in own))):
+                for _, i in ids:
+                    self.holds[i + self.bases[n], t] = 1 / len(own)
         self._fit(plain, random.Random(seed), steps)
 
     def features(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,16 +205,41 @@ class Scanner:
         u = np.fromiter((get(w, 0) if w != NEWLINE else -1 for w in tokens), np.int32, len(tokens))
         line = np.cumsum(u < 0)
         size = np.bincount(line[u >= 0], minlength=int(line[-1]) + 1 if len(line) else 1)
-        known = np.maximum(u, 0)
+        return *self._found(u[u >= 0], line[u >= 0]), size
+
+    def _found(self, known: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (line, feature) pairs of words given by number and line."""
         found = [(known, line)]
-        if len(u) > 1:
-            p = self.pair[known[:-1], known[1:]]
+        if len(known) > 1:
+            p = self.pair[known[:-1], known[1:]] * (line[:-1] == line[1:])
             found.append((p, line[:-1]))
-            if len(u) > 2:
-                found.append((self.triple[p[:-1], known[2:]], line[:-2]))
+            if len(known) > 2:
+                found.append((self.triple[p[:-1], known[2:]] * (line[1:-1] == line[2:]), line[:-2]))
         codes = [at[f > 0].astype(np.int64) * self.width + f[f > 0] + base for (f, at), base in zip(found, self.bases, strict=False)]
         codes = np.unique(np.concatenate(codes))
-        return codes // self.width, codes % self.width, size
+        return codes // self.width, codes % self.width
+
+    def blocks(self, tokens: list[bytes], ends: np.ndarray) -> list[tuple[int, int]]:
+        """Blocks of several lines [first, last] that together hold enough of a template; ends: the last line of each text."""
+        get = self.word.get
+        u = np.fromiter((get(w, 0) if w != NEWLINE else -1 for w in tokens), np.int32, len(tokens))
+        line = np.cumsum(u < 0)
+        size = np.bincount(line[u >= 0], minlength=int(line[-1]) + 1)
+        new = size == 0
+        new[ends + 1] = True
+        block = np.cumsum(new)
+        at, feature = self._found(u[u >= 0], block[line[u >= 0]])
+        starts = np.flatnonzero(np.diff(at, prepend=-1))
+        if not len(starts):
+            return []
+        held = np.add.reduceat(self.holds[feature], starts, axis=0).max(1)
+        filled = np.flatnonzero(size > 0)
+        out = []
+        for b in at[starts[held >= CONFIRMED - 1e-4]]:
+            own = filled[np.searchsorted(block[filled], b) : np.searchsorted(block[filled], b, side="right")]
+            if len(own) > 1:
+                out.append((int(own[0]), int(own[-1])))
+        return out
 
     def logits(self, line: np.ndarray, feature: np.ndarray, size: np.ndarray) -> np.ndarray:
         """A row for each paragraph that has a feature; features weigh less in longer paragraphs."""
@@ -245,13 +340,26 @@ class Scanner:
         filled = np.bincount(doc_of[np.flatnonzero(size[: len(marks)] > 0)], minlength=len(texts))
         out = [(int(n), {}, 0.0) for n in filled]
         lines = line[np.flatnonzero(np.diff(line, prepend=-1))]
-        for k in np.flatnonzero(p[:, 0] < 0.5):
-            at = lines[k]
-            tokens = stream[(marks[at - 1] + 1 if at else 0) : marks[at]]
-            name, sure = self.verdict(tokens, p[k])
+        own = lambda at: stream[(marks[at - 1] + 1 if at else 0) : marks[at]]
+
+        def add(at: int, name: str, sure: float, fewer: int = 0) -> None:
             n, found, most = out[doc_of[at]]
             found[name] = found.get(name, 0) + 1
-            out[doc_of[at]] = (n, found, max(most, sure))
+            out[doc_of[at]] = (n - fewer, found, max(most, sure))
+
+        taken = set()
+        for first, last in self.blocks(stream, np.searchsorted(marks, np.array(ends) - 1)) if len(marks) else ():
+            for i, j in runs([own(at) for at in range(first, last + 1)], self.templates):
+                tokens = [w for at in range(first + i, first + j) for w in own(at)]
+                _, feature, n = self.features(tokens)
+                q = softmax(self.logits(np.zeros(len(feature), np.int64), feature, n) / self.temperature)[0]
+                name, sure = self.verdict(tokens, q)
+                if name != UNKNOWN:
+                    taken.update(range(first + i, first + j))
+                    add(first + i, name, sure, j - i - 1)
+        for k in np.flatnonzero(p[:, 0] < 0.5):
+            if (at := int(lines[k])) not in taken:
+                add(at, *self.verdict(own(at), p[k]))
         return out
 
 
@@ -264,16 +372,17 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per row: id, n_paragraphs, licences (families found, sorted, comma-joined; `unknown` among them), n_licence
     (paragraphs that are licences), probability (the largest of a found family; 0 if none).
 
-    Null, empty and blank texts have 0 paragraphs and no licence. Every paragraph of every text is scored; the paragraphs
+    A notice that is wrapped over several lines is one paragraph. Null, empty and blank texts have 0 paragraphs and no licence. Every paragraph of every text is scored; the paragraphs
     that teach `none` are those of about sample_docs documents chosen by a hash, at most sample_lines. Rows are
     independent, equal texts get equal results, an empty table gives an empty one, other columns are not read.
     """
     ship(docs.sparkSession)
     total = docs.count()
     near = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(min(1.0, sample_docs / max(total, 1)) * (1 << 30))
+    templates = template_sets()
     # The sample's order mustn't depend on the partitions.
     sample = docs.where(near & F.col(text_col).isNotNull() & (F.length(text_col) < 40_000)).select(text_col).collect()
-    lines = sorted({x for r in sample for x in r[0].split("\n") if x.strip()}, key=lambda x: (hash_text(x), x))[:sample_lines]
+    lines = sorted({x for r in sample for x in plain_lines(r[0], templates)}, key=lambda x: (hash_text(x), x))[:sample_lines]
     held = docs.sparkSession.sparkContext.broadcast(Scanner(lines))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -227,3 +228,27 @@ def test_licences(spark, odd):
     assert all(by[100 + i]["licences"] == "" for i in range(60))
     assert all(by[i]["n_paragraphs"] == 0 for i in (1, 2, 3))
     assert licences.scan_licences(docs.limit(0)).count() == 0
+
+
+def test_wrapped_notices():
+    plain = [f"word{i} stone river lamp and a cloud in the night" for i in range(60)]
+    scanner = licences.Scanner(plain)
+    missed = []
+    for family, notices in licences.TEMPLATES.items():
+        for notice in notices:
+            for width in (35, 50, 65, 79):
+                for mark in ("", "# ", " * "):
+                    lines = textwrap.wrap(notice, width)
+                    text = "\n".join([*(mark + x for x in lines), "", "word3 lamp", "word1 stone river lamp"])
+                    n, found, _ = scanner.scan(["some text", text, None])[1]
+                    if found != {family: 1} or n != 3:
+                        missed.append((family, width, mark, n, found, notice))
+    assert not missed, missed
+    # Within a block; two one-line notices side by side; a blank line and a text's end part paragraphs.
+    gpl = textwrap.wrap(licences.TEMPLATES["GPL-3.0"][1], 70)
+    n, found, _ = scanner.scan(["\n".join(["word1 stone river lamp", *gpl, "word2 stone river lamp"])])[0]
+    assert (n, found) == (3, {"GPL-3.0": 1}), (n, found)
+    assert scanner.scan(["Released under the MIT License.\nLicensed under CC BY-NC 4.0."])[0][1] == {"MIT": 1, "CC-BY-NC-4.0": 1}
+    assert all("GPL-3.0" not in x[1] for x in scanner.scan(["\n".join(gpl[:1]), "\n".join(gpl[1:2]), "\n\n".join(gpl)]))
+    # Wrapped notices of the corpus don't teach `none`.
+    assert licences.plain_lines("\n".join(["one", "", *gpl, "", "two"]), scanner.templates) == ["one", "two"]
