@@ -619,12 +619,18 @@ def name_fingerprint(spark, d):
     return evaluation.fingerprint(W.records(spark, d), "name")
 
 
+SCORER_FOLDS = 4
+#: What order lines have as features of an edge; the context of stage 2 comes on top.
+SCORER_FEATURES = ["cos", "n_cand", "r_mod", "is_s3", "n_cand_s1", "rank_s1", "rank_r"]
+
+
 @query()
 def stage_scorer(spark, d):
-    """Edges of the odd folds scored by the two stages trained on the even ones."""
+    """Edges of the odd folds scored by the two stages trained on the even ones, with the scorer's own rounds and folds."""
     e = W.edges(spark, d)
-    w = Window.partitionBy("country", "r")
-    rows = e.withColumns({"cos": F.col("p"), "n_cand": F.count("*").over(w), "label": (F.col("p") >= 0.6) & (F.col("r") % 3 != 0), "r_mod": F.col("r") % 3, "half": F.pmod(F.crc32(F.col("s1").cast("string").cast("binary")), F.lit(2))}).drop("p")
-    train = rows.where("half = 0").withColumn("fold", F.pmod(F.xxhash64("s1"), F.lit(2)).cast("int")).drop("half")
-    params = scorer.Params(rounds=3, depth=4, least=10)
-    return scorer.two_stage(train, rows.where("half = 1").drop("half", "label"), ["cos", "n_cand", "r_mod"], 2, params).select("country", "s1", "r", F.round("p", 6).alias("p"))
+    of_r, of_s1 = Window.partitionBy("country", "r"), Window.partitionBy("country", "s1")
+    rank = lambda w, tie: F.row_number().over(w.orderBy(F.desc("p"), tie)) - 1
+    rows = e.withColumns({"cos": F.col("p"), "n_cand": F.count("*").over(of_r), "n_cand_s1": F.count("*").over(of_s1), "rank_s1": rank(of_s1, "r"), "rank_r": rank(of_r, "s1")})
+    rows = rows.withColumns({"label": (F.col("p") >= 0.6) & (F.col("r") % 3 != 0), "r_mod": F.col("r") % 3, "half": F.pmod(F.crc32(F.col("s1").cast("string").cast("binary")), F.lit(2))}).drop("p")
+    train = rows.where("half = 0").withColumn("fold", F.pmod(F.xxhash64("s1"), F.lit(SCORER_FOLDS)).cast("int")).drop("half")
+    return scorer.two_stage(train, rows.where("half = 1").drop("half", "label"), SCORER_FEATURES, SCORER_FOLDS, scorer.Params()).select("country", "s1", "r", F.round("p", 6).alias("p"))

@@ -47,3 +47,20 @@ def test_queries_are_listed_without_a_session():
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=top, capture_output=True, text=True, timeout=120)
     assert said.returncode == 0, said.stderr
+
+
+def test_scorer_query_is_whole(spark, monkeypatch):
+    """The registered query asks for the scorer's own rounds, depth and folds, and for every feature of its edges."""
+    from kinweave.operators import scorer
+
+    asked = {}
+
+    def two_stage(train, evaluate, features, k=4, params=None):
+        asked.update(features=features, k=k, params=params or scorer.Params(), folds=train.select("fold").distinct().count())
+        return evaluate.withColumn("p", evaluate["cos"])
+
+    monkeypatch.setattr(scorer, "two_stage", two_stage)
+    assert catalogue.QUERIES["stage_scorer"](spark, D).count() > 0
+    assert (asked["params"], asked["k"], asked["folds"]) == (scorer.Params(), 4, 4)
+    assert (asked["params"].rounds, asked["params"].depth, asked["params"].least) == (300, 7, 100)
+    assert len(asked["features"]) == 7
