@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinweave.session import shared_dir, ship
 
-__all__ = ["cut", "pieces", "shared_dir", "ship", "table"]
+__all__ = ["cut", "near", "pieces", "shared_dir", "ship", "table"]
+
+#: Rows, of some tens of bytes each, up to which a counted table is broadcast.
+BROADCAST_ROWS = 300_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +26,21 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def pieces(batches, rows: int = 1024):
-    """Arrow batches in slices of at most so many rows, which bounds what Python holds at once."""
+def near(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast where it has at most so many rows; it should be cheap to count, such as a checkpoint."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def pieces(batches, rows: int = 1024, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of at most so many rows and, but for single rows, bytes: what Python holds at once."""
+
+    def halved(piece: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if piece.num_rows <= 1 or piece.nbytes <= size:
+            yield piece
+        else:
+            yield from halved(piece.slice(0, piece.num_rows // 2))
+            yield from halved(piece.slice(piece.num_rows // 2))
+
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+            yield from halved(batch.slice(at, rows))

@@ -1,8 +1,9 @@
 """Connected components of a graph given as edges, by alternating stars.
 
 Each round points the larger neighbours of every node at the least one, then the smaller ones, until every node of a
-component hangs on its smallest. Minima are partial aggregates, so a node with very many edges is no hot task, and each
-round is cut by a checkpoint; nothing but two numbers a round reaches the driver.
+component hangs on its smallest. Minima are partial aggregates. Nodes with more than 1 / HUBS of all edges, of which there
+can be 2 * HUBS at most, get their minimum from a broadcast table, so a join's tasks meet no node with more edges than
+that. Each round is cut by a checkpoint; nothing but two numbers a round reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,22 +13,35 @@ from pyspark.sql import functions as F
 
 from .base import cut
 
+#: A node is a hub if it has over a HUBS-th of the edges, and over FEW.
+HUBS, FEW = 20_000, 100
+
 
 def _sum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def _with_least(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, least) with the least neighbour of a, and (a, least) of every node; edges has about n rows."""
+    told = edges.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n"))
+    hubs = F.broadcast(told.where(F.col("n") > max(FEW, n // HUBS)).select(F.col("a").alias("hub"), F.col("least").alias("of_hub")))
+    marked = edges.join(hubs, F.col("a") == F.col("hub"), "left")
+    easy = marked.where("hub IS NULL").select("a", "b").join(told.select("a", "least"), "a")
+    return easy.unionByName(marked.where("hub IS NOT NULL").select("a", "b", F.col("of_hub").alias("least"))), told.select("a", "least")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every node that has an edge; component is the smallest id reachable. Loops count for nothing."""
     now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
     now = cut(now)
     before = _sum(now)
-    while True:
+    while before[0]:
         both = now.select("a", "b").union(now.select(F.col("b"), F.col("a")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("least"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).union(least.select("a", "least")).where("a <> b").distinct()
+        # A node that is smaller than its neighbours is itself the least.
+        large = _with_least(both, 2 * before[0])[0].select(F.col("b").alias("a"), F.least("a", "least").alias("b"), F.col("a").alias("of")).where("a > of AND a <> b")
+        large = large.select("a", "b").distinct()
+        pairs, least = _with_least(large, before[0])
+        small = pairs.select(F.col("b").alias("a"), F.col("least").alias("b")).union(least).where("a <> b").distinct()
         now = cut(small)
         after = _sum(now)
         if after == before:

@@ -6,9 +6,11 @@ CHUNKS * (ERRORS + 1) symbols have a chunk with at most ERRORS differing ones, s
 of its WIDTH - ERRORS remaining symbols brings every such pair together in a bucket. With 8 chunks of 5 and one error all
 pairs that differ in up to 15 of 40 symbols meet for certain, and of any pair of similarity 0.8 all but two in 100,000.
 
-Equal sets are one class before anything is compared. Buckets join members whose signatures differ in at most NEAR
-symbols into clusters; inside a cluster every pair is then decided exactly on the full sets. Neither step emits pairs: each
-group of at most BLOCK members, or of two blocks of a larger group, returns a spanning forest of its links.
+Equal sets are one class, known by the set's digest, before anything is compared. Buckets join classes whose signatures
+differ in at most NEAR symbols into clusters; inside a cluster links are then decided exactly on the full sets. Neither
+step emits pairs. A group of bounded weight is one task's, which returns a star for each of its components. A larger one is
+dealt into parts: each part's stars leave their centres, the centres are dealt again, and only what no centre has linked is
+compared block by block. So a group of mutually near texts costs in proportion to its size, whatever that is.
 """
 
 from __future__ import annotations
@@ -19,10 +21,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .base import cut, pieces, ship
+from .base import cut, near, pieces, ship
 from .bpe import Memory
 from .components import components
 
@@ -30,7 +33,8 @@ CHUNKS, WIDTH, ERRORS = 8, 5, 1
 SYMBOLS = CHUNKS * WIDTH
 #: Differing symbols up to which bucket mates are clustered: at similarity 0.8 more occur in one of ten million pairs.
 NEAR = 22
-BUCKET_BLOCK, TEXT_BLOCK = 1024, 192
+#: Weight of a group that one task compares: signatures, or texts, one for every LIGHT shingles counting once more.
+BUCKET_BLOCK, TEXT_BLOCK, LIGHT = 1024, 192, 5000
 
 _draw = np.random.default_rng(20240229)
 SALTS = _draw.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
@@ -80,20 +84,20 @@ def keys(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def forest(near: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (parent, child) that connect what the symmetric boolean matrix connects."""
-    waiting, out = np.ones(len(near), bool), []
-    for root in range(len(near)):
-        if not waiting[root]:
+def centres(linked: np.ndarray) -> np.ndarray:
+    """Of each row of a symmetric boolean matrix the row of its component that most others are linked with."""
+    out, degree = np.full(len(linked), -1), linked.sum(1)
+    for seed in range(len(linked)):
+        if out[seed] >= 0:
             continue
-        waiting[root] = False
-        queue = [root]
+        waiting, members, queue = out < 0, [seed], [seed]
+        waiting[seed] = False
         while queue:
-            x = queue.pop()
-            new = np.flatnonzero(near[x] & waiting)
+            new = np.flatnonzero(linked[queue.pop()] & waiting)
             waiting[new] = False
             queue.extend(new.tolist())
-            out.extend((x, y) for y in new.tolist())
+            members.extend(new.tolist())
+        out[members] = members[int(degree[members].argmax())]
     return out
 
 
@@ -123,41 +127,100 @@ def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[dict[str,
         yield dict(zip(names, held, strict=True))
 
 
-def blocked(df: DataFrame, by: list[str], order: str, size: int) -> DataFrame:
-    """Rows of groups of two or more, with columns i, j, own: each pair of blocks of at most `size` rows of a group is a
-    group of its own, and own tells of which of the two blocks a row is."""
-    w = Window.partitionBy(*by)
-    df = df.withColumns({"n_in": F.count("*").over(w), "at": F.row_number().over(w.orderBy(order))}).where("n_in > 1")
-    block, blocks = F.floor((F.col("at") - 1) / size).cast("int"), F.ceil(F.col("n_in") / size).cast("int")
-    df = df.withColumns({"own": block, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    return df.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("n_in", "at", "other")
+def stars(df: DataFrame, by: list[str], link: Callable[[dict[str, list]], np.ndarray]) -> DataFrame:
+    """(*by, big, a, b): b of every row's id and a of the centre of its component within the group of by and part. Rows
+    that are their own centre come only of groups marked big."""
+    names = [*by, "part", "big", "id", *[c for c in df.columns if c not in (*by, "part", "big", "id")]]
+    told_names = [*by, "big", "a", "b"]
+    kinds = [*[to_arrow_type(df.schema[c].dataType) for c in (*by, "big")], pa.binary(), pa.binary()]
+    batch_of = lambda out: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], told_names)
 
-
-def edges_of(df: DataFrame, by: list[str], kind: str, link: Callable[[dict[str, list]], np.ndarray]) -> DataFrame:
-    """Spanning forests (a, b) of all groups of blocked() rows with column id; link gives a group's matrix of links."""
-    names = [*by, "i", "j", "own", "id", *[c for c in df.columns if c not in (*by, "i", "j", "own", "id")]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in told_names]
+        for g in groups(batches, len(by) + 2):
+            n = len(g["id"])
+            if n < 2 and not g["big"][0]:
+                continue
+            centre = centres(link(g)) if n > 1 else np.zeros(1, int)
+            told = np.arange(n) if g["big"][0] else np.flatnonzero(centre != np.arange(n))
+            for column, value in zip(out, [g[c][0] for c in (*by, "big")], strict=False):
+                column.extend([value] * len(told))
+            out[-2].extend(g["id"][centre[k]] for k in told)
+            out[-1].extend(g["id"][k] for k in told)
+            if len(out[-1]) > 50_000:
+                yield batch_of(out)
+                out = [[] for _ in out]
+        if out[-1]:
+            yield batch_of(out)
+
+    schema = ", ".join([*[f"{c} {df.schema[c].dataType.simpleString()}" for c in (*by, "big")], "a binary, b binary"])
+    return df.select(*names).repartition(*by, "part").sortWithinPartitions(*by, "part").mapInArrow(run, schema)
+
+
+def across(df: DataFrame, by: list[str], link: Callable[[dict[str, list]], np.ndarray]) -> DataFrame:
+    """(a, b): links between rows of different root in groups of by, x, y; own tells of which of two blocks a row is. The
+    links returned connect what all of them connect."""
+    names = [*by, "x", "y", "own", "root", "id", *[c for c in df.columns if c not in (*by, "x", "y", "own", "root", "id")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: list = []
-        b: list = []
         for g in groups(batches, len(by) + 2):
             if len(g["id"]) < 2:
                 continue
-            near = link(g)
-            if g["i"][0] != g["j"][0]:  # pairs inside a block are another group's
+            root = np.unique(np.array(g["root"], object), return_inverse=True)[1]
+            linked = link(g) & (root[:, None] != root)
+            if g["x"][0] != g["y"][0]:  # pairs inside a block are another group's
                 own = np.array(g["own"])
-                near &= own[:, None] != own
-            for x, y in forest(near):
-                a.append(g["id"][x])
-                b.append(g["id"][y])
-            if len(a) > 100_000:
-                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
-                a, b = [], []
-        if a:
-            yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+                linked &= own[:, None] != own
+            centre = centres(linked)
+            at = np.flatnonzero(centre != np.arange(len(centre)))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([g["id"][centre[k]] for k in at], pa.binary()), pa.array([g["id"][k] for k in at], pa.binary())], ["a", "b"])
 
-    dealt = df.select(*names).repartition(*by, "i", "j").sortWithinPartitions(*by, "i", "j")
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return df.select(*names).repartition(*by, "x", "y").sortWithinPartitions(*by, "x", "y").mapInArrow(run, "a binary, b binary")
+
+
+def links_within(members: DataFrame, payload: DataFrame, by: list[str], size: int, link: Callable[[dict[str, list]], np.ndarray]) -> DataFrame:
+    """(a, b), edges that connect what the links within groups connect.
+
+    members: (*by, id, w, total), a row's weight and its group's; payload: (id, ...), from which link() gets a matrix.
+    """
+    deal = lambda df, turn: df.withColumns({"big": F.col("total") > size, "part": F.when(F.col("total") > size, F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("total") / size))).otherwise(0).cast("int")}).drop("total")
+    found = cut(stars(deal(members, 0).drop("w").join(payload, "id"), by, link))
+    edges = found.where("a <> b").select("a", "b")
+    if found.where("big").isEmpty():
+        return edges.distinct()
+    # Groups too large for one task: centres are dealt again while that makes them fewer.
+    held = cut(found.where("big").select(*by, F.col("b").alias("id"), F.col("a").alias("root")).join(members.select(*by, "id", "w"), [*by, "id"]))
+    before = None
+    for turn in range(1, 12):
+        tops = held.groupBy(*by, "root").agg(F.max(F.when(F.col("id") == F.col("root"), F.col("w"))).alias("w"))
+        totals = tops.groupBy(*by).agg(F.sum("w").alias("total"), F.count("*").alias("roots")).where("roots > 1")
+        many, most = totals.agg(F.sum("roots"), F.max("total")).first()
+        if many is None or before is not None and many > 0.7 * before:
+            break
+        before = many
+        again = tops.join(totals.drop("roots"), by).select(*by, F.col("root").alias("id"), "w", "total")
+        found = cut(stars(deal(again, turn).withColumn("big", F.lit(True)).drop("w").join(payload, "id"), by, link))
+        edges = edges.union(found.where("a <> b").select("a", "b"))
+        moved = found.where("a <> b").select(*by, F.col("b").alias("root"), F.col("a").alias("to"))
+        held = cut(held.join(near(moved), [*by, "root"], "left").select(*by, "id", "w", F.coalesce("to", "root").alias("root")))
+        if most <= size:
+            break
+    # What is left in groups of several roots: blocks of one large root each, and of small roots together.
+    tops = held.groupBy(*by, "root").agg(F.sum("w").alias("m"))
+    rest = tops.join(tops.groupBy(*by).agg(F.count("*").alias("roots"), F.sum(F.when(F.col("m") < size, F.col("m")).otherwise(0)).alias("light")).where("roots > 1").drop("roots"), by)
+    if rest.isEmpty():
+        return edges.distinct()
+    large = F.col("m") >= size
+    block = F.struct(F.when(large, F.col("root")).alias("pure"), F.when(large, F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / size))).otherwise(F.pmod(F.xxhash64("root"), F.ceil(F.col("light") / size))).cast("int").alias("k"))
+    held = cut(held.join(near(rest), [*by, "root"]).select(*by, "id", "root", block.alias("block")))
+    blocks = held.select(*by, "block").distinct()
+    x, y = blocks.withColumnRenamed("block", "x"), blocks.withColumnRenamed("block", "y")
+    pairs = x.join(y, by).where("x <= y AND NOT (x.pure IS NOT NULL AND y.pure IS NOT NULL AND x.pure = y.pure)")
+    sides = pairs.select(*by, "x", "y", F.explode(F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y"))).alias("block"))
+    numbered = lambda c: F.xxhash64(F.col(c)["pure"], F.col(c)["k"])
+    copies = held.join(sides, [*by, "block"]).select(*by, numbered("x").alias("x"), numbered("y").alias("y"), numbered("block").alias("own"), "root", "id")
+    return edges.union(across(copies.join(payload, "id"), by, link)).distinct()
 
 
 def differing(g: dict[str, list]) -> np.ndarray:
@@ -202,27 +265,30 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     Documents are linked where 100 * intersection >= percent * union of their sets of n-word shingles; component_id is the
     smallest id reachable over links, the own one included, and kept tells whether it is the own one. Null, empty and
     wordless texts have empty sets and no links. Rows without an id are linked with nothing: component_id null, kept
-    true. Rows repeated under one id are taken for copies and get the same answer each. An empty table gives an
-    empty one; columns other than id and text are not read.
+    true. Every row is a document of its own: rows of one id with different texts have each the links of their text, and
+    aren't linked by the id; rows that repeat id and text get the same answer each. ids may be of any type that has an
+    order. An empty table gives an empty one; columns other than id and text are not read.
     """
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text_col)).alias("hash"), F.col(text_col).alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = word_hashes()
-        for batch in pieces(batches, 256):
-            sets = [shingles(t.as_py(), n, word) for t in batch.column(1)]
+        for batch in pieces(batches, 256, 4 << 20):
+            sets = [shingles(t.as_py(), n, word) for t in batch.column(2)]
             full = [k for k, s in enumerate(sets) if len(s)]
             sig: list = [None] * len(sets)
             if full:
                 for k, s in zip(full, signatures([sets[k] for k in full]), strict=True):
                     sig[k] = s.tobytes()
             digest = [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["id", "n", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["id", "hash", "n", "digest", "sig"])
 
-    rows = cut(texts.mapInArrow(describe, f"id {kind}, n bigint, digest binary, sig binary"))
-    classes = cut(rows.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "sig")).alias("x")).select("digest", "x.id", "x.sig"))
+    rows = cut(texts.mapInArrow(describe, f"id {kind}, hash binary, n bigint, digest binary, sig binary"))
+    worded = rows.where("n > 0 AND id IS NOT NULL")
+    classes = worded.groupBy("digest").agg(F.min(F.struct("id", "hash", "sig", "n")).alias("x"), F.count("*").alias("rows"))
+    classes = cut(classes.select("digest", "x.id", "x.hash", "x.sig", "x.n", "rows"))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 4096):
@@ -232,15 +298,27 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]), pa.array(found.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), flat], ["id", "keys"])
 
-    indexed = classes.select("id", "sig").mapInArrow(index, f"id {kind}, keys array<bigint>").select("id", F.posexplode_outer("keys").alias("slot", "key"))
-    mates = blocked(indexed.where("key IS NOT NULL"), ["slot", "key"], "id", BUCKET_BLOCK)
-    candidates = edges_of(mates.join(classes.select("id", "sig"), "id"), ["slot", "key"], kind, differing)
-    clusters = components(candidates)
-    members = blocked(clusters.withColumnRenamed("component", "cluster"), ["cluster"], "id", TEXT_BLOCK)
-    first = texts.join(clusters.select("id"), "id").dropDuplicates(["id"])
-    links = edges_of(members.join(first, "id"), ["cluster"], kind, similar(n, percent))
-    linked = components(links)
-    of_class = classes.select("digest", F.col("id").alias("first")).join(linked.withColumnRenamed("id", "first"), "first", "left").select("digest", F.coalesce("component", "first").alias("component"))
-    out = rows.select("id", "n", "digest").join(of_class, "digest", "left")
-    component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    signed = classes.select(F.col("digest").alias("id"), "sig")
+    indexed = signed.mapInArrow(index, "id binary, keys array<bigint>").select("id", F.posexplode_outer("keys").alias("slot", "key")).where("key IS NOT NULL")
+    # Partial aggregation counts a bucket before it is joined; a bucket of one class is gone then.
+    shared = indexed.groupBy("slot", "key").agg(F.count("*").alias("total")).where("total > 1")
+    mates = cut(indexed.join(shared, ["slot", "key"]).withColumn("w", F.lit(1)))
+    clusters = cut(components(links_within(mates, signed, ["slot", "key"], BUCKET_BLOCK, differing)).select("id", F.col("component").alias("cluster")))
+
+    # Texts stay where they are but for those of clusters, one row of each class.
+    weights = classes.select(F.col("digest").alias("id"), (1 + F.floor(F.col("n") / LIGHT)).alias("w"))
+    weighed = clusters.join(weights, "id")
+    total = weighed.groupBy("cluster").agg(F.sum("w").alias("total"))
+    wanted = cut(classes.join(clusters.select(F.col("id").alias("digest")), "digest").select("digest", "id", "hash"))
+    first = texts.join(near(wanted), ["id", "hash"]).select(F.col("digest").alias("of"), "text").groupBy("of").agg(F.first("text").alias("text"))
+    members = cut(weighed.join(near(cut(total)), "cluster"))
+    links = links_within(members, cut(first.withColumnRenamed("of", "id")), ["cluster"], TEXT_BLOCK, similar(n, percent))
+    linked = components(links).select(F.col("id").alias("digest"), F.col("component").alias("root"))
+    least = classes.join(linked, "digest")
+    of_root = least.groupBy("root").agg(F.min("id").alias("component"))
+    # A class of one row without links needs no join: its component is its own id.
+    merged = classes.where("rows > 1").select("digest", "id").join(linked.select("digest"), "digest", "left_anti").select("digest", F.col("id").alias("component"))
+    of_class = cut(linked.join(of_root, "root").select("digest", "component").unionByName(merged))
+    found = worded.join(near(of_class), "digest", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    out = found.unionByName(rows.where("NOT (n > 0 AND id IS NOT NULL)").select("id", "n", F.col("id").alias("component")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
