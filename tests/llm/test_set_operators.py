@@ -3,6 +3,7 @@
 import hashlib
 import base64
 import random
+import time
 
 import numpy as np
 import pytest
@@ -153,8 +154,8 @@ def brute_hits(docs, items, span=10):
     return out
 
 
-@pytest.mark.parametrize("broadcast_spans", [200_000, 0])
-def test_decontamination_equals_brute_force(spark, broadcast_spans):
+@pytest.mark.parametrize(("broadcast_spans", "broadcast_runs"), [(200_000, 500_000), (0, 0)])
+def test_decontamination_equals_brute_force(spark, monkeypatch, broadcast_spans, broadcast_runs):
     draw = random.Random(8)
     items = [(k, " ".join(words(draw, draw.choice([1, 3, 5, 9, 10, 14, 40]), 60))) for k in range(12)] + [(50, None), (51, ""), (None, " ".join(words(draw, 12))), (52, "same same same same same same same same same same same"), (2, "déjà Vu déjà Vu"), (53, "Äb " * 12)]
     docs = []
@@ -167,14 +168,29 @@ def test_decontamination_equals_brute_force(spark, broadcast_spans):
             w[at:at] = [x.upper() if draw.random() < 0.2 and x.isascii() else x for x in own[a:]]
         docs.append((i, ", ".join(w) if i % 3 else "\n".join(w)))
     docs += [(900, None), (901, ""), (902, "same " * 30), (903, "ÄB äb Äb " * 20), (None, docs[3][1])]
-    df = spark.createDataFrame([*docs, docs[5]], "doc_id long, text string").withColumns({"print": F.lit(1), "at": F.lit("x"), "n_hit": F.lit(0)}).repartition(3)
+    monkeypatch.setattr(decontam, "COPIES", 2)
+    df = spark.createDataFrame([*docs, docs[5], docs[5], docs[5], docs[5]], "doc_id long, text string").withColumns({"print": F.lit(1), "at": F.lit("x"), "n_hit": F.lit(0)}).repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("window", F.lit("w"))
-    rows = decontam.decontaminate(df, bench, broadcast_spans=broadcast_spans).collect()
+    rows = decontam.decontaminate(df, bench, broadcast_spans=broadcast_spans, broadcast_runs=broadcast_runs).collect()
     got = {r["doc_id"]: tuple(r)[1:] for r in rows}
-    assert len(rows) == len(docs) + 1
+    assert len(rows) == len(docs) + 4
     assert got == brute_hits(docs, items)
 
 
+def test_a_document_of_two_thousand_items(spark):
+    """A leaked benchmark in one document takes time in proportion to its length."""
+    draw = random.Random(12)
+    items = [(k, " ".join(words(draw, 30, 900))) for k in range(2000)]
+    docs = [(1, " ".join(t for _, t in items)), (1, "another text of this id " * 30), (3, items[7][1])]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    began = time.monotonic()
+    rows = {(r["doc_id"], r["n_words"]): r for r in decontam.decontaminate(df, bench, with_hash=True).collect()}
+    assert time.monotonic() - began < 60
+    want = brute_hits([(1, docs[0][1])], items)[1]
+    assert tuple(rows[1, 60_000])[2:] == want and want[1:3] == (60_000, 2000)
+    assert not rows[1, 150]["contaminated"] and rows[3, 30]["n_items"] == 1
+
+
 def test_decontamination_of_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert [r["contaminated"] for r in decontam.decontaminate(docs, bench).collect()] == [False]
