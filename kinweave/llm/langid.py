@@ -22,15 +22,18 @@ from pyspark.sql import functions as F
 from .base import pieces, ship
 
 LETTER = regex.compile(r"\p{L}")
+#: Numbers in the table of costs: 128 MB.
+CELLS = 32_000_000
 
 
 class ContextTrees:
     """Frozen trees of several languages: samples maps a language to the texts that it is learned from.
 
-    depth is the longest context in bytes; at most `most` contexts, the most frequent, are held.
+    depth is the longest context in bytes. For each language `most` contexts are held, those with the largest share of some
+    language's bytes, unless the table of all languages would exceed CELLS numbers.
     """
 
-    def __init__(self, samples: dict[str, list[bytes]], depth: int = 4, most: int = 12_000):
+    def __init__(self, samples: dict[str, list[bytes]], depth: int = 4, most: int = 3_000):
         self.langs, self.depth = sorted(samples), depth
         joined = {g: b"".join(samples[g]) for g in self.langs}
         seen = np.zeros(256, bool)
@@ -65,14 +68,17 @@ class ContextTrees:
 
     def _build(self, grams: dict, most: int) -> None:
         base, langs = self.size + 1, self.langs
-        # Contexts by level, the most frequent of all; a context's suffixes are at least as frequent as itself.
+        # Contexts by level, those of the largest share in a language; a context's suffixes have at least its own.
+        most = min(most * len(langs), CELLS // (base * len(langs)))
         levels, totals = [], []
         for d in range(self.depth + 1):
             codes = np.concatenate([grams[g][d][0] // base for g in langs])
-            counts = np.concatenate([grams[g][d][1] for g in langs])
             nodes, back = np.unique(codes, return_inverse=True)
+            # The counts of a language's contexts, then the largest share that one has in any.
+            own = back + np.repeat(np.arange(len(langs)), [len(grams[g][d][0]) for g in langs]) * len(nodes)
+            counts = np.bincount(own, weights=np.concatenate([grams[g][d][1] for g in langs]), minlength=len(nodes) * len(langs)).reshape(len(langs), -1)
             levels.append(nodes)
-            totals.append(np.bincount(back, weights=counts, minlength=len(nodes)))
+            totals.append((counts / np.array([max(1, int(grams[g][0][1].sum())) for g in langs])[:, None]).max(0, initial=0))
         least = np.sort(np.concatenate(totals[1:]))[::-1][most - 1] if sum(map(len, totals[1:])) > most else 0
         levels = [n[t > least] if d else n for d, (n, t) in enumerate(zip(levels, totals, strict=True))]
         starts = np.cumsum([0, *map(len, levels)])
@@ -139,19 +145,25 @@ class ContextTrees:
 
 
 def training_rows(docs: DataFrame, id_col: str, lang_col: str, text_col: str, held_out, per_lang: int, in_all: int, longest: int) -> list:
-    """The sample that trees are learned from: about per_lang whole texts of each language and in_all together, of at
-    most `longest` characters, chosen by a hash of the id among labelled rows that aren't held out."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("id")), F.lit(False)))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    """The sample that trees are learned from: distinct texts with the smallest hashes among labelled rows that aren't
+    held out, about per_lang of each language and at most 2 * in_all together, of each its first `longest` characters.
+
+    Rows are chosen by their text, so that neither repeated rows nor repeated or missing ids weigh on the sample. Of more
+    than in_all languages the in_all most frequent are learned.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where((F.length(text_col) > 0) & F.col("lang").isNotNull() & ~F.coalesce(held_out(F.col("id")), F.lit(False)))
+    rows = rows.select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("h"))
+    found = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.min("h").alias("least")).orderBy(F.desc("n"), "lang").limit(in_all).collect()
+    if not found:
         return []
-    wanted = min(per_lang, max(1, in_all // len(counts)))
-    share = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, min(1.0, wanted / n) * (1 << 30))])
-    near = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= share[F.col("lang")]
-    return rows.where(near & (F.length("text") <= longest)).select("lang", "text").collect()
+    wanted = min(per_lang, max(1, in_all // len(found)))
+    # A text of the smallest hash passes in any case, so that no language goes without.
+    share = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], max(r["least"], int(min(1.0, wanted / r["n"]) * (1 << 30))))])
+    near = rows.where(F.col("h") <= share[F.col("lang")]).select("lang", "h", F.substring("text", 1, longest).alias("text"))
+    return near.groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("h", "lang").limit(2 * in_all).select("lang", "text").collect()
 
 
-def identify(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = (), depth: int = 4, contexts: int = 12_000, per_lang: int = 400, in_all: int = 8_000, longest: int = 40_000) -> DataFrame:
+def identify(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = (), depth: int = 4, contexts: int = 3_000, per_lang: int = 400, in_all: int = 8_000, longest: int = 40_000) -> DataFrame:
     """Per row: the columns to keep, the id, held_out, lang_pred, score, bits_per_byte.
 
     held_out maps an id column to a boolean column; such rows are never learned from. lang_pred is the language with the
@@ -164,7 +176,6 @@ def identify(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
     sample: dict[str, list[bytes]] = {}
     for r in sorted(training_rows(docs, id_col, lang_col, text_col, held_out, per_lang, in_all, longest)):
         sample.setdefault(r["lang"], []).append(r["text"].encode().lower())
-    sample = {g: texts for g, texts in sample.items() if any(texts)}
     trees = docs.sparkSession.sparkContext.broadcast(ContextTrees(sample, depth, contexts) if sample else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
