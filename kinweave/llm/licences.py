@@ -368,25 +368,27 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True) if len(z) else z
 
 
-def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 300, sample_lines: int = 4000) -> DataFrame:
+def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 300, sample_lines: int = 4000, sample_chars: int = 40_000) -> DataFrame:
     """Per row: id, n_paragraphs, licences (families found, sorted, comma-joined; `unknown` among them), n_licence
     (paragraphs that are licences), probability (the largest of a found family; 0 if none).
 
-    A notice that is wrapped over several lines is one paragraph. Null, empty and blank texts have 0 paragraphs and no licence. Every paragraph of every text is scored; the paragraphs
-    that teach `none` are those of about sample_docs documents chosen by a hash, at most sample_lines. Rows are
+    A notice that is wrapped over several lines is one paragraph. Null, empty and blank texts have 0 paragraphs and no
+    licence. Every paragraph of every text is scored; the paragraphs that teach `none` are those in the first
+    sample_chars characters of the sample_docs distinct texts with the smallest hashes, at most sample_lines. Rows are
     independent, equal texts get equal results, an empty table gives an empty one, other columns are not read.
     """
     ship(docs.sparkSession)
-    total = docs.count()
-    near = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(min(1.0, sample_docs / max(total, 1)) * (1 << 30))
+    texts = docs.select(F.col(text_col).alias("text")).where(F.length(text_col) > 0).select(F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("h"), "text")
+    distinct = texts.agg(F.approx_count_distinct("h")).first()[0]
+    near = texts.where(F.col("h") <= int(min(1.0, 1.5 * sample_docs / max(distinct, 1)) * (1 << 30))).select("h", F.substring("text", 1, sample_chars).alias("text"))
+    sample = near.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(sample_docs).collect()
     templates = template_sets()
     # The sample's order mustn't depend on the partitions.
-    sample = docs.where(near & F.col(text_col).isNotNull() & (F.length(text_col) < 40_000)).select(text_col).collect()
-    lines = sorted({x for r in sample for x in plain_lines(r[0], templates)}, key=lambda x: (hash_text(x), x))[:sample_lines]
+    lines = sorted({x for r in sample for x in plain_lines(r["text"], templates)}, key=lambda x: (hash_text(x), x))[:sample_lines]
     held = docs.sparkSession.sparkContext.broadcast(Scanner(lines))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 128):
+        for batch in pieces(batches, 128, 1 << 20):
             if not batch.num_rows:
                 continue
             found = held.value.scan(batch.column(1).to_pylist())
