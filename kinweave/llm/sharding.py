@@ -3,13 +3,16 @@
 Arrivals are appended as runs, folders of small Parquet files that are never changed. compact() merges runs of similar
 size, FANOUT at a time, into files of a target size, until no FANOUT runs are alike. What the store holds is what its latest
 manifest lists. A manifest is written aside and renamed to the next version's name, which fails if that exists; so a
-version appears whole or not at all, two writers cannot both commit it, and a job that dies leaves only unlisted files,
-which vacuum() removes. Readers of an older version keep reading it until then.
+version appears whole or not at all, two writers cannot both commit it, and a job that dies leaves only unlisted files.
+vacuum() removes older manifests with the runs that only they list, and, when GRACE seconds have passed since they were
+written, runs that no manifest lists: until then another writer may be about to commit them. A commit checks that its runs
+are there and that no later version is. Readers of an older version keep reading it until vacuum().
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -20,6 +23,8 @@ from pyspark.sql.types import StructType
 FANOUT, TARGET = 4, 64 << 20
 #: Runs are alike if each is at most so many times as large as the smallest.
 ALIKE = 2.0
+#: Seconds for which runs that no manifest lists are left alone.
+GRACE = 24 * 3600
 
 
 class Conflict(RuntimeError):
@@ -68,6 +73,9 @@ class Store:
         return version, [Run(**r) for r in told["runs"]], StructType.fromJson(told["schema"])
 
     def _commit(self, version: int, runs: list[Run], schema: StructType) -> int:
+        """Make version the latest; Conflict if another writer was first or has removed a run since."""
+        if gone := [r.path for r in runs if not self.fs.exists(self._path(r.path))]:
+            raise Conflict(f"runs are gone: {gone[:3]}")
         aside = self._path(f"manifest/.{uuid.uuid4().hex}")
         out = self.fs.create(aside, False)
         out.write(bytearray(json.dumps({"runs": [asdict(r) for r in runs], "schema": schema.jsonValue()}).encode()))
@@ -81,6 +89,10 @@ class Store:
             if self.fs.exists(self._path(f"manifest/v{version:09d}.json")):
                 raise Conflict(f"version {version} exists") from e
             raise
+        # Where vacuum() has removed the manifest that another writer had given this number, later ones tell of it.
+        if self.versions()[-1] > version:
+            self.fs.delete(self._path(f"manifest/v{version:09d}.json"), False)
+            raise Conflict(f"a version after {version} exists")
         return version
 
     # Runs
@@ -105,11 +117,11 @@ class Store:
         return self._commit(version + 1, runs + new, _nullable(df.schema))
 
     def _alike(self, runs: list[Run]) -> list[list[Run]]:
-        """Groups of fanout runs to merge: the smallest that are alike, the older first."""
+        """Groups of fanout runs to merge: the smallest that are alike."""
         out, group = [], []
         for r in sorted((r for r in runs if r.bytes < self.target * self.fanout**8), key=lambda r: (r.bytes, r.path)):
-            if group and r.bytes > ALIKE * max(group[0].bytes, 1):
-                group = []
+            while group and r.bytes > ALIKE * max(group[0].bytes, 1):
+                group.pop(0)
             group.append(r)
             if len(group) == self.fanout:
                 out.append(group)
@@ -144,18 +156,24 @@ class Store:
         held = [f"{self.root}/{r.path}" for r in runs if r.files]
         return self.spark.read.schema(schema).parquet(*held) if held else self.spark.createDataFrame([], schema)
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete manifests but the latest `keep` and the runs that none of those lists; returns how many runs went."""
+    def vacuum(self, keep: int = 1, grace: float = GRACE) -> int:
+        """Delete all manifests but the latest `keep`, the runs that only those list, and runs that none lists once they
+        are older than `grace` seconds; returns how many runs went."""
         held = self.versions()
         live = {r.path for v in held[-keep:] for r in self.manifest(v)[1]}
+        once = {r.path for v in held[:-keep] for r in self.manifest(v)[1]} - live
         for v in held[:-keep]:
             self.fs.delete(self._path(f"manifest/v{v:09d}.json"), False)
         gone = 0
         for job in self._names("runs"):
-            for folder in self._names(f"runs/{job}"):
-                if "=" in folder and f"runs/{job}/{folder}" not in live:
-                    self.fs.delete(self._path(f"runs/{job}/{folder}"), True)
-                    gone += 1
+            folders = [f"runs/{job}/{f}" for f in self._names(f"runs/{job}") if "=" in f]
+            old = time.time() - self.fs.getFileStatus(self._path(f"runs/{job}")).getModificationTime() / 1000 > grace
+            dead = [f for f in folders if f in once or old and f not in live]
+            for f in dead:
+                self.fs.delete(self._path(f), True)
+            if folders and len(dead) == len(folders):
+                self.fs.delete(self._path(f"runs/{job}"), True)
+            gone += len(dead)
         return gone
 
 
