@@ -77,29 +77,44 @@ class Curves:
         return np.stack(out, axis=1)
 
 
+def length(m: np.ndarray) -> np.ndarray:
+    """Norms of the rows, none of which is zero, without overflow on the way."""
+    top = np.abs(m).max(1)
+    with np.errstate(over="ignore"):
+        return top * np.sqrt(((m / top[:, None]) ** 2).sum(1))
+
+
+def unit(m: np.ndarray) -> np.ndarray:
+    m = m / np.abs(m).max(1, keepdims=True)
+    return m / np.sqrt((m * m).sum(1, keepdims=True))
+
+
 def matrix(column, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float64).reshape(-1, width)
 
 
 def best(queries: np.ndarray, ids: list, rows: np.ndarray, row_ids: np.ndarray, k: int, allowed: np.ndarray | None = None, least: np.ndarray | None = None) -> Iterator[tuple]:
     """(query id, row id, score) of the k best rows of each query, ties to the smaller id, without those that fall short
-    of the query's least score. Scores are summed for each pair
-    alone, so that equal vectors score equally wherever they stand."""
-    rough = queries @ rows.T
-    if allowed is not None:
-        rough[~allowed] = -np.inf
-    if least is not None:
-        with np.errstate(invalid="ignore"):
-            rough[rough < (least - 1e-9 * (1 + np.abs(least)))[:, None]] = -np.inf
-    for i, own in enumerate(ids):
-        fine = np.isfinite(rough[i]) & (row_ids != own)
-        at = np.flatnonzero(fine)
-        if len(at) > k:
-            kth = np.partition(rough[i, at], len(at) - k)[len(at) - k]
-            at = at[rough[i, at] >= kth - 1e-9 * (1 + abs(kth))]
-        score = (rows[at] * queries[i]).sum(axis=1)
-        for j in np.lexsort((row_ids[at], -score))[:k]:
-            yield own, row_ids[at[j]], float(score[j])
+    of the query's least score. Scores are summed for each pair alone, so that equal vectors score equally wherever they
+    stand. A product may overflow to an infinity, which counts as such; one without a value, infinity less infinity, is
+    no candidate."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        rough = queries @ rows.T
+        for i, own in enumerate(ids):
+            fine = row_ids != own if allowed is None else allowed[i] & (row_ids != own)
+            # Large products may overflow in one order of summation and not in another: only the exact score tells then.
+            loose = ~np.isfinite(rough[i])
+            if least is not None:
+                fine &= loose | (rough[i] >= least[i] - 1e-9 * (1 + abs(least[i]))) | ~np.isfinite(least[i])
+            at = np.flatnonzero(fine & ~loose)
+            if len(at) > k:
+                kth = np.partition(rough[i, at], len(at) - k)[len(at) - k]
+                at = at[rough[i, at] >= kth - 1e-9 * (1 + abs(kth))]
+            at = np.concatenate([at, np.flatnonzero(fine & loose)])
+            score = (rows[at] * queries[i]).sum(axis=1)
+            at, score = at[~np.isnan(score)], score[~np.isnan(score)]
+            for j in np.lexsort((row_ids[at], -score))[:k]:
+                yield own, row_ids[at[j]], float(score[j])
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -123,7 +138,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
 
     Nearness is the inner product in double precision, the largest first, ties to the smaller id. Rows with a null id or
     a vector that is null, empty, zero or holds null or non-finite components take no part, nor do vectors of another
-    length than most. Of rows repeated under one id one counts. With k candidates or fewer all are returned; without
+    length than most; pairs whose product has no value (infinity less infinity) aren't ranked. Of rows repeated under one
+    id one counts. With k candidates or fewer all are returned; without
     queries or rows nothing is. Columns other than id and vector are not read, unless is_query does.
     """
     spark = vectors.sparkSession
@@ -151,24 +167,24 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         for batch in pieces(batches, 8192):
             if batch.num_rows:
                 m = matrix(batch.column(0).to_pylist(), width)
-                yield pa.RecordBatch.from_arrays([pa.array([float(np.sqrt((m * m).sum(1)).max())])], ["norm"])
+                yield pa.RecordBatch.from_arrays([pa.array([float(length(m).max())])], ["norm"])
 
-    most = rows.select("v").mapInArrow(norms, "norm double").agg(F.max("norm")).first()[0]
-    lift = lambda m: np.hstack([m, np.sqrt(np.maximum(most * most - (m * m).sum(1, keepdims=True), 0))]) / most
-    flat = lambda m: np.hstack([m / np.sqrt((m * m).sum(1, keepdims=True)), np.zeros((len(m), 1))])
+    most = min(rows.select("v").mapInArrow(norms, "norm double").agg(F.max("norm")).first()[0], np.finfo(float).max)
+    lift = lambda m: np.hstack([m / most, np.sqrt(np.maximum(1 - ((m / most) ** 2).sum(1, keepdims=True), 0))])
+    flat = lambda m: np.hstack([unit(m), np.zeros((len(m), 1))])
     index = spark.sparkContext.broadcast(Curves(lift(grid), curves, DIMS, BITS))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 4096):
             if not batch.num_rows:
                 continue
-            m, asks = matrix(batch.column(1).to_pylist(), width), np.asarray(batch.column(2))
+            m, asks, names = matrix(batch.column(1).to_pylist(), width), np.asarray(batch.column(2)), batch.column(0).to_pylist()
             for query in (False, True):
                 at = np.flatnonzero(asks) if query else np.arange(len(m))
                 if not len(at):
                     continue
                 found = index.value.keys((flat if query else lift)(m[at]))
-                ids = batch.column(0).take(pa.array(at))
+                ids = pa.array([names[i] for i in at], batch.schema.types[0])
                 for c in range(found.shape[1]):
                     yield pa.RecordBatch.from_arrays([ids, pa.array([query] * len(at)), pa.array([c] * len(at), pa.int32()), pa.array(found[:, c])], ["id", "query", "curve", "key"])
 
@@ -188,7 +204,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         for batch in pieces(batches, 8192):
             if batch.num_rows:
                 found = [*best(sample, sample_ids, matrix(batch.column(1).to_pylist(), width), np.array(batch.column(0).to_pylist()), k)]
-                yield pa.RecordBatch.from_pydict({n: list(c) for n, c in zip(("query_id", "vec_id", "score"), zip(*found, strict=True), strict=True)}) if found else pa.RecordBatch.from_pydict({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+                columns = [*zip(*found, strict=True)] or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array([getattr(x, "tolist", lambda x=x: x)() for x in c], t) for c, t in zip(columns, (batch.schema.types[0], batch.schema.types[0], pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     truth = rows.select("id", "v").mapInArrow(exact, schema).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "vec_id")
@@ -216,7 +233,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         d, q, least = matrix(data["v"], width), matrix(asks["asks_v"], width), asks["least"].to_numpy()
         near = np.abs(asks["asks_rank"].to_numpy()[:, None] - data["rank"].to_numpy()) <= window
-        return pd.DataFrame([*best(q, asks["asks_id"].tolist(), d, data["id"].to_numpy(), k, near, least)], columns=["query_id", "vec_id", "score"])
+        found = pd.DataFrame([*best(q, asks["asks_id"].tolist(), d, data["id"].to_numpy(), k, near, least)], columns=["query_id", "vec_id", "score"])
+        # Strings as plain objects: pandas' own string columns come in chunks, which Spark does not take.
+        return found.astype({c: object for c in ("query_id", "vec_id") if isinstance(found[c].dtype, pd.StringDtype)})
 
     def search(asks: DataFrame) -> DataFrame:
         found = data.groupBy("curve", "block", "part").cogroup(asks.groupBy("in_curve", "in_block", "in_part")).applyInPandas(compare, schema)
