@@ -230,12 +230,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
 
     def compare(data: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         if not len(data) or not len(asks):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame([], columns=["query_id", "vec_id", "score"])  # without a type, as ids may be strings
         d, q, least = matrix(data["v"], width), matrix(asks["asks_v"], width), asks["least"].to_numpy()
         near = np.abs(asks["asks_rank"].to_numpy()[:, None] - data["rank"].to_numpy()) <= window
-        found = pd.DataFrame([*best(q, asks["asks_id"].tolist(), d, data["id"].to_numpy(), k, near, least)], columns=["query_id", "vec_id", "score"])
-        # Strings as plain objects: pandas' own string columns come in chunks, which Spark does not take.
-        return found.astype({c: object for c in ("query_id", "vec_id") if isinstance(found[c].dtype, pd.StringDtype)})
+        return pd.DataFrame([*best(q, asks["asks_id"].tolist(), d, data["id"].to_numpy(), k, near, least)], columns=["query_id", "vec_id", "score"])
 
     def search(asks: DataFrame) -> DataFrame:
         found = data.groupBy("curve", "block", "part").cogroup(asks.groupBy("in_curve", "in_block", "in_part")).applyInPandas(compare, schema)

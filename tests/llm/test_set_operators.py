@@ -234,6 +234,15 @@ def test_few_vectors(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_vectors_of_large_products_and_text_ids(spark):
+    """Finite vectors whose norms or products overflow are ranked by the product, infinities first; ids may be strings."""
+    big = 1e200
+    rows = [("q0", [big, 0.0]), ("a", [big, big]), ("b", [2 * big, 1.0]), ("c", [1.0, 0.0]), ("d", [-big, 0.0]), ("e", [0.5, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(df, F.col("vec_id").startswith("q"), 20).orderBy("rank").collect()]
+    assert got == [(1, "a", float("inf")), (2, "b", float("inf")), (3, "c", big), (4, "e", big / 2), (5, "d", float("-inf"))]
+
+
 def test_sharded_store(spark, tmp_path):
     rows = [(i, None if i % 7 == 0 else f"t{i} " * (i % 50), i % 3) for i in range(400)] + [(5, "twice", 1), (5, "twice", 1), (None, "", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, run int")
@@ -249,6 +258,7 @@ def test_sharded_store(spark, tmp_path):
     key = lambda d: sorted(map(repr, d.collect()))
     assert key(store.read()) == key(df) == key(store.read(9))  # older versions stay readable until vacuum
     assert store.vacuum() >= 4 and key(store.read()) == key(df)
+    assert key(sharding.Store(spark, f"file://{tmp_path}/s").read()) == key(df)
     assert store.versions() == [after]
     with pytest.raises(sharding.Conflict):
         store._commit(after, runs, df.schema)
@@ -257,24 +267,55 @@ def test_sharded_store(spark, tmp_path):
     assert store.manifest()[0] == after
 
 
+def test_vacuum_spares_what_is_not_committed_yet(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "doc_id long, text string")
+    one, two = (sharding.Store(spark, f"file://{tmp_path}/r") for _ in range(2))
+    one.append(df.where("doc_id < 10"))
+    version, runs, schema = two.manifest()
+    new = two._write(df.where("doc_id >= 10").withColumn("run", F.lit(0)), "run", 0)
+    assert one.vacuum() == 0
+    two._commit(version + 1, runs + new, schema)
+    assert one.read().count() == 20
+    # What nobody commits goes when it is old; a commit of what is gone fails, and leaves the store as it was.
+    left = two._write(df.withColumn("run", F.lit(0)), "run", 0)
+    assert one.vacuum(grace=-1) == 1
+    with pytest.raises(sharding.Conflict):
+        two._commit(version + 2, runs + new + left, schema)
+    assert one.read().count() == 20
+    # A writer that is late by more than the manifests which vacuum() keeps.
+    late = two.manifest()
+    one.append(df.where("doc_id < 3"))
+    one.append(df.where("doc_id < 3"))
+    one.vacuum()
+    with pytest.raises(sharding.Conflict):
+        two._commit(late[0] + 1, late[1], late[2])
+    assert one.read().count() == 26
+
+
+def test_runs_that_are_alike_are_merged_whatever_is_smaller(spark, tmp_path):
+    store = sharding.Store(spark, f"file://{tmp_path}/a")
+    run = lambda n: sharding.Run(f"r{n}", n, 1, 0)
+    assert [[r.bytes for r in g] for g in store._alike([run(n) for n in (10, 19, 21, 22, 23, 90)])] == [[19, 21, 22, 23]]
+
+
 def test_shard_of_nothing(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert sharding.shard(df, f"file://{tmp_path}/e", F.lit(1)).count() == 0
 
 
 def test_warc_round_trip(spark, tmp_path):
-    html = [(1, "u1", "<p>a</p>"), (2, None, None), (3, "u3", ""), (4, "u\r\nX: 4", "<p>a</p>"), (5, "u5", "é漢\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n"), (6, "u6", "x" * 2_000_000), (7, "u7", "<p>a</p>"), (7, "u7", "<p>a</p>"), (8, "u8", "é漢")]
+    html = [(1, "u1", "<p>a</p>"), (2, None, None), (3, "u3", ""), (4, "u\r\nX: 4", "<p>a</p>"), (5, "u5", "é漢\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n"), (6, "u6", "x" * 2_000_000), (7, "u7", "<p>a</p>"), (7, "u7", "<p>a</p>"), (8, "u8", "é漢"), (None, "u9", "é漢"), (None, "u0", "alone")]
     df = spark.createDataFrame(html, "page_id long, url string, html string").withColumns({"record_type": F.lit(0), "id": F.lit("x")}).repartition(3)
     rows = warc.archive(df, f"file://{tmp_path}/w").collect()
     want = []
     for i, _, h in html:
         h = h or ""
-        newest = max(j for j, _, g in html if (g or "") == h)
+        newest = max((j for j, _, g in html if (g or "") == h and j is not None), default=None)
         want.append((i, len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), "response" if i == newest else "revisit", None if i == newest else newest))
     assert sorted(map(repr, (tuple(r)[:5] for r in rows))) == sorted(map(repr, want))
     # Predicates reach the reader, which returns only what they let through.
     reader = warc.read_warc(spark, f"file://{tmp_path}/w").where("record_type = 'revisit' AND target_uri LIKE 'u%'")
-    assert sorted(r["target_uri"] for r in reader.collect()) == ["u X: 4", "u1"]
+    assert sorted(r["target_uri"] for r in reader.collect()) == ["u X: 4", "u1", "u9"]
     assert warc.read_warc(spark, f"file://{tmp_path}/w").where("record_type = 'response'").select(F.max(F.octet_length("payload"))).first()[0] is None
     large = warc.archive(df, f"file://{tmp_path}/v", least=100).where("record_type = 'revisit'")
     assert large.count() == 0
@@ -317,5 +358,21 @@ def test_stages_keep_columns_and_bear_odd_rows(spark):
     assert corpus_pipeline.STAGES[0][1](spark, docs.limit(0), sf).count() == 0
 
 
+def test_stages_tell_rows_of_one_id_apart(spark):
+    """Rows of one id, and rows without one, stay or go each by its own text."""
+    sf = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("size(split(text, ' ')) > 12").first()["text"]
+    draw = random.Random(3)
+    a, b, c = (" ".join(words(draw, 60)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " more"), (None, b + " more"), (None, c), (None, c + " more"), (3, item), (3, c[:200]), (None, item)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    told = lambda df: sorted((r["doc_id"] or -1, r["text"]) for r in df.collect())
+    near = told(corpus_pipeline.near_duplicate(spark, docs, sf))
+    assert len([t for _, t in near if t.startswith(c)]) == 1
+    assert [x for x in near if not x[1].startswith(c)] == sorted([(1, a), (1, b), (3, item), (3, c[:200])])
+    clean = told(corpus_pipeline.benchmark_decontamination(spark, docs, sf))
+    assert clean == sorted((i or -1, t) for i, t in rows if t != item)
+
+
 def test_every_operator_is_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in registry.QUERIES) == list(range(1, 11))

@@ -154,6 +154,24 @@ def test_identify_learns_and_bears_odd_rows(spark, odd):
     assert langid.identify(docs.limit(0), langid.crc_is(2)).count() == 0
 
 
+@pytest.mark.parametrize("same", [None, 4])
+def test_samples_are_bounded_whatever_the_ids(spark, same):
+    """Rows without an id, or all of one id, are sampled by their texts: no more than the bound, and enough to learn."""
+    pool = {"en": ["the", "house", "with", "thing"], "de": ["der", "nicht", "haus", "schön"]}
+    draw = random.Random(1)
+    rows = [(same, " ".join(draw.choice(w) for _ in range(30)), g) for _ in range(3000) for g, w in pool.items()] + [(same, "one text", "en")] * 2000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid.training_rows(docs, "doc_id", "lang", "text", langid.crc_is(9, 16), 50, 8000, 100)
+    assert 50 <= len(sample) <= 160 and len(set(sample)) == len(sample)
+    few = langid.training_rows(docs, "doc_id", "lang", "text", langid.crc_is(9, 16), 50, 10, 100)
+    assert 2 <= len(few) <= 20
+    long = langid.training_rows(docs.select("doc_id", "lang", F.repeat("text", 100).alias("text")), "doc_id", "lang", "text", langid.crc_is(9, 16), 50, 8000, 100)
+    assert {len(r["text"]) for r in long} == {100}
+    by = langid.identify(docs.dropDuplicates(), langid.crc_is(9, 16)).join(docs.select("lang").distinct(), F.col("lang") == F.col("lang_pred")).count()
+    assert by == docs.dropDuplicates().count()
+    assert {r["licences"] for r in licences.scan_licences(docs.select("doc_id", "text")).collect()} == {""}
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.identify(docs, langid.crc_is(2)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
@@ -230,6 +248,70 @@ def test_licences(spark, odd):
     assert licences.scan_licences(docs.limit(0)).count() == 0
 
 
+def scan_plainly(scanner, text):
+    """Scanner.scan() of a text, by definition: n-grams as sets, a dense sum of weights, every line at a time."""
+    weights = {(w,): scanner.weights[i + scanner.bases[0]] for w, i in scanner.word.items()}
+    named = {i: w for w, i in scanner.word.items()}
+    pairs = {}
+    for a, b in np.argwhere(scanner.pair):
+        pairs[scanner.pair[a, b]] = (named[a], named[b])
+        weights[named[a], named[b]] = scanner.weights[scanner.pair[a, b] + scanner.bases[1]]
+    for p, c in np.argwhere(scanner.triple):
+        weights[(*pairs[p], named[c])] = scanner.weights[scanner.triple[p, c] + scanner.bases[2]]
+
+    def chances(tokens):
+        known = [g for g in licences.ngrams(tokens) if g in weights]
+        z = sum((weights[g] for g in known), np.zeros(len(scanner.families))) / math.sqrt(max(len(tokens), 4)) * scanner.scale + scanner.bias
+        return licences.softmax(z[None] / scanner.temperature)[0], bool(known)
+
+    found, most, n = Counter(), 0.0, 0
+    for block in [[]] if not text else [[x for x in b if x] for b in split_blocks(text)]:
+        n += len(block)
+        taken = set()
+        if len(block) > 1:
+            for i, j in licences.runs(block, scanner.templates):
+                tokens = [w for x in block[i:j] for w in x]
+                name, sure = scanner.verdict(tokens, chances(tokens)[0])
+                if name != licences.UNKNOWN:
+                    taken.update(range(i, j))
+                    found[name] += 1
+                    most, n = max(most, sure), n - (j - i - 1)
+        for k, tokens in enumerate(block):
+            p, known = chances(tokens)
+            if k not in taken and known and p[0] < 0.5:
+                name, sure = scanner.verdict(tokens, p)
+                found[name] += 1
+                most = max(most, sure)
+    return n, dict(found), most
+
+
+def split_blocks(text):
+    out = [[]]
+    for x in text.split("\n"):
+        w = licences.words(x)
+        out.append([]) if not w else out[-1].append(w)
+    return out
+
+
+def test_scanner_equals_a_plain_one(spark):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    draw = random.Random(7)
+    notices = [t for ts in licences.TEMPLATES.values() for t in ts]
+    lines = [x for t in texts if t for x in t.split("\n") if len(x) < 200][:400]
+    for _ in range(60):
+        own = [draw.choice(lines) for _ in range(draw.randrange(6))]
+        for _ in range(draw.randrange(3)):
+            t = draw.choice(notices)
+            own[draw.randrange(len(own) + 1) : 0] = textwrap.wrap(t, draw.choice([40, 60, 400])) + [""] * draw.randrange(2)
+        texts.append("\n".join(own))
+    scanner = licences.Scanner(sorted(lines)[:200])
+    got = scanner.scan(texts)
+    assert sum(bool(x[1]) for x in got) > 40
+    for text, (n, found, most) in zip(texts, got, strict=True):
+        want = scan_plainly(scanner, text)
+        assert (n, found) == want[:2] and abs(most - want[2]) < 1e-4, text
+
+
 def test_wrapped_notices():
     plain = [f"word{i} stone river lamp and a cloud in the night" for i in range(60)]
     scanner = licences.Scanner(plain)
