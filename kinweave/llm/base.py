@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from kinweave.session import shared_dir, ship
 
-__all__ = ["cut", "near", "pieces", "shared_dir", "ship", "table"]
+__all__ = ["cut", "few", "near", "pieces", "shared_dir", "ship", "table"]
 
-#: Rows, of some tens of bytes each, up to which a counted table is broadcast.
-BROADCAST_ROWS = 300_000
+#: Rows, of some tens of bytes each, up to which a counted table is broadcast; rows that one task of a counted table takes.
+BROADCAST_ROWS, TASK_ROWS = 200_000, 40_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,12 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df, of about so many rows, in no more partitions than they need: a small table costs few tasks and files, however
+    many partitions the session has."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
 def near(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df, to be broadcast where it has at most so many rows; it should be cheap to count, such as a checkpoint."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut
+from .base import cut, few
 
 #: A node is a hub if it has over a HUBS-th of the edges, and over FEW.
 HUBS, FEW = 20_000, 100
@@ -32,19 +32,21 @@ def _with_least(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every node that has an edge; component is the smallest id reachable. Loops count for nothing."""
-    now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
-    now = cut(now)
+    now = cut(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
     before = _sum(now)
     while before[0]:
-        both = now.select("a", "b").union(now.select(F.col("b"), F.col("a")))
-        # A node that is smaller than its neighbours is itself the least.
-        large = _with_least(both, 2 * before[0])[0].select(F.col("b").alias("a"), F.least("a", "least").alias("b"), F.col("a").alias("of")).where("a > of AND a <> b")
-        large = large.select("a", "b").distinct()
-        pairs, least = _with_least(large, before[0])
-        small = pairs.select(F.col("b").alias("a"), F.col("least").alias("b")).union(least).where("a <> b").distinct()
-        now = cut(small)
+        n = 2 * before[0]
+        own = few(now, n)
+        both = own.select("a", "b").union(own.select(F.col("b"), F.col("a")))
+        # A node's larger neighbours go to its least one, itself included; then its smaller ones do.
+        large = few(_with_least(both, n)[0], n).where("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b"))
+        large = few(large.distinct(), n)
+        pairs, least = _with_least(large, n)
+        small = few(pairs, n).select(F.col("b").alias("a"), F.col("least").alias("b")).union(few(least, n)).where("a <> b").distinct()
+        now = cut(few(small, n))
         after = _sum(now)
         if after == before:
             break
         before = after
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    ends = few(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct(), before[0])
+    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(ends)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .base import cut, near, pieces, ship
+from .base import BROADCAST_ROWS, cut, few, pieces, ship
 from .bpe import Memory
 from .components import components
 
@@ -128,11 +128,11 @@ def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[dict[str,
 
 
 def stars(df: DataFrame, by: list[str], link: Callable[[dict[str, list]], np.ndarray]) -> DataFrame:
-    """(*by, big, a, b): b of every row's id and a of the centre of its component within the group of by and part. Rows
-    that are their own centre come only of groups marked big."""
-    names = [*by, "part", "big", "id", *[c for c in df.columns if c not in (*by, "part", "big", "id")]]
-    told_names = [*by, "big", "a", "b"]
-    kinds = [*[to_arrow_type(df.schema[c].dataType) for c in (*by, "big")], pa.binary(), pa.binary()]
+    """(*by, big, a, b, w): b and w of every row's id and weight, a of the centre of its component within the group of by
+    and part. Rows that are their own centre come only of groups marked big."""
+    names = [*by, "part", "big", "id", "w", *[c for c in df.columns if c not in (*by, "part", "big", "id", "w")]]
+    told_names = [*by, "big", "a", "b", "w"]
+    kinds = [*[to_arrow_type(df.schema[c].dataType) for c in (*by, "big")], pa.binary(), pa.binary(), pa.int64()]
     batch_of = lambda out: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], told_names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,15 +145,16 @@ def stars(df: DataFrame, by: list[str], link: Callable[[dict[str, list]], np.nda
             told = np.arange(n) if g["big"][0] else np.flatnonzero(centre != np.arange(n))
             for column, value in zip(out, [g[c][0] for c in (*by, "big")], strict=False):
                 column.extend([value] * len(told))
-            out[-2].extend(g["id"][centre[k]] for k in told)
-            out[-1].extend(g["id"][k] for k in told)
+            out[-3].extend(g["id"][centre[k]] for k in told)
+            out[-2].extend(g["id"][k] for k in told)
+            out[-1].extend(g["w"][k] for k in told)
             if len(out[-1]) > 50_000:
                 yield batch_of(out)
                 out = [[] for _ in out]
         if out[-1]:
             yield batch_of(out)
 
-    schema = ", ".join([*[f"{c} {df.schema[c].dataType.simpleString()}" for c in (*by, "big")], "a binary, b binary"])
+    schema = ", ".join([*[f"{c} {df.schema[c].dataType.simpleString()}" for c in (*by, "big")], "a binary, b binary, w bigint"])
     return df.select(*names).repartition(*by, "part").sortWithinPartitions(*by, "part").mapInArrow(run, schema)
 
 
@@ -185,36 +186,41 @@ def links_within(members: DataFrame, payload: DataFrame, by: list[str], size: in
     members: (*by, id, w, total), a row's weight and its group's; payload: (id, ...), from which link() gets a matrix.
     """
     deal = lambda df, turn: df.withColumns({"big": F.col("total") > size, "part": F.when(F.col("total") > size, F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("total") / size))).otherwise(0).cast("int")}).drop("total")
-    found = cut(stars(deal(members, 0).drop("w").join(payload, "id"), by, link))
+    found = cut(stars(deal(members, 0).join(payload, "id"), by, link))
+    rows, n = found.agg(F.count("*"), F.count(F.when(F.col("big"), 1))).first()
+    found = few(found, rows)
     edges = found.where("a <> b").select("a", "b")
-    if found.where("big").isEmpty():
+    if not n:
         return edges.distinct()
     # Groups too large for one task: centres are dealt again while that makes them fewer.
-    held = cut(found.where("big").select(*by, F.col("b").alias("id"), F.col("a").alias("root")).join(members.select(*by, "id", "w"), [*by, "id"]))
+    held = cut(few(found.where("big").select(*by, F.col("b").alias("id"), "w", F.col("a").alias("root")), n))
     before = None
     for turn in range(1, 12):
-        tops = held.groupBy(*by, "root").agg(F.max(F.when(F.col("id") == F.col("root"), F.col("w"))).alias("w"))
-        totals = tops.groupBy(*by).agg(F.sum("w").alias("total"), F.count("*").alias("roots")).where("roots > 1")
-        many, most = totals.agg(F.sum("roots"), F.max("total")).first()
-        if many is None or before is not None and many > 0.7 * before:
+        tops = few(held.groupBy(*by, "root").agg(F.max(F.when(F.col("id") == F.col("root"), F.col("w"))).alias("w")), n)
+        totals = few(tops.groupBy(*by).agg(F.sum("w").alias("total"), F.count("*").alias("roots")).where("roots > 1"), n)
+        again = cut(few(tops.join(totals, by), n).select(*by, F.col("root").alias("id"), "w", "total"))
+        many, most = again.agg(F.count("*"), F.max("total")).first()
+        if not many or before is not None and many > 0.7 * before:
             break
         before = many
-        again = tops.join(totals.drop("roots"), by).select(*by, F.col("root").alias("id"), "w", "total")
-        found = cut(stars(deal(again, turn).withColumn("big", F.lit(True)).drop("w").join(payload, "id"), by, link))
+        small = F.broadcast if many <= BROADCAST_ROWS else lambda x: x
+        dealt = deal(again, turn).withColumn("big", F.lit(True))
+        found = few(cut(stars(payload.join(small(dealt), "id"), by, link)), many)
         edges = edges.union(found.where("a <> b").select("a", "b"))
         moved = found.where("a <> b").select(*by, F.col("b").alias("root"), F.col("a").alias("to"))
-        held = cut(held.join(near(moved), [*by, "root"], "left").select(*by, "id", "w", F.coalesce("to", "root").alias("root")))
+        held = cut(few(held.join(small(moved), [*by, "root"], "left"), n).select(*by, "id", "w", F.coalesce("to", "root").alias("root")))
         if most <= size:
             break
     # What is left in groups of several roots: blocks of one large root each, and of small roots together.
-    tops = held.groupBy(*by, "root").agg(F.sum("w").alias("m"))
-    rest = tops.join(tops.groupBy(*by).agg(F.count("*").alias("roots"), F.sum(F.when(F.col("m") < size, F.col("m")).otherwise(0)).alias("light")).where("roots > 1").drop("roots"), by)
+    tops = few(held.groupBy(*by, "root").agg(F.sum("w").alias("m")), n)
+    rest = few(tops.groupBy(*by).agg(F.count("*").alias("roots"), F.sum(F.when(F.col("m") < size, F.col("m")).otherwise(0)).alias("light")).where("roots > 1").drop("roots"), n)
+    rest = cut(few(tops.join(rest, by), n))
     if rest.isEmpty():
         return edges.distinct()
     large = F.col("m") >= size
     block = F.struct(F.when(large, F.col("root")).alias("pure"), F.when(large, F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / size))).otherwise(F.pmod(F.xxhash64("root"), F.ceil(F.col("light") / size))).cast("int").alias("k"))
-    held = cut(held.join(near(rest), [*by, "root"]).select(*by, "id", "root", block.alias("block")))
-    blocks = held.select(*by, "block").distinct()
+    held = cut(few(held.join(rest, [*by, "root"]), n).select(*by, "id", "root", block.alias("block")))
+    blocks = few(held.select(*by, "block").distinct(), n)
     x, y = blocks.withColumnRenamed("block", "x"), blocks.withColumnRenamed("block", "y")
     pairs = x.join(y, by).where("x <= y AND NOT (x.pure IS NOT NULL AND y.pure IS NOT NULL AND x.pure = y.pure)")
     sides = pairs.select(*by, "x", "y", F.explode(F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y"))).alias("block"))
@@ -302,23 +308,25 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     indexed = signed.mapInArrow(index, "id binary, keys array<bigint>").select("id", F.posexplode_outer("keys").alias("slot", "key")).where("key IS NOT NULL")
     # Partial aggregation counts a bucket before it is joined; a bucket of one class is gone then.
     shared = indexed.groupBy("slot", "key").agg(F.count("*").alias("total")).where("total > 1")
-    mates = cut(indexed.join(shared, ["slot", "key"]).withColumn("w", F.lit(1)))
+    mates = indexed.join(shared, ["slot", "key"]).withColumn("w", F.lit(1).cast("long"))
     clusters = cut(components(links_within(mates, signed, ["slot", "key"], BUCKET_BLOCK, differing)).select("id", F.col("component").alias("cluster")))
+    n_held = clusters.count()
+    near = F.broadcast if n_held <= BROADCAST_ROWS else lambda x: x
 
     # Texts stay where they are but for those of clusters, one row of each class.
-    weights = classes.select(F.col("digest").alias("id"), (1 + F.floor(F.col("n") / LIGHT)).alias("w"))
-    weighed = clusters.join(weights, "id")
-    total = weighed.groupBy("cluster").agg(F.sum("w").alias("total"))
-    wanted = cut(classes.join(clusters.select(F.col("id").alias("digest")), "digest").select("digest", "id", "hash"))
-    first = texts.join(near(wanted), ["id", "hash"]).select(F.col("digest").alias("of"), "text").groupBy("of").agg(F.first("text").alias("text"))
-    members = cut(weighed.join(near(cut(total)), "cluster"))
-    links = links_within(members, cut(first.withColumnRenamed("of", "id")), ["cluster"], TEXT_BLOCK, similar(n, percent))
+    weighed = cut(few(classes.select(F.col("digest").alias("id"), F.col("id").alias("own"), "hash", (1 + F.floor(F.col("n") / LIGHT)).alias("w")).join(near(clusters), "id"), n_held))
+    total = few(weighed.groupBy("cluster").agg(F.sum("w").alias("total")), n_held)
+    wanted = weighed.select("hash", F.col("own").alias("id"), F.col("id").alias("of"))
+    first = cut(texts.join(near(wanted), ["id", "hash"]).select("of", "text").groupBy("of").agg(F.first("text").alias("text")).withColumnRenamed("of", "id"))
+    members = weighed.select("id", "cluster", "w").join(near(total), "cluster")
+    links = links_within(members, first, ["cluster"], TEXT_BLOCK, similar(n, percent))
     linked = components(links).select(F.col("id").alias("digest"), F.col("component").alias("root"))
-    least = classes.join(linked, "digest")
-    of_root = least.groupBy("root").agg(F.min("id").alias("component"))
+    of_root = few(weighed.select(F.col("id").alias("digest"), "own").join(near(linked), "digest"), n_held)
+    of_root = few(of_root.groupBy("root").agg(F.min("own").alias("component")), n_held)
+    linked = cut(few(linked.join(near(of_root), "root"), n_held).select("digest", "component"))
     # A class of one row without links needs no join: its component is its own id.
-    merged = classes.where("rows > 1").select("digest", "id").join(linked.select("digest"), "digest", "left_anti").select("digest", F.col("id").alias("component"))
-    of_class = cut(linked.join(of_root, "root").select("digest", "component").unionByName(merged))
-    found = worded.join(near(of_class), "digest", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    merged = classes.where("rows > 1").select("digest", F.col("id").alias("component")).join(near(linked.select("digest")), "digest", "left_anti")
+    of_class = cut(linked.unionByName(merged))
+    found = worded.join(F.broadcast(of_class) if of_class.count() <= BROADCAST_ROWS else of_class, "digest", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
     out = found.unionByName(rows.where("NOT (n > 0 AND id IS NOT NULL)").select("id", "n", F.col("id").alias("component")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
