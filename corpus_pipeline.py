@@ -1,8 +1,9 @@
 """From raw documents to token ids: language ID, near-duplicate removal, benchmark decontamination, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the docs of
-the next; all but the last return the columns of docs. Rows that a stage removes are matched by doc_id, so a row without
-one is never taken for another, and rows repeated under one id go or stay together.
+the next; all but the last return the columns of docs. Rows are judged, and removed, by doc_id and text together: rows of
+one id with different texts, and rows without an id, go or stay each by its own text; rows that repeat id and text are one
+document and stay together.
 """
 
 from __future__ import annotations
@@ -30,16 +31,30 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select(*[x.alias(c) for c, x in back.items()])
 
 
+#: Removed rows up to which they are broadcast rather than texts shuffled: some 10 MB.
+BROADCAST_GONE = 300_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows of gone (doc_id, text_hash)."""
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct().checkpoint()
+    few = gone.limit(BROADCAST_GONE + 1).count() <= BROADCAST_GONE
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_hash")), "left_anti")
+
+
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group linked by 80 % of five-word shingles the document with the smallest id."""
-    gone = near_duplicates(docs, n=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Keep of each group linked by 80 % of five-word shingles the document with the smallest id; of several rows with
+    that id, or of a group without ids, one text."""
+    shared_dir(spark)
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    gone = near_duplicates(docs.select(key.alias("key"), "text"), n=5, percent=80, id_col="key").where("NOT kept")
+    return without(docs, gone.select("key.*"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in which ten consecutive words of a benchmark item occur, or a whole shorter one."""
-    gone = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    shared_dir(spark)
+    return without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark"), with_hash=True).where("contaminated"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
