@@ -129,9 +129,14 @@ def non_latin(*raw: Column | str) -> Column:
     return F.concat_ws(" ", *[text_or_empty(c) for c in raw]).rlike(r"[^\p{IsLatin}\p{IsCommon}\p{IsInherited}]")
 
 
+def crc(c: Column | str, seed: int) -> Column:
+    """CRC-32 of an id with a seed."""
+    return F.crc32(F.concat(F.lit(f"{seed}:"), F.col(c) if isinstance(c, str) else c).cast("binary"))
+
+
 def unit_hash(c: Column | str, seed: int) -> Column:
     """A number in [0, 1) from an id: its CRC-32 with a seed."""
-    return F.crc32(F.concat(F.lit(f"{seed}:"), F.col(c) if isinstance(c, str) else c).cast("binary")) / F.lit(4294967296.0)
+    return crc(c, seed) / F.lit(4294967296.0)
 
 
 def record_text(name: Column | str, addr: Column | str) -> Column:

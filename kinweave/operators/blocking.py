@@ -2,16 +2,22 @@
 
 A side is a DataFrame with country and id; s1 names an anchor and r a record that may match it. Pairs never cross
 countries, so country is part of every key. Scores tie to the smaller id, ranks start at 0.
+
+Lists of neighbours come from one plan, block_lists(): both sides are dealt into cells (a country, or a region of it) and
+within a cell into blocks; a pair of blocks is scored a few anchors at a time and returns the best of both directions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.text import word_trigrams
+from kinweave.session import cut
 
 #: Depth of the raw lists from anchors to records and back; rank of what is in no list.
 FORWARD, BACK, ABSENT = 50, 5, 99
@@ -50,68 +56,143 @@ def gram_weights(counts: DataFrame, idf: DataFrame) -> DataFrame:
     return raw.join(size, ["country", "id"]).select("country", "id", "gram", (F.col("raw") / F.col("size")).alias("w"))
 
 
-def gram_scores(s1: DataFrame, r: DataFrame, text: Column, min_df: int = 2, max_df: float = 1.0, within: DataFrame | None = None) -> DataFrame:
-    """(country, s1, r, score): cosine of all pairs that share a gram; both directions come from this one product.
+#: Anchors and records of a block, and anchors that are scored at once.
+BLOCK, CHUNK = (4096, 16384), 64
+Scores = Callable[[pd.DataFrame, pd.DataFrame], Iterator[np.ndarray]]
+
+
+def best_of(chunks: Iterator[np.ndarray], forward: int, back: int, least: float) -> tuple[np.ndarray, ...]:
+    """(way, row, column, score) of the `forward` best columns of every row and the `back` best rows of every column, of
+    scores over `least`, from a matrix that comes in chunks of rows; ties go to the smaller row or column."""
+    out: list[tuple] = []
+    held = None  # of each column the best rows so far: column, row, score
+    kth, start = None, 0
+    for z in chunks:
+        m, n = z.shape
+        for i in range(m if forward else 0):
+            at = np.flatnonzero(z[i] >= np.partition(z[i], n - forward)[n - forward]) if n > forward else np.arange(n)
+            at = at[z[i, at] > least]
+            at = at[np.argsort(-z[i, at], kind="stable")][:forward]
+            out.append((np.zeros(len(at), bool), np.full(len(at), start + i), at, z[i, at]))
+        if back:
+            good = z > (least if kth is None else kth)
+            if m > back:
+                good &= z >= np.partition(z, m - back, axis=0)[m - back]
+            row, column = np.nonzero(good)
+            new = (column, row + start, z[row, column])
+            column, row, score = new if held is None else (np.concatenate(x) for x in zip(held, new, strict=True))
+            order = np.lexsort((row, -score, column))
+            column, row, score = column[order], row[order], score[order]
+            place = np.arange(len(column)) - np.searchsorted(column, column)
+            held = tuple(x[place < back] for x in (column, row, score))
+            kth = np.full(n, least, float)
+            kth[column[place == back - 1]] = score[place == back - 1]
+        start += m
+    if held is not None:
+        out.append((np.ones(len(held[0]), bool), held[1], held[0], held[2]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, t) for t in (bool, int, int, float))
+
+
+def block_lists(a: DataFrame, b: DataFrame, scores: Scores, forward: int, back: int, least: float = -np.inf, block: tuple[int, int] = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The best records of every anchor and the best anchors of every record: two (country, s1, r, score, rank).
+
+    a: (country, cell, s1, ...), b: (country, cell, r, ...); pairs within a cell are scored by scores(), which gets the
+    two blocks and yields the matrix a few rows at a time. A pair may meet in several cells. What a task holds is bounded
+    by the block sizes, rows are copied once for each block of the other side in their cell, and pairs are never rows.
+    """
+    count = lambda side, size, name: side.groupBy("country", "cell").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    # A row for each cell that both sides have: countries times the terms of a vocabulary, which its share bounds.
+    sizes = F.broadcast(count(a, block[0], "n_s1").join(count(b, block[1], "n_r"), ["country", "cell"]))
+    hashed = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = a.join(sizes, ["country", "cell"]).withColumns({"i": hashed("s1", "n_s1"), "j": every("n_r")}).drop("n_s1", "n_r")
+    right = b.join(sizes, ["country", "cell"]).withColumns({"i": every("n_s1"), "j": hashed("r", "n_r")}).drop("n_s1", "n_r")
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame([], columns=["country", "back", "s1", "r", "score"])
+        x, y = x.sort_values("s1", kind="stable"), y.sort_values("r", kind="stable")
+        way, row, column, score = best_of((np.round(z, 9) for z in scores(x, y)), forward, back, least)
+        return pd.DataFrame({"country": x["country"].iloc[0], "back": way, "s1": x["s1"].to_numpy()[row], "r": y["r"].to_numpy()[column], "score": score})
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = f"country {kind(a, 'country')}, back boolean, s1 {kind(a, 's1')}, r {kind(b, 'r')}, score double"
+    # Names of their own, as both sides may come from one table.
+    right = right.select(*[F.col(c).alias({"country": "in_country", "cell": "in_cell", "i": "in_i", "j": "in_j"}.get(c, c)) for c in right.columns])
+    found = left.groupBy("country", "cell", "i", "j").cogroup(right.groupBy("in_country", "in_cell", "in_i", "in_j")).applyInPandas(best, schema)
+    found = found.groupBy("country", "back", "s1", "r").agg(F.max("score").alias("score"))
+    if forward and back:  # two readers of one product
+        found = cut(found)
+    return top(found.where("NOT back").drop("back"), "s1", "r", forward), top(found.where("back").drop("back"), "r", "s1", back)
+
 
-    max_df bounds how many records one gram brings together. within restricts the pairs to (country, s1, r).
+def whole(side: DataFrame) -> DataFrame:
+    """(country, cell, id): the country is one cell."""
+    return side.select("country", F.lit("").alias("cell"), "id")
+
+
+def region_cells(s1: DataFrame, r: DataFrame, of_s1: DataFrame, of_r: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(country, cell, id) of both sides, so that pairs meet which share a region or of which one side has none.
+
+    A region is a cell. Anchors without one meet all records in a cell of their own, and records without one meet the
+    anchors that have one in another; so nothing is copied into every region.
     """
+    rows = lambda df, cell: df.select("country", F.lit(cell).alias("cell"), "id")
+    named = lambda df: df.select("country", F.concat(F.lit("="), "term").alias("cell"), "id").distinct()
+    lacks = lambda side, of, how: side.select("country", "id").join(of.select("country", "id"), ["country", "id"], how)
+    a = named(of_s1).unionByName(rows(lacks(s1, of_s1, "left_anti"), "?")).unionByName(rows(lacks(s1, of_s1, "left_semi"), "*"))
+    b = named(of_r).unionByName(rows(r, "?")).unionByName(rows(lacks(r, of_r, "left_anti"), "*"))
+    return a, b
+
+
+def gram_scores(x: pd.DataFrame, y: pd.DataFrame) -> Iterator[np.ndarray]:
+    """Cosines by an inverted index over the grams of y: only postings of grams that an anchor has are touched."""
+    flat = [(np.repeat(np.arange(len(d)), [len(g) for g in d["g"]]), np.concatenate(list(d["g"])), np.concatenate(list(d["w"]))) for d in (x, y)]
+    (row, gram, w), (record, of, weight) = flat
+    order = np.argsort(of, kind="stable")
+    names, starts, lengths = np.unique(of[order], return_index=True, return_counts=True)
+    record, weight = record[order], weight[order]
+    at = np.minimum(np.searchsorted(names, gram), len(names) - 1)
+    held = names[at] == gram
+    row, at, w = row[held], at[held], w[held]
+    for first in range(0, len(x), CHUNK):
+        m = min(CHUNK, len(x) - first)
+        lo, hi = np.searchsorted(row, [first, first + m])
+        n = lengths[at[lo:hi]]
+        posting = np.repeat(starts[at[lo:hi]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        cell = np.repeat(row[lo:hi] - first, n) * len(y) + record[posting]
+        yield np.bincount(cell, weights=np.repeat(w[lo:hi], n) * weight[posting], minlength=m * len(y)).reshape(m, len(y))
+
+
+def gram_vectors(s1: DataFrame, r: DataFrame, text: Column, min_df: int = 2, max_df: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(country, id, g, w) of both sides: hashes of a text's grams, and their weights; the vocabulary is the records'."""
     of_s1, of_r = gram_counts(s1, text), gram_counts(r, text)
     idf = gram_idf(r, of_r, min_df, max_df)
-    a = gram_weights(of_s1, idf).select("country", "gram", F.col("id").alias("s1"), F.col("w").alias("w1"))
-    b = gram_weights(of_r, idf).select("country", "gram", F.col("id").alias("r"), F.col("w").alias("w2"))
-    out = a.join(b, ["country", "gram"]).groupBy("country", "s1", "r").agg(F.round(F.sum(F.col("w1") * F.col("w2")), 9).alias("score"))
-    return out if within is None else out.join(within.select("country", "s1", "r"), ["country", "s1", "r"], "left_semi")
+    listed = lambda counts: gram_weights(counts, idf).groupBy("country", "id").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("gram").alias("g"), "w"))).alias("x"))
+    parts = lambda c: F.transform("x", lambda x: x[c]).alias(c)
+    return tuple(listed(c).select("country", "id", parts("g"), parts("w")) for c in (of_s1, of_r))
 
 
-def gram_top(s1: DataFrame, r: DataFrame, text: Column, forward: int = FORWARD, back: int = BACK, min_df: int = 2, max_df: float = 1.0, rows: int = 2048) -> tuple[DataFrame, DataFrame]:
-    """The best records of every anchor and the best anchors of every record by cosine: two (country, s1, r, score, rank).
+def gram_top(s1: DataFrame, r: DataFrame, text: Column, forward: int = FORWARD, back: int = BACK, min_df: int = 2, max_df: float = 1.0, regions: tuple[DataFrame, DataFrame] | None = None, block: tuple[int, int] = BLOCK, vectors: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The best records of every anchor and the best anchors of every record by trigram cosine, of those that share a gram.
 
-    Where gram_scores() makes a row of each gram that a pair shares, this deals both sides into blocks by a hash of the id;
-    each pair of blocks of a country is one matrix product, made a few thousand grams at a time, of which both lists' best
-    are returned. What a task holds is bounded, and pairs are never rows.
+    regions, (country, id, term) of both sides, restricts the pairs to those that share a region or of which one side has
+    none. vectors: gram_vectors() of both, if they are at hand.
     """
-    of_s1, of_r = gram_counts(s1, text), gram_counts(r, text)
-    idf = gram_idf(r, of_r, min_df, max_df)
-    sparse = lambda counts: gram_weights(counts, idf).groupBy("country", "id").agg(F.collect_list(F.struct(F.xxhash64("gram").alias("g"), "w")).alias("x"))
-    a, b = sparse(of_s1), sparse(of_r)
-    count = lambda side, name: side.groupBy("country").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
-    sizes = F.broadcast(count(s1, "n_s1").join(count(r, "n_r"), "country"))
-    hashed = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    unpack = [F.transform("x", lambda x: x["g"]).alias("g"), F.transform("x", lambda x: x["w"]).alias("w")]
-    a = a.join(sizes, "country").select("country", hashed("n_s1").alias("i"), every("n_r").alias("j"), F.col("id").alias("s1"), *unpack)
-    b = b.join(sizes, "country").select(F.col("country").alias("c"), every("n_s1").alias("bi"), hashed("n_r").alias("bj"), F.col("id").alias("r"), *unpack)
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"country": [], "way": [], "s1": [], "r": [], "score": []})
-        left, right = left.sort_values("s1", kind="stable"), right.sort_values("r", kind="stable")
-        flat = [(np.repeat(np.arange(len(x)), [len(g) for g in x["g"]]), np.concatenate(list(x["g"])), np.concatenate(list(x["w"]))) for x in (left, right)]
-        names = np.unique(np.concatenate([flat[0][1], flat[1][1]]))
-        z = np.zeros((len(left), len(right)))
-        for at in range(0, len(names), 4096):
-            part = names[at : at + 4096]
-            dense = []
-            for n, (row, gram, w) in zip((len(left), len(right)), flat, strict=True):
-                inside = (gram >= part[0]) & (gram <= part[-1])
-                m = np.zeros((n, len(part)))
-                m[row[inside], np.searchsorted(part, gram[inside])] = w[inside]
-                dense.append(m)
-            z += dense[0] @ dense[1].T
-        z = np.round(z, 9)
-        out = []
-        for way, scores, k in (("f", z, forward), ("b", z.T, back)):
-            at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            own, value = np.repeat(np.arange(len(scores)), at.shape[1]), np.take_along_axis(scores, at, 1).ravel()
-            x, y = (own, at.ravel()) if way == "f" else (at.ravel(), own)
-            out.append(pd.DataFrame({"country": left["country"].iloc[0], "way": way, "s1": left["s1"].to_numpy()[x], "r": right["r"].to_numpy()[y], "score": value}))
-        out = pd.concat(out)
-        return out[out["score"] > 0]
-
-    kind = s1.schema["id"].dataType.simpleString()
-    schema = f"country {s1.schema['country'].dataType.simpleString()}, way string, s1 {kind}, r {r.schema['id'].dataType.simpleString()}, score double"
-    found = a.groupBy("country", "i", "j").cogroup(b.groupBy("c", "bi", "bj")).applyInPandas(best, schema)
-    return top(found.where("way = 'f'").drop("way"), "s1", "r", forward), top(found.where("way = 'b'").drop("way"), "r", "s1", back)
+    of_s1, of_r = vectors or gram_vectors(s1, r, text, min_df, max_df)
+    cells = region_cells(s1, r, *regions) if regions else (whole(s1), whole(r))
+    a = cells[0].join(of_s1, ["country", "id"]).withColumnRenamed("id", "s1")
+    b = cells[1].join(of_r, ["country", "id"]).withColumnRenamed("id", "r")
+    return block_lists(a, b, gram_scores, forward, back, 0.0, block)
+
+
+def gram_cosine(pairs: DataFrame, of_s1: DataFrame, of_r: DataFrame) -> DataFrame:
+    """pairs (country, s1, r, ...) with cos_t, the cosine of their grams, 0 if they share none."""
+    listed = lambda df, own, k: df.select("country", F.col("id").alias(own), F.arrays_zip("g", "w").alias(k))
+    both = pairs.join(listed(of_s1, "s1", "x"), ["country", "s1"], "left").join(listed(of_r, "r", "y"), ["country", "r"], "left")
+    known = F.map_from_entries("y")
+    total = F.aggregate("x", F.lit(0.0), lambda s, e: s + e["w"] * F.coalesce(F.try_element_at(known, e["g"]), F.lit(0.0)))
+    return both.withColumn("cos_t", F.round(F.coalesce(total, F.lit(0.0)), 9)).drop("x", "y")
 
 
 def top(hits: DataFrame, by: str, other: str, k: int, score: str = "score") -> DataFrame:
@@ -183,44 +264,54 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def block_top(s1: DataFrame, r: DataFrame, k: int, how: str = "dense", rows: int = 4096) -> DataFrame:
-    """(country, s1, r, score, rank): the k best records of every anchor over all of its country, in blocks.
+def dense_scores(x: pd.DataFrame, y: pd.DataFrame) -> Iterator[np.ndarray]:
+    a, b = (np.stack([np.asarray(v, float) for v in d["x"]]) for d in (x, y))
+    for at in range(0, len(a), CHUNK):
+        yield a[at : at + CHUNK] @ b.T
+
+
+def sign_scores(x: pd.DataFrame, y: pd.DataFrame) -> Iterator[np.ndarray]:
+    """Minus the Hamming distance of packed codes."""
+    a, b = (np.stack([np.asarray(v, np.uint32) for v in d["x"]]) for d in (x, y))
+    for at in range(0, len(a), CHUNK):
+        yield -np.bitwise_count(a[at : at + CHUNK, None, :] ^ b).sum(2, dtype=np.int32).astype(float)
+
 
-    Both sides are dealt into blocks by a hash of the id, each pair of blocks of a country is one matrix product, and a
-    block returns its k best for each anchor; so what a task holds is bounded, and pairs are never rows. how: dense, the
-    inner product; sign, minus the Hamming distance of the codes in column code (arrays of 0/1).
+def vector_lists(s1: DataFrame, r: DataFrame, forward: int, back: int, how: str = "dense", block: tuple[int, int] = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The best records of every anchor and the best anchors of every record over all of their country.
+
+    how: dense, the inner product of column v; sign, minus the Hamming distance of the packed codes in column code.
     """
-    count = lambda side: side.groupBy("country").agg(F.ceil(F.count("*") / rows).cast("int").alias("blocks"))
-    column = "v" if how == "dense" else "code"
-    sizes = count(s1).withColumnRenamed("blocks", "n_s1").join(count(r).withColumnRenamed("blocks", "n_r"), "country")
-    hashed = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    a = s1.join(F.broadcast(sizes), "country").select("country", hashed("n_s1").alias("i"), every("n_r").alias("j"), F.col("id").alias("s1"), F.col(column).alias("x"))
-    b = r.join(F.broadcast(sizes), "country").select(F.col("country").alias("c"), every("n_s1").alias("bi"), hashed("n_r").alias("bj"), F.col("id").alias("r"), F.col(column).alias("y"))
+    column = F.col("v" if how == "dense" else "code").alias("x")
+    a = s1.select("country", F.lit("").alias("cell"), F.col("id").alias("s1"), column)
+    b = r.select("country", F.lit("").alias("cell"), F.col("id").alias("r"), column)
+    return block_lists(a, b, dense_scores if how == "dense" else sign_scores, forward, back, block=block)
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"country": [], "s1": [], "r": [], "score": []})
-        right = right.sort_values("r", kind="stable")
-        x, y = (np.stack([np.asarray(v, float) for v in c]) for c in (left["x"], right["y"]))
-        z = x @ y.T if how == "dense" else -(x.sum(1)[:, None] + y.sum(1) - 2 * (x @ y.T))
-        z = np.round(z, 9)
-        at = np.argsort(-z, axis=1, kind="stable")[:, :k]
-        n = at.shape[1]
-        return pd.DataFrame({"country": left["country"].iloc[0], "s1": np.repeat(left["s1"].to_numpy(), n), "r": right["r"].to_numpy()[at.ravel()], "score": np.take_along_axis(z, at, 1).ravel()})
 
-    kind = s1.schema["country"].dataType.simpleString()
-    schema = f"country {kind}, s1 {s1.schema['id'].dataType.simpleString()}, r {r.schema['id'].dataType.simpleString()}, score double"
-    return top(a.groupBy("country", "i", "j").cogroup(b.groupBy("c", "bi", "bj")).applyInPandas(best, schema), "s1", "r", k)
+def block_top(s1: DataFrame, r: DataFrame, k: int, how: str = "dense", block: tuple[int, int] = BLOCK) -> DataFrame:
+    """(country, s1, r, score, rank): the k best records of every anchor."""
+    return vector_lists(s1, r, k, 0, how, block)[0]
 
 
-def vault_top(s1: DataFrame, r: DataFrame, k: int, shortlist: int | None = None) -> DataFrame:
-    """The k best by INT8 inner product among each anchor's shortlist (4k) by Hamming distance of centred sign codes."""
-    both = s1.select("country", "v").unionByName(r.select("country", "v"))
-    mean = mean_vector(both).groupBy("country").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda x: x["mean"]).alias("mean"))
-    coded = lambda side: side.join(F.broadcast(mean), "country").withColumn("code", F.zip_with("v", "mean", lambda x, m: F.when(x.cast("double") > m, 1).otherwise(0))).drop("mean")
-    near = block_top(coded(s1), coded(r), shortlist or 4 * k, "sign").select("country", "s1", "r")
+def coded(side: DataFrame, mean: DataFrame) -> DataFrame:
+    """side with its packed sign codes around the country's mean; mean has a row for each country and dimension."""
+    listed = mean.groupBy("country").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda x: x["mean"]).alias("mean"))
+    return side.join(F.broadcast(listed), "country").withColumn("code", sign_code(F.col("v"), F.col("mean"))).drop("mean")
+
+
+def vault_lists(s1: DataFrame, r: DataFrame, forward: int = FORWARD, back: int = BACK, shortlist: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both directions' best by INT8 inner product among shortlists (4 times as long, or `shortlist` forward) by the Hamming
+    distance of centred sign codes."""
+    mean = mean_vector(s1.select("country", "v").unionByName(r.select("country", "v")))
+    short = vector_lists(coded(s1, mean), coded(r, mean), shortlist or 4 * forward, 4 * back, "sign")
     step = lambda side, own, q, s: side.select("country", F.col("id").alias(own), int8(F.col("v"))[0].alias(q), int8(F.col("v"))[1].alias(s))
-    pairs = near.join(step(s1, "s1", "q1", "scale1"), ["country", "s1"]).join(step(r, "r", "q2", "scale2"), ["country", "r"])
-    scored = pairs.select("country", "s1", "r", F.round(dot(F.col("q1"), F.col("q2")) * F.col("scale1") * F.col("scale2"), 9).alias("score"))
-    return top(scored, "s1", "r", k)
+
+    def rescored(near: DataFrame) -> DataFrame:
+        pairs = near.select("country", "s1", "r").join(step(s1, "s1", "q1", "scale1"), ["country", "s1"]).join(step(r, "r", "q2", "scale2"), ["country", "r"])
+        return pairs.select("country", "s1", "r", F.round(dot(F.col("q1"), F.col("q2")) * F.col("scale1") * F.col("scale2"), 9).alias("score"))
+
+    return top(rescored(short[0]), "s1", "r", forward), top(rescored(short[1]), "r", "s1", back)
+
+
+def vault_top(s1: DataFrame, r: DataFrame, k: int, shortlist: int | None = None) -> DataFrame:
+    return vault_lists(s1, r, k, 0, shortlist)[0]

@@ -30,6 +30,12 @@ def house_equal(a: Column, b: Column) -> Column:
     return F.when((x == "") | (y == ""), F.lit(-1)).otherwise((x == y).cast("int"))
 
 
+def region_overlap(a: Column, b: Column) -> Column:
+    """Whether two arrays of regions share one, as 1 or 0; -1 if a side has none or is null."""
+    known = (F.size(F.coalesce(a, F.array().cast("array<string>"))) > 0) & (F.size(F.coalesce(b, F.array().cast("array<string>"))) > 0)
+    return F.when(known, F.arrays_overlap(a, b).cast("int")).otherwise(-1)
+
+
 def string_features(pairs: DataFrame) -> DataFrame:
     """pair_columns() rows with all similarities and structural features."""
     core = {k: T.core_name(F.col(f"name_{k}")) for k in (1, 2)}
@@ -79,8 +85,11 @@ def weighted_overlap(pairs: DataFrame, a: Column, b: Column, idf: DataFrame) ->
 def record_frequency(records: DataFrame, key: Column, least: int) -> DataFrame:
     """(country, id, freq): how many records of the country have the same key; 0 for keys of under `least` characters.
 
-    Counts are aggregated and joined rather than windowed, so a key that very many records share is no hot task.
+    Counts are aggregated and joined rather than windowed. Blank and short keys, which very many records may share, are set
+    to 0 before the join meets them.
     """
     keyed = records.select("country", "id", key.alias("key"))
-    n = keyed.groupBy("country", "key").agg(F.count("*").alias("n"))
-    return keyed.join(n, ["country", "key"]).select("country", "id", F.when(F.length("key") < least, 0).otherwise(F.col("n")).cast("long").alias("freq"))
+    long = keyed.where(F.length("key") >= least)
+    n = long.groupBy("country", "key").agg(F.count("*").alias("freq"))
+    none = keyed.where(F.coalesce(F.length("key"), F.lit(0)) < least).select("country", "id", F.lit(0).cast("long").alias("freq"))
+    return long.join(n, ["country", "key"]).select("country", "id", "freq").unionByName(none)

@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import similarity as sim
 from kinweave.functions import text as T
+from kinweave.operators import blocker
 from kinweave.operators import blocking as B
-from kinweave.operators import contract, evaluation, features, regions, scorer, selection, splits
-from kinweave.session import scratch_dir
+from kinweave.operators import contract, evaluation, features, regions, scorer, selection, selector, splits
+from kinweave.session import cut, scratch_dir
 from kinweave.sources import tables
 
 from . import worlds as W
-from .worlds import EDGES, RECORDS, VECTORS, table
+from .worlds import EDGES, RECORD_VECTORS, RECORDS, VECTORS, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -135,15 +136,16 @@ def key_edges(spark, d):
 
 # Trigrams
 
-GRAMS = f"""{RECORDS},
+GRAM_PARTS = """
     w AS (SELECT id, country, id LIKE 'S1-%' AS anchor, ' ' || unnest(list_filter(string_split_regex(lower(name || ', ' || addr), '\\s+'), lambda x: x <> '')) || ' ' AS w FROM rec),
-    g AS (SELECT id, country, anchor, substr(w, i::INT, 3) AS gram, count(*) AS tf FROM (SELECT *, unnest(range(1, length(w) - 1)) AS i FROM w) GROUP BY ALL),
+    gm AS (SELECT id, country, anchor, substr(w, i::INT, 3) AS gram, count(*) AS tf FROM (SELECT *, unnest(range(1, length(w) - 1)) AS i FROM w) GROUP BY ALL),
     n AS (SELECT country, count(*) AS n FROM rr GROUP BY country),
-    idf AS (SELECT country, gram, count(*) AS df, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1.0 AS idf FROM g JOIN n USING (country) WHERE NOT anchor GROUP BY country, gram HAVING count(*) >= 2),
-    raw_w AS (SELECT id, country, anchor, gram, (1 + ln(tf)) * idf AS x FROM g JOIN idf USING (country, gram)),
+    idf AS (SELECT country, gram, count(*) AS df, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1.0 AS idf FROM gm JOIN n USING (country) WHERE NOT anchor GROUP BY country, gram HAVING count(*) >= 2 AND count(*) <= {max_df} * any_value(n)),
+    raw_w AS (SELECT id, country, anchor, gram, (1 + ln(tf)) * idf AS x FROM gm JOIN idf USING (country, gram)),
     wt AS (SELECT id, country, anchor, gram, x / sqrt(sum(x * x) OVER (PARTITION BY country, id)) AS w FROM raw_w),
     sc AS (SELECT a.country, a.id AS s1, b.id AS r, round(sum(a.w * b.w), 9) AS score FROM wt a JOIN wt b ON a.country = b.country AND a.gram = b.gram WHERE a.anchor AND NOT b.anchor GROUP BY a.country, a.id, b.id)
 """
+GRAMS = f"{RECORDS}, {GRAM_PARTS.format(max_df=1.0)}"
 
 
 def _text() -> F.Column:
@@ -170,32 +172,43 @@ def trigram_tfidf_weights(spark, d):
     return B.gram_weights(B.gram_counts(s1, _text()), B.gram_idf(r, B.gram_counts(r, _text()))).select("country", "id", "gram", six("w").alias("w"))
 
 
-RANKED = "SELECT country, s1, r, round(score + 5e-10, 6) AS score, rk AS rank FROM (SELECT *, (row_number() OVER (PARTITION BY country, {by} ORDER BY score DESC, {other}) - 1)::INTEGER AS rk FROM sc) WHERE rk < {k}"
+RANKED = "SELECT country, s1, r, round(score + 5e-10, 6) AS score, rk AS rank FROM (SELECT *, (row_number() OVER (PARTITION BY country, {by} ORDER BY score DESC, {other}) - 1)::INTEGER AS rk FROM {of}) WHERE rk < {k}"
 
 
-@query(f"WITH {GRAMS} {RANKED.format(by='s1', other='r', k=B.FORWARD)}")
+@query(f"WITH {GRAMS} {RANKED.format(of='sc', by='s1', other='r', k=B.FORWARD)}")
 def trigram_topk_fwd(spark, d):
     return _grams(spark, d)[0].withColumn("score", nine_to_six("score"))
 
 
-@query(f"WITH {GRAMS} {RANKED.format(by='r', other='s1', k=B.BACK)}")
+@query(f"WITH {GRAMS} {RANKED.format(of='sc', by='r', other='s1', k=B.BACK)}")
 def trigram_topk_rev(spark, d):
     return _grams(spark, d)[1].withColumn("score", nine_to_six("score"))
 
 
-PRUNED = f"""{GRAMS},
-    q0 AS (SELECT *, row_number() OVER (PARTITION BY country, s1 ORDER BY score DESC, r) - 1 AS rank, max(score) OVER (PARTITION BY country, s1) AS best FROM sc),
+#: Both pruned trigram lists of the scores in {of}, and the key lists.
+LISTS = f"""
+    q0 AS (SELECT *, row_number() OVER (PARTITION BY country, s1 ORDER BY score DESC, r) - 1 AS rank, max(score) OVER (PARTITION BY country, s1) AS best FROM {{of}}),
     tq AS (SELECT country, s1, r, score, rank FROM q0 WHERE rank < 30 AND (rank < 5 OR score >= best - 0.15)),
-    r0 AS (SELECT *, row_number() OVER (PARTITION BY country, r ORDER BY score DESC, s1) - 1 AS rank, max(score) OVER (PARTITION BY country, r) AS best FROM sc),
+    r0 AS (SELECT *, row_number() OVER (PARTITION BY country, r ORDER BY score DESC, s1) - 1 AS rank, max(score) OVER (PARTITION BY country, r) AS best FROM {{of}}),
     tr AS (SELECT country, s1, r, score, rank FROM r0 WHERE rank < 5 AND (rank < 2 OR score >= best - 0.10)),
     ka AS (SELECT country, id, {ADDR_KEY} AS key FROM s1), kb AS (SELECT country, id, {ADDR_KEY} AS key, count(*) OVER (PARTITION BY country, {ADDR_KEY}) AS n FROM rr),
     a AS (SELECT ka.country, ka.id AS s1, kb.id AS r FROM ka JOIN kb ON ka.country = kb.country AND ka.key = kb.key WHERE ka.key <> '' AND kb.n <= 30),
-    u AS (SELECT country, s1, r, bool_or(leg = 'tq') AS in_tq, bool_or(leg = 'tr') AS in_tr, bool_or(leg = 'a') AS in_a,
-            coalesce(min(rank) FILTER (leg = 'tq'), 99)::TINYINT AS rank_tq, coalesce(min(rank) FILTER (leg = 'tr'), 99)::TINYINT AS rank_tr
-        FROM (SELECT country, s1, r, 'tq' AS leg, rank FROM tq UNION ALL SELECT country, s1, r, 'tr', rank FROM tr UNION ALL SELECT country, s1, r, 'a', 0 FROM a) GROUP BY country, s1, r)
+    na AS (SELECT country, id, {NAME_KEY} AS key FROM s1), nb AS (SELECT country, id, {NAME_KEY} AS key, count(*) OVER (PARTITION BY country, {NAME_KEY}) AS n FROM rr),
+    nk AS (SELECT na.country, na.id AS s1, nb.id AS r FROM na JOIN nb ON na.country = nb.country AND na.key = nb.key WHERE na.key <> '' AND nb.n <= 30)
 """
 
 
+def stacked_sql(ranked: tuple[str, ...]) -> str:
+    """The union of lists as CTE u; ranked ones bring their ranks."""
+    rows = " UNION ALL ".join([*(f"SELECT country, s1, r, '{x}' AS leg, rank FROM {x}" for x in ranked), "SELECT country, s1, r, 'a', 0 FROM a", "SELECT country, s1, r, 'n', 0 FROM nk"])
+    flags = ", ".join(f"bool_or(leg = '{x}') AS in_{x}" for x in (*ranked, "a", "n"))
+    ranks = ", ".join(f"coalesce(min(rank) FILTER (leg = '{x}'), 99)::TINYINT AS rank_{x}" for x in ranked)
+    return f"u AS (SELECT country, s1, r, {flags}, {ranks} FROM ({rows}) GROUP BY country, s1, r)"
+
+
+PRUNED = f"{GRAMS}, {LISTS.format(of='sc')}, {stacked_sql(('tq', 'tr'))}"
+
+
 @query(f"WITH {PRUNED} SELECT country, s1, r, round(score + 5e-10, 6) AS score, rank::INTEGER AS rank FROM tq")
 def adaptive_prune(spark, d):
     return B.prune(_grams(spark, d)[0], "s1", *B.PRUNE["tq"]).withColumn("score", nine_to_six("score"))
@@ -208,13 +221,14 @@ def _union(spark, d) -> DataFrame:
         "tq": B.prune(forward, "s1", *B.PRUNE["tq"]),
         "tr": B.prune(back, "r", *B.PRUNE["tr"]),
         "a": B.capped_pairs(s1, r, "addr_key"),
+        "n": B.capped_pairs(s1, r, "name_key"),
     }
     return B.union_legs(legs)
 
 
-@query(f"WITH {PRUNED} SELECT country, s1, r, in_tq, in_tr, in_a FROM u")
+@query(f"WITH {PRUNED} SELECT country, s1, r, in_tq, in_tr, in_a, in_n FROM u")
 def leg_union(spark, d):
-    return _union(spark, d).select("country", "s1", "r", "in_tq", "in_tr", "in_a")
+    return _union(spark, d).select("country", "s1", "r", "in_tq", "in_tr", "in_a", "in_n")
 
 
 @query(f"WITH {PRUNED} SELECT country, s1, r, rank_tq, rank_tr FROM u")
@@ -222,9 +236,9 @@ def leg_ranks(spark, d):
     return _union(spark, d).select("country", "s1", "r", "rank_tq", "rank_tr")
 
 
-@query(f"WITH {PRUNED} SELECT country, count(*) AS pairs, round(avg((u.s1 IS NOT NULL)::INT), 6) AS recall, round(avg(coalesce(in_tq, false)::INT), 6) AS recall_in_tq, round(avg(coalesce(in_tr, false)::INT), 6) AS recall_in_tr, round(avg(coalesce(in_a, false)::INT), 6) AS recall_in_a FROM truth LEFT JOIN u USING (country, s1, r) GROUP BY ROLLUP (country)")
+@query(f"WITH {PRUNED} SELECT country, count(*) AS pairs, round(avg((u.s1 IS NOT NULL)::INT), 6) AS recall, round(avg(coalesce(in_tq, false)::INT), 6) AS recall_in_tq, round(avg(coalesce(in_tr, false)::INT), 6) AS recall_in_tr, round(avg(coalesce(in_a, false)::INT), 6) AS recall_in_a, round(avg(coalesce(in_n, false)::INT), 6) AS recall_in_n FROM truth LEFT JOIN u USING (country, s1, r) GROUP BY ROLLUP (country)")
 def recall_rollup(spark, d):
-    out = evaluation.recall(W.true_pairs(W.records(spark, d)), _union(spark, d), ["in_tq", "in_tr", "in_a"])
+    out = evaluation.recall(W.true_pairs(W.records(spark, d)), _union(spark, d), ["in_tq", "in_tr", "in_a", "in_n"])
     return out.select("country", "pairs", *[six(c).alias(c) for c in out.columns[2:]])
 
 
@@ -280,7 +294,7 @@ ASSIGNED = f"""{ALIAS},
 
 
 def _parts(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = W.records(spark, d).withColumn("parts", T.address_parts("business_address"))
+    rows = cut(W.records(spark, d).withColumn("parts", T.address_parts("business_address")))
     return *W.sides(rows), W.true_pairs(rows).select("s1", F.col("r").alias("m"))
 
 
@@ -288,7 +302,7 @@ def _assigned(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     s1, r, pairs = _parts(spark, d)
     vocab = regions.vocabulary(s1)
     alias = regions.aliases(s1, r, pairs, vocab)
-    return s1, r, regions.assign(s1, vocab, alias), regions.assign(r, vocab, alias)
+    return s1, r, cut(regions.assign(s1, vocab, alias)), cut(regions.assign(r, vocab, alias))
 
 
 @query(f"WITH {RECORDS}, {PARTS} SELECT country, term FROM voc")
@@ -321,12 +335,60 @@ def region_cost(spark, d):
     return regions.cost(*_assigned(spark, d)).select("country", six("share").alias("share"))
 
 
-@query()
+REGIONAL = f"{ASSIGNED}, {GRAM_PARTS.format(max_df=1.0)}, sp AS (SELECT sc.* FROM sc JOIN pr USING (country, s1, r))"
+
+
+def _regional(spark, d) -> tuple[DataFrame, DataFrame]:
+    s1, r, a, b = _assigned(spark, d)
+    return B.gram_top(s1, r, _text(), regions=(a, b))
+
+
+@query(f"WITH {REGIONAL} {RANKED.format(of='sp', by='s1', other='r', k=B.FORWARD)}")
 def trigram_partitioned(spark, d):
-    """The forward trigram list within regions: both directions come from the same product."""
+    """The forward trigram list within regions: both directions come from the same blocks."""
+    return _regional(spark, d)[0].withColumn("score", nine_to_six("score"))
+
+
+@query(f"WITH {REGIONAL} {RANKED.format(of='sp', by='r', other='s1', k=B.BACK)}")
+def trigram_partitioned_rev(spark, d):
+    return _regional(spark, d)[1].withColumn("score", nine_to_six("score"))
+
+
+MAX_DF = (1.0, 0.2, 0.05)
+
+
+@query(" UNION ALL ".join(f"""(WITH {RECORDS}, {GRAM_PARTS.format(max_df=m)}, k AS (SELECT *, row_number() OVER (PARTITION BY country, s1 ORDER BY score DESC, r) - 1 AS rank FROM sc)
+    SELECT {m}::DOUBLE AS max_df, truth.country, c::INTEGER AS k, round(avg(coalesce(k.rank < c, false)::INT), 6) AS recall FROM truth LEFT JOIN k USING (country, s1, r), (SELECT unnest([10, 20, 50]) AS c) GROUP BY ALL)""" for m in MAX_DF))
+def max_df_sweep(spark, d):
+    """Recall of the forward trigram list as frequent grams are dropped."""
+    s1, r = _sides(spark, d)
+    truth = W.true_pairs(W.records(spark, d))
+    rows = [evaluation.recall_at(B.gram_top(s1, r, _text(), back=0, max_df=m)[0], truth, [10, 20, 50]).withColumn("max_df", F.lit(m)) for m in MAX_DF]
+    return tables.union_sources(*rows).select("max_df", "country", "k", six("recall").alias("recall"))
+
+
+SEEN = "'economy', 'large', 'medium'"
+
+
+@query(f"WITH {ALIAS}, t AS (SELECT country, term AS key, term, false AS alias FROM voc UNION ALL SELECT country, alias, term, true FROM al WHERE country IN ({SEEN})) SELECT * FROM t")
+def region_unseen(spark, d):
+    """The model of some countries, carried over to a split that has others: those get a vocabulary and no aliases."""
+    s1, r, pairs = _parts(spark, d)
+    seen = F.expr(f"country IN ({SEEN})")
+    model = blocker.RegionModel.learn(s1.where(seen), r.where(seen), pairs).seen_with(s1)
+    own = model.vocab.select("country", F.col("term").alias("key"), "term", F.lit(False).alias("alias"))
+    return own.unionByName(model.alias.select("country", F.col("alias").alias("key"), "term", F.lit(True).alias("alias")))
+
+
+@query(f"""WITH {ASSIGNED}, ng AS (SELECT country, id, anchor, count(*) AS n FROM asg GROUP BY ALL),
+    a AS (SELECT s1.country, round(avg((n IS NULL)::INT), 6) AS s1_unknown, round(avg(coalesce(n, 0)), 6) AS s1_regions FROM s1 LEFT JOIN ng USING (country, id) GROUP BY s1.country),
+    b AS (SELECT rr.country, round(avg((n IS NULL)::INT), 6) AS r_unknown, round(avg(coalesce(n, 0)), 6) AS r_regions FROM rr LEFT JOIN ng USING (country, id) GROUP BY rr.country),
+    c AS (SELECT truth.country, round(avg((EXISTS (SELECT 1 FROM pr WHERE pr.s1 = truth.s1 AND pr.r = truth.r))::INT), 6) AS pairs_kept FROM truth GROUP BY truth.country)
+    SELECT * FROM a JOIN b USING (country) JOIN c USING (country)""")
+def region_report(spark, d):
     s1, r, a, b = _assigned(spark, d)
-    scores = B.gram_scores(s1, r, _text(), within=regions.overlap_pairs(s1, r, a, b))
-    return B.top(scores, "s1", "r", B.FORWARD).withColumn("score", nine_to_six("score"))
+    out = blocker.region_report(s1, r, a, b, W.true_pairs(W.records(spark, d))).drop("share")
+    return out.select("country", *[six(c).alias(c) for c in out.columns[1:]])
 
 
 # Vectors
@@ -348,21 +410,29 @@ VCODES = f"""{VECTORS}, mu AS (SELECT country, list(m ORDER BY i) AS mu FROM (SE
 @query(f"WITH {VCODES} SELECT country, s1, r, -h AS score, rank FROM sh WHERE rank < 80")
 def sign_hamming_shortlist(spark, d):
     s1, r = W.vectors(spark, d)
-    mean = B.mean_vector(s1.unionByName(r)).groupBy("country").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda x: x["mean"]).alias("mean"))
-    coded = lambda side: side.join(F.broadcast(mean), "country").withColumn("code", F.zip_with("v", "mean", lambda x, m: F.when(x.cast("double") > m, 1).otherwise(0)))
-    return B.block_top(coded(s1), coded(r), 80, "sign")
+    mean = B.mean_vector(s1.unionByName(r))
+    return B.block_top(B.coded(s1, mean), B.coded(r, mean), 80, "sign")
 
 
 Q8 = "list_transform({t}.v, lambda x: greatest(-127, least(127, round_even(x / {t}.s, 0))))"
 
 
-@query(f"""WITH {VCODES}, q AS (SELECT *, greatest(list_max(list_transform(v, lambda x: abs(x))), 1e-12) / 127.0 AS s FROM vec),
-    rs AS (SELECT sh.country, sh.s1, sh.r, round(list_sum(list_transform({Q8.format(t='a')}, lambda x, i: x * ({Q8.format(t='b')})[i])) * a.s * b.s, 9) AS score FROM sh JOIN q a ON a.id = sh.s1 JOIN q b ON b.id = sh.r WHERE sh.rank < 80)
-    SELECT country, s1, r, round(score + 5e-10, 6) AS score, rk AS rank FROM (SELECT *, (row_number() OVER (PARTITION BY country, s1 ORDER BY score DESC, r) - 1)::INTEGER AS rk FROM rs) WHERE rk < 20""")
+QUANTISED = "q AS (SELECT *, greatest(list_max(list_transform(v, lambda x: abs(x))), 1e-12) / 127.0 AS s FROM vec)"
+RESCORED = f"round(list_sum(list_transform({Q8.format(t='a')}, lambda x, i: x * ({Q8.format(t='b')})[i])) * a.s * b.s, 9)"
+
+
+@query(f"""WITH {VCODES}, {QUANTISED}, rs AS (SELECT sh.country, sh.s1, sh.r, {RESCORED} AS score FROM sh JOIN q a ON a.id = sh.s1 JOIN q b ON b.id = sh.r WHERE sh.rank < 80) {RANKED.format(of='rs', by='s1', other='r', k=20)}""")
 def int8_rescore_topk(spark, d):
     return B.vault_top(*W.vectors(spark, d), 20).withColumn("score", nine_to_six("score"))
 
 
+@query(f"""WITH {VCODES}, {QUANTISED}, sr AS (SELECT *, row_number() OVER (PARTITION BY country, r ORDER BY h, s1) - 1 AS back FROM hm),
+    rs AS (SELECT sr.country, sr.s1, sr.r, {RESCORED} AS score FROM sr JOIN q a ON a.id = sr.s1 JOIN q b ON b.id = sr.r WHERE sr.back < 20) {RANKED.format(of='rs', by='r', other='s1', k=B.BACK)}""")
+def int8_rescore_topk_rev(spark, d):
+    """The best anchors of every record, from the same blocks as the best records of every anchor."""
+    return B.vault_lists(*W.vectors(spark, d))[1].withColumn("score", nine_to_six("score"))
+
+
 DENSE = f"{VECTORS}, sc AS (SELECT a.country, a.id AS s1, b.id AS r, round(list_dot_product(a.v, b.v), 9) AS score FROM s1 a JOIN rr b USING (country)), dn AS (SELECT *, (row_number() OVER (PARTITION BY country, s1 ORDER BY score DESC, r) - 1)::INTEGER AS rank FROM sc)"
 
 
@@ -371,6 +441,11 @@ def dense_topk(spark, d):
     return B.block_top(*W.vectors(spark, d), B.FORWARD).withColumn("score", nine_to_six("score"))
 
 
+@query(f"WITH {DENSE} {RANKED.format(of='sc', by='r', other='s1', k=B.BACK)}")
+def dense_topk_rev(spark, d):
+    return B.vector_lists(*W.vectors(spark, d), 0, B.BACK)[1].withColumn("score", nine_to_six("score"))
+
+
 @query(f"""WITH {VCODES}, dn AS (SELECT s1.country, s1.id AS s1, rr.id AS r, row_number() OVER (PARTITION BY s1.country, s1.id ORDER BY round(list_dot_product(s1.v, rr.v), 9) DESC, rr.id) AS rk FROM s1 JOIN rr USING (country)),
     t AS (SELECT country, s1, r FROM dn WHERE rk <= 10), h AS (SELECT * FROM sh WHERE rank < 80)
     SELECT t.country, k::INTEGER AS k, round(avg(coalesce(h.rank < k, false)::INT), 6) AS recall FROM t LEFT JOIN h USING (country, s1, r), (SELECT unnest([10, 20, 50, 80]) AS k) GROUP BY ALL""")
@@ -471,9 +546,24 @@ def partial_ratio(spark, d):
     return _pairs(spark, d).select("s1", "r", six(sim.partial_ratio_column("addr_1", "addr_2")).alias("ratio"))
 
 
-@query()
+CORES = f"{W.sql_core('{x}_1')} AS core_1, {W.sql_core('{x}_2')} AS core_2".replace("{x}", "name")
+PLAIN_FEATURES = """round(jaro_winkler_similarity(core_1, core_2), 6) AS core_jw, core_1 = core_2 AND core_1 <> '' AS core_equal, abs(length(name_1) - length(name_2))::INTEGER AS name_len_diff, addr_2 = '' AS r_addr_empty,
+    round(CASE WHEN len(x) + len(y) = 0 THEN -1 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END, 6) AS num_jacc,
+    CASE WHEN regexp_extract(addr_1, '\\d+') = '' OR regexp_extract(addr_2, '\\d+') = '' THEN -1 ELSE (regexp_extract(addr_1, '\\d+') = regexp_extract(addr_2, '\\d+'))::INTEGER END AS house_eq,
+    regexp_matches(business_name_2 || ' ' || business_address_2, '[^\\p{Latin}\\p{Common}\\p{Inherited}]') AS r_nonlatin"""
+
+
+@query(f"""WITH {PAIRS}, b AS (SELECT pc.*, {CORES}, rr.business_name AS business_name_2, rr.business_address AS business_address_2, list_distinct(regexp_extract_all(addr_1, '\\d+')) AS x, list_distinct(regexp_extract_all(addr_2, '\\d+')) AS y FROM pc JOIN rr ON rr.id = pc.r)
+    SELECT country, s1, r, {PLAIN_FEATURES} FROM b""")
 def string_features(spark, d):
-    return features.string_features(_pairs(spark, d)).drop("name_1", "name_2", "addr_1", "addr_2", "core_1", "core_2", "business_name_1", "business_name_2", "business_address_1", "business_address_2")
+    """All features of pairs' texts but the four ratios, which have queries of their own."""
+    out = features.string_features(_pairs(spark, d))
+    return out.select("country", "s1", "r", six("core_jw").alias("core_jw"), "core_equal", "name_len_diff", "r_addr_empty", six("num_jacc").alias("num_jacc"), "house_eq", "r_nonlatin")
+
+
+@query(f"WITH {RECORDS}, c AS (SELECT country, id, addr AS k FROM rec) SELECT country, id, CASE WHEN length(k) < 8 THEN 0 ELSE count(*) OVER (PARTITION BY country, k) END AS freq FROM c")
+def address_freq(spark, d):
+    return features.record_frequency(W.records(spark, d), T.text_or_empty("addr"), 8)
 
 
 # Selection
@@ -592,33 +682,170 @@ def edge_duplicates(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query()
+def sql_crc(x: str) -> str:
+    """CRC-32 of ASCII text."""
+    step = "lambda c, i: xor(c >> 1, 3988292384 * (c & 1))"
+    return f"xor(list_reduce(list_transform(string_split({x}, ''), lambda t: ascii(t)::BIGINT), lambda c, b: list_reduce(range(8), {step}, xor(c, b)), 4294967295), 4294967295)"
+
+
+@query(f"WITH {RECORDS} SELECT id, CASE WHEN {sql_crc("'1:' || id")} / 4294967296.0 < 0.1 THEN 'H' WHEN {sql_crc(f"'{splits.SEED}:' || id")} / 4294967296.0 < 0.4 THEN 'M' ELSE 'E' END AS part FROM s1")
 def label_partitions(spark, d):
     s1, _ = _sides(spark, d)
     return splits.label_parts(s1, s1.where(T.unit_hash("id", 1) < 0.1))
 
 
-@query()
+@query(f"WITH {RECORDS} SELECT id, country FROM s1 WHERE {sql_crc("'7:' || id")} / 4294967296.0 >= 0.19")
 def density_split(spark, d):
     return splits.density_split(_sides(spark, d)[0]).select("id", "country")
 
 
-@query()
+@query(f"WITH {RECORDS} SELECT id FROM s1 WHERE {sql_crc("'0:' || id")} / 4294967296.0 < 0.25")
+def anchor_sample(spark, d):
+    """A share of the anchors by hash, the same at any size."""
+    return _sides(spark, d)[0].where(splits.in_sample(F.col("id"), 0.25)).select("id")
+
+
+@query(f"WITH {RECORDS}, h AS (SELECT id, ({sql_crc("'13:' || id")} * 48271) % 2147483647 AS h FROM s1) SELECT id, ((row_number() OVER (PARTITION BY h % 64 ORDER BY h, id) + h % 64) % 4)::INTEGER AS fold FROM h")
 def folds(spark, d):
     return splits.folds(_sides(spark, d)[0], 4)
 
 
-@query(f"""WITH {RECORDS}, x AS (SELECT country, substr(name, 1, 1) AS initial, id, name, id LIKE 'S1-%' AS anchor, row_number() OVER (PARTITION BY country, substr(name, 1, 1) ORDER BY name, id) - 1 AS k FROM rec)
-    SELECT country, initial, k // 64 AS batch, k % 64 AS at, id, name, anchor FROM x""")
+@query(f"""WITH {RECORDS}, x AS (SELECT country, substr(name, 1, 1) AS range, id, name, id LIKE 'S1-%' AS anchor, row_number() OVER (PARTITION BY country, substr(name, 1, 1) ORDER BY name, id) - 1 AS k FROM rec WHERE id NOT IN (SELECT r FROM truth))
+    SELECT country, range, k // 64 AS batch, k % 64 AS at, id, name, anchor FROM x""")
 def hard_batch_windows(spark, d):
-    return splits.hard_batches(*_sides(spark, d), 64)
+    s1, r = _sides(spark, d)
+    return splits.hard_batches(s1, r, 64, W.true_pairs(W.records(spark, d)).select(F.col("r").alias("id")))
 
 
-@query()
+@query(f"WITH {RECORDS} SELECT count(*) AS rows, sum(('0x' || substr(sha1(name), 1, 15))::BIGINT::HUGEINT)::VARCHAR AS digest FROM rec")
 def name_fingerprint(spark, d):
     return evaluation.fingerprint(W.records(spark, d), "name")
 
 
+@query(f"WITH {RECORDS} SELECT count(*) AS n_s1, sha1(string_agg(id, chr(10) ORDER BY id)) AS s1_order_sha1 FROM s1")
+def roster_checksum(spark, d):
+    n, digest = blocker.roster_digest(_sides(spark, d)[0])
+    return spark.createDataFrame([(n, digest)], "n_s1 bigint, s1_order_sha1 string")
+
+
+@query(f"WITH {RECORDS}, n AS (SELECT country, count(*) AS n FROM s1 GROUP BY country) SELECT f.country AS fit_country, e.country AS eval_country, f.n AS fit_anchors, e.n AS eval_anchors FROM n f, n e WHERE f.country <> e.country")
+def country_variants(spark, d):
+    return evaluation.country_variants(_sides(spark, d)[0])
+
+
+# The blocker as a whole
+
+VAULT = f"""{RECORD_VECTORS}, mu AS (SELECT country, list(m ORDER BY i) AS mu FROM (SELECT country, i, avg(v[i]) AS m FROM (SELECT country, v, unnest(range(1, len(v) + 1)) AS i FROM rvec) GROUP BY country, i) GROUP BY country),
+    cd AS (SELECT id, country, v, id LIKE 'S1-%' AS anchor, list_transform(v, lambda x, i: (x > mu[i])::INT) AS code, greatest(list_max(list_transform(v, lambda x: abs(x))), 1e-12) / 127.0 AS s FROM rvec JOIN mu USING (country)),
+    hm AS (SELECT a.country, a.id AS s1, b.id AS r, list_sum(list_transform(a.code, lambda x, i: (x <> b.code[i])::INT)) AS h FROM cd a JOIN cd b USING (country) WHERE a.anchor AND NOT b.anchor),
+    sh AS (SELECT *, row_number() OVER (PARTITION BY country, s1 ORDER BY h, r) AS fore, row_number() OVER (PARTITION BY country, r ORDER BY h, s1) AS back FROM hm),
+    rs AS (SELECT sh.country, sh.s1, sh.r, fore, back, {RESCORED} AS score FROM sh JOIN cd a ON a.id = sh.s1 JOIN cd b ON b.id = sh.r WHERE fore <= 200 OR back <= 20),
+    vq AS (SELECT country, s1, r, rank FROM (SELECT *, row_number() OVER (PARTITION BY country, s1 ORDER BY score DESC, r) - 1 AS rank, max(score) OVER (PARTITION BY country, s1) AS best FROM rs WHERE fore <= 200) WHERE rank < 30 AND (rank < 5 OR score >= best - 0.10)),
+    vr AS (SELECT country, s1, r, rank FROM (SELECT *, row_number() OVER (PARTITION BY country, r ORDER BY score DESC, s1) - 1 AS rank, max(score) OVER (PARTITION BY country, r) AS best FROM rs WHERE back <= 20) WHERE rank < 5 AND (rank < 2 OR score >= best - 0.05))"""
+
+
+def _token_sql(x: str) -> str:
+    """CTEs of the overlap of texts' weighted tokens, of pairs p."""
+    split = lambda c: f"list_distinct(list_filter(string_split({c}, ' '), lambda t: t <> ''))"
+    return f"""i_{x} AS (SELECT country, token, ln((any_value(n) + 1.0) / (count(*) + 1.0)) + 1.0 AS idf FROM (SELECT country, unnest({split(x)}) AS token FROM rec) JOIN (SELECT country, count(*) AS n FROM rec GROUP BY country) USING (country) GROUP BY country, token),
+    l_{x} AS (SELECT country, s1, r, {split(x + '_1')} AS a, {split(x + '_2')} AS b FROM p), m_{x} AS (SELECT country, s1, r, a, b, unnest(list_distinct(list_concat(a, b))) AS token FROM l_{x}),
+    o_{x} AS (SELECT country, s1, r, coalesce(sum(idf) FILTER (list_contains(a, token) AND list_contains(b, token)), 0) AS both, sum(idf) AS every, coalesce(max(idf) FILTER (NOT list_contains(b, token)), 0) AS miss_1, coalesce(max(idf) FILTER (NOT list_contains(a, token)), 0) AS miss_2 FROM m_{x} JOIN i_{x} USING (country, token) GROUP BY country, s1, r)"""
+
+
+CANDIDATES = f"""{REGIONAL}, {VAULT}, {LISTS.format(of='sp')}, {stacked_sql(('vq', 'vr', 'tq', 'tr'))}"""
+_float = lambda x, name: f"round(({x})::FLOAT::DOUBLE, 5) AS {name}"
+
+
+def _candidate_sql(fields: str, more: str = "") -> str:
+    return f"""WITH {CANDIDATES},
+    p AS (SELECT u.*, s1.name AS name_1, s1.addr AS addr_1, rr.name AS name_2, rr.addr AS addr_2, rr.business_name AS business_name_2, rr.business_address AS business_address_2, round(list_dot_product(a.v, b.v), 9) AS cos_v FROM u JOIN s1 ON s1.id = u.s1 JOIN rr ON rr.id = u.r JOIN rvec a ON a.id = u.s1 JOIN rvec b ON b.id = u.r){more}
+    SELECT {fields}"""
+
+
+FREQ = f"fn AS (SELECT country, {W.sql_core('name')} AS k, count(*) AS n FROM rec GROUP BY ALL), fa AS (SELECT country, addr AS k, count(*) AS n FROM rec GROUP BY ALL)"
+SORTED_COLUMNS = ("cos_v", "cos_t", "core_jw", "num_jacc", "name_wjacc", "name_rare_miss_s1", "name_rare_miss_r", "name_idf_match", "addr_wjacc", "addr_rare_miss_s1", "addr_rare_miss_r")
+
+
+def _blocked(spark, d):
+    """Records, vectors, regions, grams and truth of the blocker's world."""
+    rows = cut(W.records(spark, d))
+    s1, r = W.sides(rows)
+    own, other = (x.withColumn("parts", T.address_parts("business_address")) for x in (s1, r))
+    model = blocker.RegionModel.learn(own, other, W.true_pairs(rows).select("s1", F.col("r").alias("m")))
+    return s1, r, cut(W.record_vectors(spark, d, rows)), (cut(model.assign(own)), cut(model.assign(other))), W.true_pairs(rows), tuple(map(cut, B.gram_vectors(s1, r, _text())))
+
+
+@query(_candidate_sql(f"""p.s1 AS source1_entity_id, p.r AS candidate_entity_id, p.country, {_float('p.cos_v', 'cos_v')}, {_float('coalesce(sc.score, 0)', 'cos_t')}, in_vq, in_vr, in_tq, in_tr, in_a, in_n, rank_vq, rank_vr, rank_tq, rank_tr,
+    (count(*) OVER (PARTITION BY p.country, p.s1))::INTEGER AS n_cand_s1, (count(*) OVER (PARTITION BY p.country, p.r))::INTEGER AS n_cand_r, (row_number() OVER (PARTITION BY p.country, p.s1 ORDER BY p.cos_v DESC, p.r))::INTEGER AS cos_v_rank_in_s1, (row_number() OVER (PARTITION BY p.country, p.r ORDER BY p.cos_v DESC, p.s1))::INTEGER AS cos_v_rank_in_r,
+    CASE WHEN x1.t IS NULL OR x2.t IS NULL THEN -1 ELSE list_has_any(x1.t, x2.t)::INT END::TINYINT AS region_overlap, substr(p.r, 1, 2) AS cand_source, (truth.r IS NOT NULL) AS label, (i1.k)::INTEGER AS s1_idx, (i2.k)::INTEGER AS cand_idx
+    FROM p LEFT JOIN sc USING (country, s1, r) LEFT JOIN xt x1 ON x1.id = p.s1 LEFT JOIN xt x2 ON x2.id = p.r LEFT JOIN truth ON truth.s1 = p.s1 AND truth.r = p.r JOIN i1 ON i1.id = p.s1 JOIN i2 ON i2.id = p.r""",
+    ", xt AS (SELECT id, list(term) AS t FROM asg GROUP BY id), i1 AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM s1), i2 AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM rr)"))
+def candidate_table(spark, d):
+    """The blocker end to end: six lists, pruned and merged, with the evidence of the lists."""
+    s1, r, v, of, truth, grams = _blocked(spark, d)
+    out = blocker.merge(blocker.search(s1, r, v, of, grams=grams), s1, r, v, of, truth, grams=grams)
+    names = "source1_entity_id candidate_entity_id country cos_v cos_t in_vq in_vr in_tq in_tr in_a in_n rank_vq rank_vr rank_tq rank_tr n_cand_s1 n_cand_r cos_v_rank_in_s1 cos_v_rank_in_r region_overlap cand_source label s1_idx cand_idx"
+    return out.select(*[F.round(F.col(c).cast("double"), 5).alias(c) if c in SORTED_COLUMNS else F.col(c) for c in names.split()])
+
+
+@query(_candidate_sql(f"""p.s1 AS source1_entity_id, p.r AS candidate_entity_id, {_float('CASE WHEN wn.every > 0 THEN wn.both / wn.every ELSE -1 END', 'name_wjacc')}, {_float('coalesce(wn.miss_1, 0)', 'name_rare_miss_s1')}, {_float('coalesce(wn.miss_2, 0)', 'name_rare_miss_r')}, {_float('coalesce(wn.both, 0)', 'name_idf_match')},
+    {_float('CASE WHEN wa.every > 0 THEN wa.both / wa.every ELSE -1 END', 'addr_wjacc')}, {_float('coalesce(wa.miss_1, 0)', 'addr_rare_miss_s1')}, {_float('coalesce(wa.miss_2, 0)', 'addr_rare_miss_r')},
+    (CASE WHEN length({W.sql_core('name_1')}) < 2 THEN 0 ELSE f1.n END)::INTEGER AS nfreq_s1, (CASE WHEN length({W.sql_core('name_2')}) < 2 THEN 0 ELSE f2.n END)::INTEGER AS nfreq_r, (CASE WHEN length(addr_1) < 8 THEN 0 ELSE f3.n END)::INTEGER AS afreq_s1, (CASE WHEN length(addr_2) < 8 THEN 0 ELSE f4.n END)::INTEGER AS afreq_r
+    FROM p LEFT JOIN o_name wn USING (country, s1, r) LEFT JOIN o_addr wa USING (country, s1, r) JOIN fn f1 ON f1.country = p.country AND f1.k = {W.sql_core('name_1')} JOIN fn f2 ON f2.country = p.country AND f2.k = {W.sql_core('name_2')}
+    JOIN fa f3 ON f3.country = p.country AND f3.k = addr_1 JOIN fa f4 ON f4.country = p.country AND f4.k = addr_2""", f", {_token_sql('name')}, {_token_sql('addr')}, {FREQ}"))
+def candidate_records(spark, d):
+    """The candidate table's features of tokens and records."""
+    s1, r, v, of, truth, grams = _blocked(spark, d)
+    out = blocker.merge(blocker.search(s1, r, v, of, grams=grams), s1, r, v, of, truth, grams=grams)
+    names = "source1_entity_id candidate_entity_id name_wjacc name_rare_miss_s1 name_rare_miss_r name_idf_match addr_wjacc addr_rare_miss_s1 addr_rare_miss_r nfreq_s1 nfreq_r afreq_s1 afreq_r"
+    return out.select(*[F.round(F.col(c).cast("double"), 5).alias(c) if c in SORTED_COLUMNS else F.col(c) for c in names.split()])
+
+
+@query(f"WITH {CANDIDATES} SELECT s1, r, (r LIKE 'S3-%')::TINYINT AS is_s3, in_tq::TINYINT AS in_tq, in_n::TINYINT AS in_n, (rank_vq = 99)::TINYINT AS rank_vq_missing, (truth.r IS NOT NULL) AS label FROM u LEFT JOIN truth USING (country, s1, r) WHERE s1 LIKE '%5'")
+def candidates_loaded(spark, d):
+    """The whole blocker run into files, and the candidates of some anchors read back as the selector takes them."""
+    rows = cut(W.records(spark, d))
+    s1, r = W.sides(rows)
+    own, other = (x.withColumn("parts", T.address_parts("business_address")) for x in (s1, r))
+    truth, path = W.true_pairs(rows), scratch_dir(spark)
+    model = blocker.RegionModel.learn(own, other, truth.select("s1", F.col("r").alias("m")))
+    blocker.run(spark, s1, r, path, W.record_vectors(spark, d, rows), model, truth)
+    keep = s1.where("id LIKE '%5'").select("id")
+    return selector.load_candidates(spark, f"{path}/candidates", keep, validate=True, label=True).select("s1", "r", "is_s3", "in_tq", "in_n", "rank_vq_missing", "label")
+
+
+TEXT_LISTS = f"{REGIONAL}, {RECORD_VECTORS}, {LISTS.format(of='sp')}, {stacked_sql(('tq', 'tr'))}"
+
+
+@query(f"""WITH {TEXT_LISTS}, lost AS (SELECT truth.* FROM truth ANTI JOIN u USING (country, s1, r)), have AS (SELECT s1, count(*) AS n FROM u GROUP BY s1)
+    SELECT lost.country, lost.s1, lost.r, coalesce(n, 0) AS n_cand_s1, round(coalesce(sc.score, 0) + 5e-10, 6) AS cos_t, round(list_dot_product(a.v, b.v), 6) AS cos_v FROM lost LEFT JOIN have USING (s1) LEFT JOIN sc USING (country, s1, r) JOIN rvec a ON a.id = lost.s1 JOIN rvec b ON b.id = lost.r""")
+def missed_features(spark, d):
+    """True pairs that the lists of texts lose, and how close they came."""
+    s1, r, v, of, truth, grams = _blocked(spark, d)
+    edges = B.union_legs(blocker.pruned(blocker.search(s1, r, None, of, grams=grams), B.PRUNE)).select("country", F.col("s1").alias("source1_entity_id"), F.col("r").alias("candidate_entity_id"))
+    return blocker.missed_pairs(edges, truth, s1, r, v, of, grams).select("country", "s1", "r", "n_cand_s1", nine_to_six("cos_t").alias("cos_t"), six("cos_v").alias("cos_v"))
+
+
+def _tuning_sql() -> str:
+    rows = []
+    for name, value, p in blocker.grid({k: B.PRUNE[k] for k in ("tq", "tr")}):
+        (qmin, qmax, qgap), (rmin, rmax, rgap) = p["tq"], p["tr"]
+        held = f"SELECT country, s1, r FROM q0 WHERE rank < {qmax} AND (rank < {qmin} OR score >= best - {qgap}) UNION SELECT country, s1, r FROM r0 WHERE rank < {rmax} AND (rank < {rmin} OR score >= best - {rgap}) UNION FROM a UNION FROM nk"
+        rows.append(f"SELECT '{name}' AS param, {value}::DOUBLE AS value, round((SELECT count(*) FROM ({held}) SEMI JOIN truth USING (country, s1, r)) / (SELECT count(*) FROM truth), 6) AS recall, round((SELECT count(*) FROM ({held})) / (SELECT count(*) FROM s1), 6) AS per_s1")
+    return f"WITH {GRAMS}, {LISTS.format(of='(SELECT * FROM sc)')} " + " UNION ALL ".join(rows)
+
+
+@query(_tuning_sql())
+def prune_tuning(spark, d):
+    """Recall and candidates an anchor at every point of the sweep, from one pass over the lists."""
+    s1, r = _sides(spark, d)
+    truth = W.true_pairs(W.records(spark, d))
+    out = blocker.tune(blocker.search(s1, r), truth, s1.select("country", F.col("id").alias("s1")))
+    return out.select("param", "value", six("recall").alias("recall"), six("per_s1").alias("per_s1"))
+
+
+# The trained scorer
+
 SCORER_FOLDS = 4
 #: What order lines have as features of an edge; the context of stage 2 comes on top.
 SCORER_FEATURES = ["cos", "n_cand", "r_mod", "is_s3", "n_cand_s1", "rank_s1", "rank_r"]

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-
-#: Rows of an Arrow batch, where the session has Spark's default of 10 000: whole documents are large rows.
+#: Rows of an Arrow batch, where the session has Spark's default of 10 000: whole documents are large rows. This setting,
+#: and filter pushdown into Python sources by the WARC reader, are the two that stay changed in a caller's session: Spark
+#: reads both when a plan runs.
 BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
 
 
@@ -22,7 +25,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_kinweave_shipped", False):
         return
     top = os.path.dirname(os.path.abspath(__file__))
-    name = os.path.join(tempfile.mkdtemp(prefix="kinweave-"), "kinweave.zip")
+    folder = tempfile.mkdtemp(prefix="kinweave-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = os.path.join(folder, "kinweave.zip")
     with zipfile.ZipFile(name, "w") as z:
         for folder, _, files in os.walk(top):
             for f in sorted(files):
@@ -33,12 +38,20 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and the master is local, one of
+    our own, which goes when the process ends; on a cluster that raises, as executors wouldn't see a local folder."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = context.getCheckpointDir()
-        found = held.rsplit("/", 1)[0] if held else "file://" + tempfile.mkdtemp(prefix="kinweave-")
+        if held:
+            found = held.rsplit("/", 1)[0]
+        elif context.master.startswith("local") and not context.master.startswith("local-cluster"):
+            own = tempfile.mkdtemp(prefix="kinweave-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            found = f"file://{own}"
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(found)
     return found
@@ -47,3 +60,9 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession) -> str:
     """A folder of its own below the shared one."""
     return f"{shared_dir(spark)}/kinweave-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()

@@ -27,6 +27,9 @@ def test_transliteration():
     assert transliterate_text("कमल x") == "kamal x"
     assert transliterate_text("दिल्ली") == "dillI"
     assert transliterate_text("plain") == "plain"
+    assert transliterate_text("कॉलोनी") == "kolonI" and transliterate_text("ऍपल ऑफिस") == "epal ophis"
+    assert transliterate_text("ਪੰਜਾਬ") == "panjAb" and transliterate_text("ਪੱਕਾ ਮੱਖਣ") == "pakkA makkhaN"
+    assert transliterate_text("അവൻ") == "avan" and transliterate_text("উৎস") == "uts"
     assert transliterate_text("१२") == "12"
 
 
