@@ -753,7 +753,8 @@ def _token_sql(x: str) -> str:
 
 
 CANDIDATES = f"""{REGIONAL}, {VAULT}, {LISTS.format(of='sp')}, {stacked_sql(('vq', 'vr', 'tq', 'tr'))}"""
-_float = lambda x, name: f"round(({x})::FLOAT::DOUBLE, 5) AS {name}"
+#: As the table's floats, to 5 digits; no negative zero.
+_float = lambda x, name: f"CASE WHEN round(({x})::FLOAT::DOUBLE, 5) = 0 THEN 0::DOUBLE ELSE round(({x})::FLOAT::DOUBLE, 5) END AS {name}"
 
 
 def _candidate_sql(fields: str, more: str = "") -> str:

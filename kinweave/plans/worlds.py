@@ -36,7 +36,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = F.element_at(F.array(*map(F.lit, SHORT)), (F.col("p_size") % len(REGIONS) + 1).cast("int"))
     street = F.concat(F.col("p_size").cast("string"), F.lit(" Main Road"))
     address = F.when(k % 33 == 0, street).when(k % 3 == 0, F.concat_ws(", ", street, region)).when((k % 50 == 11) | (k % 6 == 5), F.lit(""))
-    address = address.when(k % 2 == 0, F.concat_ws(", ", street, short)).otherwise(F.concat_ws(", ", region, street))
+    address = address.when(k % 4 == 0, F.concat_ws(", ", street, region)).when(k % 4 == 2, F.concat_ws(", ", street, short)).otherwise(F.concat_ws(", ", region, street))
     raw = rows.select(F.concat(F.lit("S"), (k % 3 + 1).cast("string"), F.lit("-"), k.cast("string")).alias("id"), F.lower("p_type").alias("country"), name.alias("business_name"), address.alias("business_address"), "anchor")
     return raw.withColumns({"name": T.norm_latin("business_name"), "addr": T.norm_latin("business_address")})
 
@@ -117,7 +117,7 @@ RECORDS = f"""
     raw AS (SELECT 'S' || (k % 3 + 1) || '-' || k AS id, lower(p_type) AS country,
         CASE WHEN k % 3 = 0 THEN {_PLAIN} WHEN k % 50 = 11 THEN 'Zzyzx Qqq' WHEN k % 40 = 23 THEN {_PLAIN} || ' कॉलोनी' WHEN k % 4 = 1 THEN upper(p_name) || ' ' || p_brand || ' LIMITED'
             WHEN k % 4 = 2 THEN string_split(p_name, ' ')[2] || ' ' || string_split(p_name, ' ')[1] || ' ' || p_brand WHEN k % 4 = 3 THEN replace(p_name, 'i', 'ee') || ' ' || p_brand ELSE {_PLAIN} END AS business_name,
-        CASE WHEN k % 33 = 0 THEN p_size || ' Main Road' WHEN k % 3 = 0 THEN p_size || ' Main Road, ' || {_CHOICE(REGIONS)} WHEN k % 50 = 11 OR k % 6 = 5 THEN '' WHEN k % 2 = 0 THEN p_size || ' Main Road, ' || {_CHOICE(SHORT)} ELSE {_CHOICE(REGIONS)} || ', ' || p_size || ' Main Road' END AS business_address,
+        CASE WHEN k % 33 = 0 THEN p_size || ' Main Road' WHEN k % 3 = 0 THEN p_size || ' Main Road, ' || {_CHOICE(REGIONS)} WHEN k % 50 = 11 OR k % 6 = 5 THEN '' WHEN k % 4 = 0 THEN p_size || ' Main Road, ' || {_CHOICE(REGIONS)} WHEN k % 4 = 2 THEN p_size || ' Main Road, ' || {_CHOICE(SHORT)} ELSE {_CHOICE(REGIONS)} || ', ' || p_size || ' Main Road' END AS business_address,
         anchor FROM flat),
     rec AS (SELECT *, {sql_norm('business_name')} AS name, {sql_norm('business_address')} AS addr FROM raw),
     s1 AS (SELECT * FROM rec WHERE id LIKE 'S1-%'),
