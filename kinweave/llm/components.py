@@ -3,7 +3,7 @@
 Each round points the larger neighbours of every node at the least one, then the smaller ones, until every node of a
 component hangs on its smallest. Minima are partial aggregates. Nodes with more than 1 / HUBS of all edges, of which there
 can be 2 * HUBS at most, get their minimum from a broadcast table, so a join's tasks meet no node with more edges than
-that. Each round is cut by a checkpoint; nothing but two numbers a round reaches the driver.
+that; graphs of up to SMALL edges are joined as they are. Each round is cut by a checkpoint; nothing but two numbers a round reaches the driver.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from .base import cut, few
 
 #: A node is a hub if it has over a HUBS-th of the edges, and over FEW.
 HUBS, FEW = 20_000, 100
+#: Edges, a few tasks' worth, up to which a graph needs no care for hubs.
+SMALL = 160_000
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -24,6 +26,8 @@ def _sum(edges: DataFrame) -> tuple:
 def _with_least(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """(a, b, least) with the least neighbour of a, and (a, least) of every node; edges has about n rows."""
     told = edges.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n"))
+    if n <= SMALL:
+        return edges.join(told.select("a", "least"), "a"), told.select("a", "least")
     hubs = F.broadcast(told.where(F.col("n") > max(FEW, n // HUBS)).select(F.col("a").alias("hub"), F.col("least").alias("of_hub")))
     marked = edges.join(hubs, F.col("a") == F.col("hub"), "left")
     easy = marked.where("hub IS NULL").select("a", "b").join(told.select("a", "least"), "a")

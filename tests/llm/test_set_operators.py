@@ -124,9 +124,10 @@ def test_keys_meet_within_the_guarantee():
     assert ((neardup.keys(a) == neardup.keys(b)).any(1)).all()
 
 
-@pytest.mark.parametrize("hubs", [20_000, 1])
-def test_components_of_paths_and_stars(spark, monkeypatch, hubs):
+@pytest.mark.parametrize(("hubs", "small"), [(20_000, 160_000), (1, 0)])
+def test_components_of_paths_and_stars(spark, monkeypatch, hubs, small):
     monkeypatch.setattr(components, "HUBS", hubs)
+    monkeypatch.setattr(components, "SMALL", small)
     monkeypatch.setattr(components, "FEW", 3)
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, k) for k in range(8, 30)] + [(3, 3)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
