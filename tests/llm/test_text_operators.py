@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import textwrap
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -178,64 +179,123 @@ def test_held_out_accuracy(spark):
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.98
 
 
+def by_definition(net, s):
+    """log p of each symbol of a text, one at a time and in double precision, from a softmax over all symbols."""
+    p = {k: v.astype(float) for k, v in net.parts.items()}
+    s = [0] * lm.WINDOW + list(s) + [0] * lm.WINDOW
+    out = []
+    for i in range(lm.WINDOW, len(s) - lm.WINDOW):
+        h = np.round(np.tanh(sum(p["near"][k][s[i + d]] for k, d in enumerate(lm.PLACES)) + p["inner"]) * 64) / 64
+        group, member = p["group"] @ h + p["group_bias"], p["member"] @ h + p["member_bias"]
+        every = (group - np.log(np.exp(group).sum()))[:, None] + member - np.log(np.exp(member).sum(1, keepdims=True))
+        assert abs(np.exp(every).sum() - 1) < 1e-9
+        out.append(every.ravel()[s[i]])
+    return out
+
+
 def test_network_learns_the_gap(spark, odd):
     words = [f"w{k}" for k in range(20)]
     docs = spark.createDataFrame([(i, " ".join(words[(i + j) % 20] for j in range(40))) for i in range(60)] + [(1000, " ".join(words[(7 * j * j) % 20] for j in range(40)))], "doc_id long, text string")
     model = lm.train(docs)
-    table = model[1].table.reshape(lm.SYMBOLS, lm.SYMBOLS, lm.SYMBOLS)
-    assert np.allclose(np.exp(table).sum(2), 1, atol=1e-4)
     by = {r["doc_id"]: r for r in lm.score(docs, model).collect()}
     # Under a model that did not see it, the document of another order is far less likely.
     unseen = {r["doc_id"]: r["mean_log_likelihood"] for r in lm.score(docs, lm.train(docs.where("doc_id < 1000"))).collect()}
     assert unseen[1000] < min(unseen[i] for i in range(60)) - 1
     # Against the sum over tokens, one at a time.
-    of = lm.symbol_of(model[0])
-    s = [0, *[of(w.encode()) for w in docs.where("doc_id = 3").first()["text"].split()], 0]
-    assert abs(by[3]["log_likelihood"] - sum(table[s[i - 1], s[i + 1], s[i]] for i in range(1, len(s) - 1))) < 1e-3
+    of = lm.symbol_of(model.vocabulary)
+    assert abs(by[3]["log_likelihood"] - sum(by_definition(model.network, [of(w.encode()) for w in docs.where("doc_id = 3").first()["text"].split()]))) < 1e-3
     rows = {r["doc_id"]: r for r in lm.pseudo_likelihood(odd).collect()}
     assert rows[1]["n_tokens"] == 0 and rows[2]["log_likelihood"] == 0 and rows[3]["mean_log_likelihood"] is None
     assert lm.pseudo_likelihood(odd.limit(0)).count() == 0
 
 
 def test_network_steps_down_the_gradient():
-    """The loss is the mean negative log-probability by definition, and the first step goes against its slope, taken by
-    small differences."""
+    """The loss is the mean negative log-probability by definition, its gradient the slope taken by small differences, and
+    steps lessen it."""
     draw = np.random.default_rng(4)
-    codes = np.unique(draw.integers(0, lm.SYMBOLS**3, 400))
-    n = draw.integers(1, 9, len(codes))
-    left, right, token = codes // lm.SYMBOLS**2, codes // lm.SYMBOLS % lm.SYMBOLS, codes % lm.SYMBOLS
-
-    def loss(net):
-        h = np.tanh(net.left[left].astype(float) + net.right[right] + net.inner)
-        z = h @ net.out.T.astype(float) + net.bias
-        return float((n * (np.log(np.exp(z).sum(1)) - z[np.arange(len(codes)), token])).sum() / n.sum())
-
-    start = lm.Network()
-    start.bias[:] = np.log(np.maximum(np.bincount(token, weights=n / n.sum(), minlength=lm.SYMBOLS).astype(np.float32), 1e-7))
-    after = lm.Network()
-    losses = after.fit(codes, n, steps=1)
-    assert abs(losses[0] - loss(start)) < 1e-4
-    for name in ("left", "right", "out", "inner", "bias"):
-        at = [tuple(draw.integers(0, k) for k in getattr(start, name).shape) for _ in range(40)]
-        for place in at:
-            own, kept = getattr(start, name), getattr(start, name)[place]
-            own[place] = kept + 0.01
-            up = loss(start)
-            own[place] = kept - 0.01
-            slope = (up - loss(start)) / 0.02
+    token = draw.integers(0, lm.SYMBOLS, 300) // 40 * 40
+    context = draw.integers(0, lm.SYMBOLS, (2 * lm.WINDOW, 300)) // 40 * 40
+    n = draw.integers(1, 9, 300)
+    weight = n / n.sum()
+    net = lm.Network(np.bincount(token, weights=n, minlength=lm.SYMBOLS))
+    net.parts = {k: v.astype(np.float64) for k, v in net.parts.items()}
+
+    def loss():
+        p = net.parts
+        h = np.tanh(sum(p["near"][k][context[k]] for k in range(2 * lm.WINDOW)) + p["inner"])
+        group, member = h @ p["group"].T + p["group_bias"], np.einsum("nh,gmh->ngm", h, p["member"]) + p["member_bias"]
+        every = (group - np.log(np.exp(group).sum(1, keepdims=True)))[:, :, None] + member - np.log(np.exp(member).sum(2, keepdims=True))
+        return -float(weight @ every.reshape(300, -1)[np.arange(300), token])
+
+    told, grad = net.gradient(context, token, weight)
+    assert abs(told - loss()) < 1e-9
+    for name, own in net.parts.items():
+        largest = np.argsort(-np.abs(grad[name]), axis=None)[:4]
+        for at in [*largest, *draw.integers(0, own.size, 4)]:
+            place = np.unravel_index(at, own.shape)
+            kept = own[place]
+            own[place] = kept + 1e-5
+            up = loss()
+            own[place] = kept - 1e-5
+            slope = (up - loss()) / 2e-5
             own[place] = kept
-            moved = getattr(after, name)[place] - kept
-            assert abs(slope) < 1e-4 or np.sign(moved) == -np.sign(slope), (name, place, slope, moved)
-    assert lm.Network().fit(codes, n, steps=40)[-1] < losses[0] - 0.5
-
-
-def test_triple_counts_cover_all(spark):
-    docs = spark.createDataFrame([(1, "a b a"), (2, "a b a"), (3, None)], "doc_id long, text string").repartition(3)
-    voc = lm.frequent_words(docs, "text", 2)
-    assert voc == ["a", "b"]
-    a, b, s = 1 + lm.CLASSES, 2 + lm.CLASSES, lm.SYMBOLS
-    got = {r["code"]: r["n"] for r in lm.triple_counts(docs, "text", voc).collect()}
-    assert got == {(0 * s + b) * s + a: 2, (a * s + a) * s + b: 2, (b * s + 0) * s + a: 2}
+            assert abs(slope - grad[name][place]) < 1e-7, (name, place)
+    code = np.zeros(300, np.int64)
+    for column in [*context, token]:
+        code = code * lm.SYMBOLS + column
+    net = lm.Network(np.bincount(token, weights=n, minlength=lm.SYMBOLS))
+    back = lm.digits(code)
+    assert (back[0] == context).all() and (back[1] == token).all()
+    losses = net.fit(code, n)
+    assert len(losses) == lm.STEPS and losses[-1] < losses[0] - 0.5
+
+
+def test_a_token_scores_alike_in_any_batch():
+    draw = np.random.default_rng(5)
+    net = lm.Network(draw.integers(1, 99, lm.SYMBOLS))
+    net.parts["member"] *= 20
+    net = net.rounded()
+    token, context = draw.integers(0, lm.SYMBOLS, 40_000), draw.integers(0, lm.SYMBOLS, (2 * lm.WINDOW, 40_000))
+    whole = net.log_p(context, token)
+    assert (whole < 0).all()
+    for lo, hi in [(0, 1), (5, 12), (777, 20_001), (39_990, 40_000)]:
+        assert (net.log_p(context[:, lo:hi], token[lo:hi]) == whole[lo:hi]).all()
+
+
+def test_windows_mask_every_text(spark):
+    """Each text's masked windows, counted over all partitions alike."""
+    texts = ["a b a c d e f g h i j", "a b a c d e f g h i j", None, "", "b", "x " * 50]
+    voc = ["a", "b"]
+    of = lm.symbol_of(voc)
+    want = Counter()
+    for text in texts:
+        s = [0] * lm.WINDOW + [of(w.encode()) for w in (text or "").split()] + [0] * lm.WINDOW
+        for i in range(lm.WINDOW + zlib.crc32((text or "").encode()) % lm.MASKED, len(s) - lm.WINDOW, lm.MASKED):
+            code = 0
+            for x in [s[i - 2], s[i - 1], s[i + 1], s[i + 2], s[i]]:
+                code = code * lm.SYMBOLS + x
+            want[code] += 1
+    docs = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
+    for parts in (1, 3):
+        assert {r["code"]: r["n"] for r in lm.windows(docs.repartition(parts), "text", voc).collect()} == want
+    assert sum(want.values()) >= 2 + 6
+
+
+def test_shards_are_trained_apart_and_averaged(spark):
+    """Against training them one after the other, however the windows are split."""
+    draw = np.random.default_rng(6)
+    start = lm.Network(draw.integers(1, 99, lm.SYMBOLS))
+    rows = sorted({(int(c) % 3, int(c) * 7919 % 1009, int(c), 1 + int(c) % 4) for c in draw.integers(0, lm.SYMBOLS**5, 500)})
+    dealt = spark.createDataFrame(rows, "shard long, mix long, code long, n long")
+    want, total = 0.0, 0
+    for shard in range(3):
+        own = start.take(start.flat())
+        codes, n = np.array([r[2:] for r in rows if r[0] == shard]).T
+        own.fit(codes, n, 1)
+        want, total = want + own.flat().astype(float) * len(codes), total + len(codes)
+    for parts in (1, 4):
+        got = lm.trained(dealt.repartition(parts), start, 1)
+        assert np.allclose(got.flat(), want / total, atol=1e-4)
 
 
 def test_every_word_is_predicted(spark, monkeypatch):
@@ -244,9 +304,9 @@ def test_every_word_is_predicted(spark, monkeypatch):
     texts = [" ".join(f"w{int(draw.paretovariate(0.6)) % 900}" for _ in range(50)) for _ in range(120)] + ["solo0 w1 w2", "w1 Twice3 w2", "twice3"]
     docs = spark.createDataFrame([(None if i == 5 else i // 2, t) for i, t in enumerate(texts)] + [(7, "w1 unseen4 w2")], "doc_id long, text string")
     counts = Counter(w for t in texts for w in t.lower().split())
+    monkeypatch.setattr(lm, "VOCABULARY", 128)  # leaves words of so small a corpus to the classes
     model = lm.train(docs.where("text NOT LIKE '%unseen%'"))
     of = lm.symbol_of(model.vocabulary)
-    table = model.network.table.reshape(lm.SYMBOLS, lm.SYMBOLS, lm.SYMBOLS)
     total = Counter()
     for w, n in counts.items():
         total[of(w.encode())] += n
@@ -254,9 +314,9 @@ def test_every_word_is_predicted(spark, monkeypatch):
 
     def by_hand(text):
         w = text.lower().split()
-        s = [0, *[of(x.encode()) for x in w], 0]
-        inside = [0.0 if x in model.vocabulary else math.log(max(counts[x], 1) / (1 + total[k])) for x, k in zip(w, s[1:-1], strict=True)]
-        return sum(inside) + sum(float(table[s[i - 1], s[i + 1], s[i]]) for i in range(1, len(s) - 1))
+        s = [of(x.encode()) for x in w]
+        inside = [0.0 if x in model.vocabulary else math.log(max(counts[x], 1) / (1 + total[k])) for x, k in zip(w, s, strict=True)]
+        return sum(inside) + sum(by_definition(model.network, s))
 
     want = sorted(by_hand(r["text"]) for r in docs.collect())
     for head in (lm.HEAD, 300):
