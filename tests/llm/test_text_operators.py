@@ -307,6 +307,23 @@ def test_shards_are_trained_apart_and_averaged(spark, monkeypatch):
         assert np.allclose(got.flat(), want / total, atol=1e-4)
 
 
+def test_many_shards_are_averaged_in_steps(spark, monkeypatch):
+    """Three levels of averages of two make the mean of all, with several shards in a partition; a corpus whose few words
+    are not masked leaves the network as it is."""
+    draw = np.random.default_rng(8)
+    start = lm.Network(draw.integers(1, 99, lm.SYMBOLS))
+    monkeypatch.setattr(lm, "SHARD", 50)
+    df = spark.createDataFrame([(int(c), 1) for c in draw.integers(0, lm.SYMBOLS**5, 300)], "code long, n long")
+    whole = lm.trained(lm.deal(df, 250 * lm.MASKED - 1), start, 0)
+    monkeypatch.setattr(lm, "FAN", 2)
+    monkeypatch.setattr(lm, "PARTITIONS", 2)
+    steps = lm.trained(lm.deal(df, 250 * lm.MASKED - 1), start, 0)
+    assert np.allclose(whole.flat(), steps.flat(), atol=1e-5) and not np.allclose(steps.flat(), start.flat(), atol=1e-2)
+    word = next(w for w in "abcdefghij" if zlib.crc32(w.encode()) % lm.MASKED)
+    docs = spark.createDataFrame([(1, word)], "doc_id long, text string")
+    assert lm.pseudo_likelihood(docs).first()["n_tokens"] == 1
+
+
 def test_every_word_is_predicted(spark, monkeypatch):
     """Against the definition, with rare words that are joined and, by HEAD, ones that are broadcast."""
     draw = random.Random(2)
