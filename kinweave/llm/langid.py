@@ -24,6 +24,8 @@ from .base import pieces, ship
 LETTER = regex.compile(r"\p{L}")
 #: Numbers in the table of costs: 128 MB.
 CELLS = 32_000_000
+#: Positions that are walked at once.
+PART = 1 << 17
 
 
 class ContextTrees:
@@ -127,11 +129,9 @@ class ContextTrees:
         unseen = ~seen.any(1, keepdims=True)  # this language never met the context: its longest suffix decides
         return np.where(unseen, up_cost, self._own(count, below)), np.where(unseen, up_below, below), np.where(unseen, up_count, count)
 
-    def bits(self, texts: list[bytes]) -> np.ndarray:
-        """Code lengths: a row for each text, a column for each language."""
-        if not texts:
-            return np.zeros((0, len(self.langs)))
-        s, width, depth = self._stream(texts), self.size + 1, self.depth
+    def _each(self, s: np.ndarray) -> np.ndarray:
+        """What each position of a stream costs after its first `depth`."""
+        width, depth = self.size + 1, self.depth
         now = s[depth:]
         at = np.zeros(len(now), np.int32)
         best = at
@@ -139,9 +139,26 @@ class ContextTrees:
         for d in range(1, depth + 1):
             at = flat[at * width + s[depth - d : len(s) - d]]
             best = np.where(at == self.dead, best, at)
-        each = self.cost[best * width + now]
-        lengths = np.array([len(t) + depth for t in texts])
-        return np.add.reduceat(each.astype(np.float64), np.cumsum(lengths) - lengths, axis=0)
+        return self.cost[best * width + now]
+
+    def bits(self, texts: list[bytes]) -> np.ndarray:
+        """Code lengths: a row for each text, a column for each language. Texts are walked, and summed, in parts of PART
+        positions from their own start, so a long one takes little more memory than a short one."""
+        if not texts:
+            return np.zeros((0, len(self.langs)))
+        s = self._stream(texts)
+        lengths = np.array([len(t) + self.depth for t in texts])
+        ends, parts = np.cumsum(lengths), -(-lengths // PART)
+        cuts = np.concatenate([np.arange(b - n, b, PART) for b, n in zip(ends, lengths, strict=True)])
+        sums = np.empty((len(cuts), len(self.langs)))
+        lo = 0
+        while lo < len(cuts):
+            hi = int(np.searchsorted(cuts, cuts[lo] + PART))
+            end = cuts[hi] if hi < len(cuts) else ends[-1]
+            each = self._each(s[cuts[lo] : end + self.depth])
+            sums[lo:hi] = np.add.reduceat(each, cuts[lo:hi] - cuts[lo], axis=0, dtype=np.float64)
+            lo = hi
+        return np.add.reduceat(sums, np.cumsum(parts) - parts, axis=0)
 
 
 def training_rows(docs: DataFrame, id_col: str, lang_col: str, text_col: str, held_out, per_lang: int, in_all: int, longest: int) -> list:
@@ -199,7 +216,7 @@ def identify(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
                     at.append(i)
                     texts.append(text.encode().lower())
                     held += len(texts[-1])
-                    if held > 1 << 19:
+                    if held > PART:
                         flush()
                         at, texts, held = [], [], 0
             if texts:

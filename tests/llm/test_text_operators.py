@@ -173,6 +173,17 @@ def test_samples_are_bounded_whatever_the_ids(spark, same):
     assert {r["licences"] for r in licences.scan_licences(docs.select("doc_id", "text")).collect()} == {""}
 
 
+def test_long_texts_are_walked_in_parts(monkeypatch):
+    """Parts of any size give the same code lengths, and equal texts equal ones wherever they stand."""
+    trees = langid.ContextTrees({"a": [b"the cat sat on the mat"], "b": [b"le chat est sur le tapis"]}, 3, 50)
+    texts = [b"the chat " * 30, b"", b"x", b"le tapis", b"the chat " * 30]
+    whole = trees.bits(texts)
+    for part in (1, 2, 7, 64):
+        monkeypatch.setattr(langid, "PART", part)
+        own = trees.bits(texts)
+        assert np.allclose(own, whole, rtol=1e-12) and (own[0] == own[4]).all() and (own[1] == 0).all()
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.identify(docs, langid.crc_is(2)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
