@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kinweave.session import shared_dir, ship
 
-__all__ = ["cut", "few", "near", "pieces", "shared_dir", "ship", "table"]
+__all__ = ["cut", "few", "kept", "near", "pieces", "shared_dir", "ship", "table", "turn"]
 
 #: Rows, of some tens of bytes each, up to which a counted table is broadcast; rows that one task of a counted table takes.
 BROADCAST_ROWS, TASK_ROWS = 200_000, 40_000
@@ -50,3 +53,38 @@ def pieces(batches, rows: int = 1024, size: int = 8 << 20) -> Iterator[pa.Record
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield from halved(batch.slice(at, rows))
+
+
+#: What a worker keeps from task to task, by operator; the operator whose task it ran last.
+_KEPT: dict[str, list] = {}
+_last: str | None = None
+
+
+def kept(operator: str, most: int = 4):
+    """lru_cache() for tables that tasks of an operator share in a worker, until turn() gives the worker to another."""
+
+    def wrap(f):
+        cached = lru_cache(maxsize=most)(f)
+        _KEPT.setdefault(operator, []).append(cached)
+        return cached
+
+    return wrap
+
+
+def turn(operator: str) -> None:
+    """A task of this operator begins: where the worker last ran another's, that one's tables go and their memory returns to
+    the system. Workers outlive stages, so without it one holds the tables of all operators that it ever ran."""
+    global _last
+    if operator == _last:
+        return
+    for name, caches in _KEPT.items():
+        if name != operator:
+            for c in caches:
+                c.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library: its own policy holds
+    _last = operator

@@ -12,13 +12,12 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .base import pieces, ship
+from .base import kept, pieces, ship, turn
 from .pretokens import Splitter, tiktoken_classes
 
 #: Pre-tokens that a worker remembers in each of two generations; it bounds memory and changes time alone.
@@ -131,7 +130,7 @@ class Coder:
             at, last, token = end, token, best[end]
 
 
-@lru_cache(maxsize=4)
+@kept("bpe")
 def coder(path: str) -> Coder:
     return Coder(read_ranks(path))
 
@@ -155,7 +154,7 @@ class Memory(dict):
         return found
 
 
-@lru_cache(maxsize=4)
+@kept("bpe")
 def encoder(path: str, pattern: str):
     """A function from a text to its ids as little-endian unsigned 32-bit integers."""
     split, own = Splitter(pattern, *tiktoken_classes()), coder(path)
@@ -174,6 +173,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}", "n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"] + ["token_ids array<int>"] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("bpe")
         encode, token_of = encoder(path, pattern), coder(path).bytes_of
         for batch in pieces(batches, 256):
             counts, coded, decoded, ids = [], [], [], []
@@ -205,6 +205,7 @@ def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "t
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("bpe")
         token_of = coder(path).bytes_of
         for batch in pieces(batches):
             texts = [None if ids is None else b"".join(map(token_of.__getitem__, ids)).decode(errors="replace") for ids in batch.column(1).to_pylist()]

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import pieces, ship
+from .base import pieces, ship, turn
 
 LETTER = regex.compile(r"\p{L}")
 #: Numbers in the table of costs: 128 MB.
@@ -196,6 +196,7 @@ def identify(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
     trees = docs.sparkSession.sparkContext.broadcast(ContextTrees(sample, depth, contexts) if sample else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("langid")
         model = trees.value
         for batch in pieces(batches, 4096):
             column = batch.column(batch.num_columns - 1)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .base import BROADCAST_ROWS, cut, few, pieces, ship
+from .base import BROADCAST_ROWS, cut, few, pieces, ship, turn
 from .bpe import Memory
 from .components import components
 
@@ -280,6 +280,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     texts = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text_col)).alias("hash"), F.col(text_col).alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("neardup")
         word = word_hashes()
         for batch in pieces(batches, 256, 4 << 20):
             sets = [shingles(t.as_py(), n, word) for t in batch.column(2)]

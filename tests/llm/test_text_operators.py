@@ -465,3 +465,16 @@ def test_wrapped_notices():
     assert all("GPL-3.0" not in x[1] for x in scanner.scan(["\n".join(gpl[:1]), "\n".join(gpl[1:2]), "\n\n".join(gpl)]))
     # Wrapped notices of the corpus don't teach `none`.
     assert licences.plain_lines("\n".join(["one", "", *gpl, "", "two"]), scanner.templates) == ["one", "two"]
+
+
+def test_a_worker_keeps_the_tables_of_one_operator():
+    """A worker that encoded and then identifies languages has no encoder any more; one that goes on encoding keeps it."""
+    from kinweave.llm import base
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    base.turn("bpe")
+    bpe.encoder(path, P.PATTERN)("some text")
+    base.turn("bpe")
+    assert bpe.encoder.cache_info().currsize > 0 and bpe.coder.cache_info().currsize > 0
+    base.turn("langid")
+    assert bpe.encoder.cache_info().currsize == bpe.coder.cache_info().currsize == 0
