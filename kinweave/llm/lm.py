@@ -6,10 +6,11 @@ p(symbol) = softmax over groups * softmax over the members of its group. A docum
 log p(word | neighbours) = log p(symbol | neighbours) + log p(word | symbol), each token masked in turn.
 
 Tokens are words. The symbols are the VOCABULARY most frequent words of the whole corpus, and CLASSES classes of the
-others by a hash of the word. The network is trained in numpy on windows of every document, one in MASKED of its tokens,
-places dealt by a hash of the text as masked language models do; what it is trained on grows with the corpus and stays
-distributed. Windows are dealt by their hash into shards of about SHARD, however the input is split, in one shuffle. In each of ROUNDS all shards start from one network and are trained apart; their networks are averaged in blocks, and the
-average, of fixed size, is all that the driver holds.
+others by a hash of the word. The network is trained in numpy on every token of every document. Each is masked in one of
+MASKED turns, by its place and a hash of the text; what the network is trained on grows with the corpus and stays
+distributed. A turn's windows are dealt by their hash into shards of about SHARD, however the input is split, in one shuffle
+for all turns. In each turn all its shards start from one network and are trained apart; their networks are averaged in
+blocks, and the average, of fixed size, is all that the driver holds.
 
 The finished network's numbers are rounded so far that sums of their products are exact in single precision: a token's
 probability depends neither on the batch that it is in nor on the order of sums.
@@ -44,8 +45,8 @@ GROUPS, MEMBERS = 32, 64
 WINDOW = 2
 PLACES = [*range(-WINDOW, 0), *range(1, WINDOW + 1)]
 HIDDEN = 32
-#: One token in so many is masked in training; distinct windows of a shard; rounds, and a shard's steps in each at least.
-MASKED, SHARD, ROUNDS, STEPS, BATCH, RATE = 8, 1 << 20, 2, 100, 4096, 0.02
+#: Turns, in one of which each token is masked in training; distinct windows of a shard; its steps at least, their windows.
+MASKED, SHARD, STEPS, BATCH, RATE = 8, 1 << 20, 25, 16_384, 0.02
 #: Windows that a task counts at once.
 HELD_WINDOWS = 1 << 20
 #: Precision of the normal prior of embeddings and output weights: what few windows don't support stays near 0.
@@ -119,45 +120,82 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("count"))
 
 
-def windows(docs: DataFrame, text_col: str, vocabulary: list[str]) -> DataFrame:
-    """(code, n): the masked tokens of all texts with their neighbours, and how often each occurs, counted over some
-    HELD_WINDOWS of a partition at a time. code's digits to the base SYMBOLS are the neighbours, leftmost first, and the
-    token."""
+def windows(docs: DataFrame, text_col: str, vocabulary: list[str], turns: int = 1) -> DataFrame:
+    """(turn, code, n): the tokens of all texts that are masked in the first so many turns, with their neighbours, and how
+    often each occurs, counted over some HELD_WINDOWS of a partition at a time. code's digits to the base SYMBOLS are the
+    neighbours, leftmost first, and the token. In MASKED turns each token is masked once."""
 
-    def counted(found: list[np.ndarray]) -> pa.RecordBatch:
-        codes, n = np.unique(np.concatenate(found), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], ["code", "n"])
+    def counted(found: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for turn, own in enumerate(found):
+            codes, n = np.unique(np.concatenate(own), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), turn, np.int32)), pa.array(codes), pa.array(n.astype(np.int64))], ["turn", "code", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = known_words(vocabulary)
-        found, held = [], 0
+        found, held = [[] for _ in range(turns)], 0
         for batch in pieces(batches, 512):
             for text in batch.column(0):
                 raw, words = words_of(text)
-                s = symbols(words, known)
-                at = np.arange(WINDOW + zlib.crc32(raw) % MASKED, len(s) - WINDOW, MASKED)
-                code = np.zeros(len(at), np.int64)
+                s, first = symbols(words, known), zlib.crc32(raw) % MASKED
+                code = np.zeros(len(words), np.int64)
                 for k in [*PLACES, 0]:
-                    code = code * SYMBOLS + s[at + k]
-                found.append(code)
+                    code *= SYMBOLS
+                    code += s[WINDOW + k : WINDOW + k + len(words)]
+                for turn, own in enumerate(found):
+                    own.append(code[(first + turn) % MASKED :: MASKED])
                 held += len(code)
                 if held > HELD_WINDOWS:
-                    yield counted(found)
-                    found, held = [], 0
-        if found:
-            yield counted(found)
+                    yield from counted(found)
+                    found, held = [[] for _ in range(turns)], 0
+        if held:
+            yield from counted(found)
 
-    return docs.select(text_col).mapInArrow(run, "code bigint, n bigint")
+    return docs.select(text_col).mapInArrow(run, "turn int, code bigint, n bigint")
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Integers as the compressed bytes of their differences, the lowest bytes of all first."""
+    steps = np.diff(values, prepend=values.dtype.type(0))
+    return pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T), codec="zstd", asbytes=True)
+
+
+def unpacked(data: pa.Buffer, size: int) -> np.ndarray:
+    steps = np.frombuffer(pa.decompress(data, 8 * size, codec="zstd"), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(steps.T).view(np.int64).ravel())
 
 
 def deal(found: DataFrame, tokens: int) -> DataFrame:
-    """(shard, code, n): windows of a corpus of so many tokens, cut, each shard in one partition and together there. Up to
-    PARTITIONS shards have a partition each; of more, shards follow each other in one."""
+    """(turn, shard, size, codes, n): windows of a corpus of so many tokens, many in a row, cut, each shard in one partition and
+    its turns' rows together there. Up to PARTITIONS shards have a partition each; of more, shards follow each other in one."""
     shards = tokens // (MASKED * SHARD) + 1
-    shard = F.pmod(F.xxhash64("code"), F.lit(shards)).cast("long").alias("shard")
+    turn = F.col("turn") if "turn" in found.columns else F.lit(0)
+    shard = F.pmod(F.xxhash64("code"), F.lit(shards)).cast("long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+            own, codes, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(own if shards * MASKED > 1 << 16 else own.astype(np.uint16), kind="stable")
+            own, codes, n = own[order], codes[order], n[order]
+            ends = [*np.flatnonzero(np.diff(own, prepend=-1)), len(own)]
+            parts = [(int(own[lo]), hi - lo, packed(codes[lo:hi]), packed(n[lo:hi])) for lo, hi in zip(ends, ends[1:], strict=False)]
+            of, size, codes, n = zip(*parts, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array([x // shards for x in of], pa.int32()), pa.array([x % shards for x in of], pa.int64()), pa.array(size, pa.int64()), pa.array(codes, pa.binary()), pa.array(n, pa.binary())], ["turn", "shard", "size", "codes", "n"])
+
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append([c.to_numpy() for c in batch.columns])
+                size += batch.num_rows
+            if size > HELD_WINDOWS:
+                yield rows(held)
+                held, size = [], 0
+        if held:
+            yield rows(held)
+
     parts = min(shards, PARTITIONS)
     own = (F.col("shard") % parts).cast("int")
-    return cut(found.select(shard, "code", "n").repartitionById(parts, own).sortWithinPartitions("shard"))
+    rows = found.select((turn * F.lit(shards) + shard).alias("own"), "code", "n").mapInArrow(run, "turn int, shard bigint, size bigint, codes binary, n binary")
+    return cut(rows.repartitionById(parts, own).sortWithinPartitions("turn", "shard"))
 
 
 def digits(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,6 +257,11 @@ class Network:
             out.parts[k + "_bias"] = np.clip(np.round(out.parts[k + "_bias"] * 8192) / 8192, -64, 64)
         return out
 
+    def small(self) -> bool:
+        """Whether no softmax of this network needs a shift."""
+        p = self.parts
+        return all(np.abs(p[k]).sum(-1).max() + np.abs(p[k + "_bias"]).max() < 60 for k in ("group", "member"))
+
     def hidden(self, context: np.ndarray) -> np.ndarray:
         near = self.parts["near"]
         h = np.take(near[0], context[0], 0)
@@ -230,7 +273,7 @@ class Network:
     def log_p(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
         """log p of each token between its neighbours; of a rounded network the same in any batch."""
         p, out = self.parts, np.empty(len(token), np.float32)
-        small = all(np.abs(p[k]).sum(-1).max() + np.abs(p[k + "_bias"]).max() < 60 for k in ("group", "member"))
+        small = self.small()
         for start in range(0, len(token), 16_384):
             order, groups = by_group(token[start : start + 16_384])
             t = token[start : start + 16_384][order]
@@ -251,19 +294,21 @@ class Network:
     def gradient(self, context: np.ndarray, token: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """The weighted sum of negative log p, and its gradient."""
         p, grad = self.parts, {k: np.zeros_like(v) for k, v in self.parts.items()}
-        order, groups = by_group(token)
-        context, token, weight = context[:, order], token[order], weight[order]
+        small, (order, groups) = self.small(), by_group(token)
+        context, token, weight = np.take(context, order, 1), token[order], weight[order]
         h, g, rows = self.hidden(context), token // MEMBERS, np.arange(len(token))
-        d = p["group"] @ h.T + p["group_bias"][:, None]
-        told, total = softmax(d, g)
+        d = p["group"] @ h.T
+        d += p["group_bias"][:, None]
+        told, total = softmax(d, g, small)
         loss = -float(weight @ told)
         d *= weight / total
         d[g, rows] -= weight
         grad["group"], grad["group_bias"], back = d @ h, d.sum(1), d.T @ p["group"]
         for k, lo, hi in groups:
             m, w = token[lo:hi] % MEMBERS, weight[lo:hi]
-            d = p["member"][k] @ h[lo:hi].T + p["member_bias"][k][:, None]
-            told, total = softmax(d, m)
+            d = p["member"][k] @ h[lo:hi].T
+            d += p["member_bias"][k][:, None]
+            told, total = softmax(d, m, small)
             loss -= float(w @ told)
             d *= w / total
             d[m, rows[: hi - lo]] -= w
@@ -276,12 +321,12 @@ class Network:
             order = np.argsort(of, kind="stable")
             of = of[order]
             starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-            grad["near"][k][of[starts]] = np.add.reduceat(back[order], starts)
+            grad["near"][k][of[starts]] = np.add.reduceat(np.take(back, order, 0), starts)
         return loss, grad
 
     def fit(self, codes: np.ndarray, n: np.ndarray, turn: int = 0) -> list[float]:
         """Adam on the mean negative log p of windows that occur n times, in their order; returns it by step, in nats.
-        turn is the round, by which the rate falls."""
+        The rate falls from turn to turn."""
         size = min(BATCH, len(codes))
         steps = max(STEPS, -(-len(codes) // size))
         first, second = ({k: np.zeros_like(v) for k, v in self.parts.items()} for _ in range(2))
@@ -292,7 +337,7 @@ class Network:
             context, token = digits(codes[part])
             loss, grad = self.gradient(context, token, (n[part] / n[part].sum()).astype(np.float32))
             losses.append(loss)
-            rate = RATE * (1 - 0.95 * (turn + step / steps) / ROUNDS)
+            rate = RATE * (1 - 0.95 * (turn + step / steps) / MASKED)
             for k, value in grad.items():
                 if "bias" not in k and k != "inner":
                     value += np.float32(PRIOR / n.sum()) * self.parts[k]
@@ -310,22 +355,20 @@ class Network:
         return losses
 
 
-def trained(dealt: DataFrame, network: Network, turn: int) -> Network:
-    """The average of the networks that shards of windows, as deal() returns them, make of one, by their numbers of windows:
-    of FAN shards at a time, then of FAN such averages, until there is one."""
-    last = dealt.agg(F.max("shard")).first()[0]
-    if last is None:  # words, but none of them masked
-        return network
-    shards = last + 1
+def trained(dealt: DataFrame, network: Network, turn: int, shards: int = 0) -> Network:
+    """The average of the networks that a turn's shards of windows, as deal() returns them, make of one, by their numbers of
+    windows: of FAN shards at a time, then of FAN such averages, until there is one. shards is their number, where known."""
+    if not shards:
+        shards = 1 + dealt.agg(F.max("shard")).first()[0]
     held = dealt.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def learn(shard: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             codes, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            codes, place = np.unique(codes, return_inverse=True)
-            n = np.bincount(place, weights=n)
-            order = np.argsort(codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # an order of its own, in any layout
-            codes, n = codes[order], n[order]
+            place = codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # an order of its own, in any layout
+            order = np.argsort(place)
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(place[order]) != 0]))
+            codes, n = codes[order[starts]], np.add.reduceat(n[order], starts)
             own = held.value.take(held.value.flat())
             own.fit(codes, n, turn)
             blocks = np.array_split(own.flat(), BLOCKS)
@@ -333,14 +376,12 @@ def trained(dealt: DataFrame, network: Network, turn: int) -> Network:
 
         now, parts = None, []
         for batch in pieces(batches, 1 << 16):
-            shard, codes, n = (c.to_numpy() for c in batch.columns)
-            starts = np.flatnonzero(np.diff(shard, prepend=-1))
-            for lo, hi in zip(starts, [*starts[1:], len(shard)], strict=True):
-                if parts and shard[lo] != now:
+            for shard, size, codes, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if parts and shard != now:
                     yield learn(now, parts)
                     parts = []
-                now = int(shard[lo])
-                parts.append((codes[lo:hi].copy(), n[lo:hi].copy()))
+                now = shard
+                parts.append((unpacked(codes.as_buffer(), size), unpacked(n.as_buffer(), size)))
         if parts:
             yield learn(now, parts)
 
@@ -360,7 +401,7 @@ def trained(dealt: DataFrame, network: Network, turn: int) -> Network:
             yield mean(*now, n, total)
 
     kind, group = "block int, shard bigint, n bigint, mean array<float>", F.floor(F.col("shard") / FAN)
-    learnt = dealt.mapInArrow(run, kind)
+    learnt = dealt.select("shard", "size", "codes", "n").mapInArrow(run, kind)
     while shards > 1:
         learnt = learnt.repartition("block", group).sortWithinPartitions("block", "shard").mapInArrow(add, kind)
         shards = -(-shards // FAN)
@@ -389,9 +430,9 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         totals[r["symbol"]] = r["n"]
     vocabulary, network = [r["word"] for r in counts], Network(totals)
     if tokens := int(totals.sum()):
-        dealt = deal(windows(docs, text_col, vocabulary), tokens)
-        for turn in range(ROUNDS):
-            network = trained(dealt, network, turn)
+        dealt = deal(windows(docs, text_col, vocabulary, MASKED), tokens)
+        for turn, shards in sorted(dealt.groupBy("turn").agg(1 + F.max("shard")).collect()):
+            network = trained(dealt.where(F.col("turn") == turn), network, turn, shards)
     return Model(vocabulary, network.rounded(), totals, words)
 
 

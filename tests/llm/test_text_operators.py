@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,6 +297,36 @@ def test_windows_mask_every_text(spark):
     assert sum(want.values()) >= 2 + 6
 
 
+def test_every_token_is_trained_on(spark):
+    """In MASKED turns each token of each text is masked once, and all turns are trained: whatever its hash, a text of a
+    single word moves the network."""
+    texts = ["a b a c d e f g h i j", "a b a c d e f g h i j", None, "", "b", "x " * 50]
+    voc = ["a", "b"]
+    of = lm.symbol_of(voc)
+    want = Counter()
+    for text in texts:
+        s = [0] * lm.WINDOW + [of(w.encode()) for w in (text or "").split()] + [0] * lm.WINDOW
+        for i in range(lm.WINDOW, len(s) - lm.WINDOW):
+            code = 0
+            for x in [s[i - 2], s[i - 1], s[i + 1], s[i + 2], s[i]]:
+                code = code * lm.SYMBOLS + x
+            want[(i - lm.WINDOW - zlib.crc32((text or "").encode())) % lm.MASKED, code] += 1
+    docs = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
+    found = lm.windows(docs.repartition(3), "text", voc, lm.MASKED)
+    got = Counter()
+    for r in found.collect():
+        got[r["turn"], r["code"]] += r["n"]
+    assert got == want and sum(got.values()) == 11 + 11 + 1 + 50
+    dealt = Counter()
+    for r in lm.deal(found, sum(got.values())).collect():
+        for code, n in zip(lm.unpacked(pa.py_buffer(r["codes"]), r["size"]).tolist(), lm.unpacked(pa.py_buffer(r["n"]), r["size"]).tolist(), strict=True):
+            dealt[r["turn"], code] += n
+    assert dealt == want
+    for word in [next(w for w in "abcdefghij" if zlib.crc32(w.encode()) % lm.MASKED), *"ab"]:
+        model = lm.train(spark.createDataFrame([(1, word)], "doc_id long, text string"))
+        assert not np.allclose(model.network.flat(), lm.Network(model.totals).rounded().flat(), atol=1e-2)
+
+
 def test_shards_are_trained_apart_and_averaged(spark, monkeypatch):
     """Against training them one after the other, however the windows are split."""
     draw = np.random.default_rng(6)
