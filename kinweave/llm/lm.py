@@ -47,8 +47,9 @@ PLACES = [*range(-WINDOW, 0), *range(1, WINDOW + 1)]
 HIDDEN = 32
 #: Turns, in one of which each token is masked in training; distinct windows of a shard; its steps at least, their windows.
 MASKED, SHARD, STEPS, BATCH, RATE = 8, 1 << 20, 25, 16_384, 0.02
-#: Windows that a task counts at once.
+#: Windows that a task counts at once; rows of windows of a turn and shard, packed().
 HELD_WINDOWS = 1 << 20
+BUNDLES = "turn int, shard bigint, size bigint, codes binary, n binary"
 #: Precision of the normal prior of embeddings and output weights: what few windows don't support stays near 0.
 PRIOR = 10.0
 #: Partitions that shards are dealt to, at most; parts of the network that are averaged on their own; networks that are
@@ -120,15 +121,19 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("count"))
 
 
-def windows(docs: DataFrame, text_col: str, vocabulary: list[str], turns: int = 1) -> DataFrame:
+def windows(docs: DataFrame, text_col: str, vocabulary: list[str], turns: int = 1, shards: int = 0) -> DataFrame:
     """(turn, code, n): the tokens of all texts that are masked in the first so many turns, with their neighbours, and how
     often each occurs, counted over some HELD_WINDOWS of a partition at a time. code's digits to the base SYMBOLS are the
-    neighbours, leftmost first, and the token. In MASKED turns each token is masked once."""
+    neighbours, leftmost first, and the token. In MASKED turns each token is masked once. Of so many shards, if any, they come
+    in bundles."""
 
     def counted(found: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for turn, own in enumerate(found):
             codes, n = np.unique(np.concatenate(own), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), turn, np.int32)), pa.array(codes), pa.array(n.astype(np.int64))], ["turn", "code", "n"])
+            if shards:
+                yield bundles(turn, codes, n, shards)
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), turn, np.int32)), pa.array(codes), pa.array(n.astype(np.int64))], ["turn", "code", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = known_words(vocabulary)
@@ -150,12 +155,29 @@ def windows(docs: DataFrame, text_col: str, vocabulary: list[str], turns: int =
         if held:
             yield from counted(found)
 
-    return docs.select(text_col).mapInArrow(run, "turn int, code bigint, n bigint")
+    return docs.select(text_col).mapInArrow(run, BUNDLES if shards else "turn int, code bigint, n bigint")
+
+
+def shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
+    """pmod(xxhash64(code), shards), as Spark has it."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+    x = turned(codes.view(np.uint64) * p2, 31) * p1 ^ (np.uint64(42 + 8) + p5)
+    x = turned(x, 27) * p1 + p4
+    x ^= x >> np.uint64(33)
+    x *= p2
+    x ^= x >> np.uint64(29)
+    x *= p3
+    x ^= x >> np.uint64(32)
+    return np.mod(x.view(np.int64), shards)
 
 
 def packed(values: np.ndarray) -> bytes:
     """Integers as the compressed bytes of their differences, the lowest bytes of all first."""
-    steps = np.diff(values, prepend=values.dtype.type(0))
+    steps = np.diff(values, prepend=np.int64(0))
     return pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T), codec="zstd", asbytes=True)
 
 
@@ -164,38 +186,39 @@ def unpacked(data: pa.Buffer, size: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(steps.T).view(np.int64).ravel())
 
 
+def bundles(turn: int, codes: np.ndarray, n: np.ndarray, shards: int) -> pa.RecordBatch:
+    """A turn's windows, those of each shard in a row."""
+    own = shard_of(codes, shards)
+    order = np.argsort(own.astype(np.uint16) if shards <= 1 << 16 else own, kind="stable")
+    own, codes, n = own[order], codes[order], n[order]
+    starts = np.flatnonzero(np.diff(own, prepend=-1))
+    ends = [*starts[1:], len(own)] if len(own) else []
+    parts = list(zip(starts, ends, strict=True))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([turn] * len(parts), pa.int32()), pa.array(own[starts]), pa.array([hi - lo for lo, hi in parts], pa.int64()), *(pa.array([packed(x[lo:hi]) for lo, hi in parts], pa.binary()) for x in (codes, n))],
+        ["turn", "shard", "size", "codes", "n"],
+    )
+
+
+def shard_count(tokens: int) -> int:
+    return tokens // (MASKED * SHARD) + 1
+
+
 def deal(found: DataFrame, tokens: int) -> DataFrame:
-    """(turn, shard, size, codes, n): windows of a corpus of so many tokens, many in a row, cut, each shard in one partition and
-    its turns' rows together there. Up to PARTITIONS shards have a partition each; of more, shards follow each other in one."""
-    shards = tokens // (MASKED * SHARD) + 1
-    turn = F.col("turn") if "turn" in found.columns else F.lit(0)
-    shard = F.pmod(F.xxhash64("code"), F.lit(shards)).cast("long")
+    """Bundles of windows, or windows of a single turn, of a corpus of so many tokens, as bundles, cut, each shard in one
+    partition and its turns' rows together there. Up to PARTITIONS shards have a partition each; of more, shards follow each
+    other in one."""
+    shards = shard_count(tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-            own, codes, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(own if shards * MASKED > 1 << 16 else own.astype(np.uint16), kind="stable")
-            own, codes, n = own[order], codes[order], n[order]
-            ends = [*np.flatnonzero(np.diff(own, prepend=-1)), len(own)]
-            parts = [(int(own[lo]), hi - lo, packed(codes[lo:hi]), packed(n[lo:hi])) for lo, hi in zip(ends, ends[1:], strict=False)]
-            of, size, codes, n = zip(*parts, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array([x // shards for x in of], pa.int32()), pa.array([x % shards for x in of], pa.int64()), pa.array(size, pa.int64()), pa.array(codes, pa.binary()), pa.array(n, pa.binary())], ["turn", "shard", "size", "codes", "n"])
-
-        held, size = [], 0
         for batch in batches:
-            if batch.num_rows:
-                held.append([c.to_numpy() for c in batch.columns])
-                size += batch.num_rows
-            if size > HELD_WINDOWS:
-                yield rows(held)
-                held, size = [], 0
-        if held:
-            yield rows(held)
+            yield bundles(0, *(c.to_numpy() for c in batch.columns), shards)
 
+    if "code" in found.columns:
+        found = found.select("code", "n").mapInArrow(run, BUNDLES)
     parts = min(shards, PARTITIONS)
     own = (F.col("shard") % parts).cast("int")
-    rows = found.select((turn * F.lit(shards) + shard).alias("own"), "code", "n").mapInArrow(run, "turn int, shard bigint, size bigint, codes binary, n binary")
-    return cut(rows.repartitionById(parts, own).sortWithinPartitions("turn", "shard"))
+    return cut(found.repartitionById(parts, own).sortWithinPartitions("turn", "shard"))
 
 
 def digits(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -316,12 +339,13 @@ class Network:
             back[lo:hi] += d.T @ p["member"][k]
         back *= 1 - h * h
         grad["inner"] = back.sum(0)
+        pairs = back.view(np.result_type(back, 1j))  # complex numbers: as many sums in half the steps
         for k in range(len(PLACES)):
             of = context[k].astype(np.uint16)
             order = np.argsort(of, kind="stable")
             of = of[order]
             starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-            grad["near"][k][of[starts]] = np.add.reduceat(np.take(back, order, 0), starts)
+            grad["near"][k][of[starts]] = np.add.reduceat(np.take(pairs, order, 0), starts).view(back.dtype)
         return loss, grad
 
     def fit(self, codes: np.ndarray, n: np.ndarray, turn: int = 0) -> list[float]:
@@ -430,7 +454,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         totals[r["symbol"]] = r["n"]
     vocabulary, network = [r["word"] for r in counts], Network(totals)
     if tokens := int(totals.sum()):
-        dealt = deal(windows(docs, text_col, vocabulary, MASKED), tokens)
+        dealt = deal(windows(docs, text_col, vocabulary, MASKED, shard_count(tokens)), tokens)
         for turn, shards in sorted(dealt.groupBy("turn").agg(1 + F.max("shard")).collect()):
             network = trained(dealt.where(F.col("turn") == turn), network, turn, shards)
     return Model(vocabulary, network.rounded(), totals, words)

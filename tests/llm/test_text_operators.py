@@ -297,7 +297,7 @@ def test_windows_mask_every_text(spark):
     assert sum(want.values()) >= 2 + 6
 
 
-def test_every_token_is_trained_on(spark):
+def test_every_token_is_trained_on(spark, monkeypatch):
     """In MASKED turns each token of each text is masked once, and all turns are trained: whatever its hash, a text of a
     single word moves the network."""
     texts = ["a b a c d e f g h i j", "a b a c d e f g h i j", None, "", "b", "x " * 50]
@@ -318,7 +318,10 @@ def test_every_token_is_trained_on(spark):
         got[r["turn"], r["code"]] += r["n"]
     assert got == want and sum(got.values()) == 11 + 11 + 1 + 50
     dealt = Counter()
-    for r in lm.deal(found, sum(got.values())).collect():
+    monkeypatch.setattr(lm, "SHARD", 3)
+    bundles = lm.deal(lm.windows(docs, "text", voc, lm.MASKED, lm.shard_count(73)), 73).collect()
+    assert {r["shard"] for r in bundles} == {0, 1, 2, 3}
+    for r in bundles:
         for code, n in zip(lm.unpacked(pa.py_buffer(r["codes"]), r["size"]).tolist(), lm.unpacked(pa.py_buffer(r["n"]), r["size"]).tolist(), strict=True):
             dealt[r["turn"], code] += n
     assert dealt == want
