@@ -46,7 +46,7 @@ WINDOW = 2
 PLACES = [*range(-WINDOW, 0), *range(1, WINDOW + 1)]
 HIDDEN = 32
 #: Turns, in one of which each token is masked in training; distinct windows of a shard; its steps at least, their windows.
-MASKED, SHARD, STEPS, BATCH, RATE = 8, 1 << 20, 25, 16_384, 0.02
+MASKED, SHARD, STEPS, BATCH, RATE = 8, 1 << 20, 25, 4096, 0.02
 #: Windows that a task counts at once; rows of windows of a turn and shard, packed().
 HELD_WINDOWS = 1 << 20
 BUNDLES = "turn int, shard bigint, size bigint, codes binary, n binary"
