@@ -26,12 +26,12 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +40,7 @@ from .base import cut, pieces, shared_dir, ship
 #: Symbols: the text's edge, classes of rare words, frequent words; 2 048 in all, as groups of members.
 CLASSES, VOCABULARY = 127, 1920
 SYMBOLS = 1 + CLASSES + VOCABULARY
+BITS = SYMBOLS.bit_length() - 1
 GROUPS, MEMBERS = 32, 64
 #: Neighbours on either side, and the places of all, counted from the token.
 WINDOW = 2
@@ -50,6 +51,8 @@ MASKED, SHARD, STEPS, BATCH, RATE = 8, 1 << 20, 25, 4096, 0.02
 #: Windows that a task counts at once; rows of windows of a turn and shard, packed().
 HELD_WINDOWS = 1 << 20
 BUNDLES = "turn int, shard bigint, size bigint, codes binary, n binary"
+#: Numbers of the network that a step changes at once; tokens that are scored at once.
+PART, AT_ONCE = 1 << 15, 4096
 #: Precision of the normal prior of embeddings and output weights: what few windows don't support stays near 0.
 PRIOR = 10.0
 #: Partitions that shards are dealt to, at most; parts of the network that are averaged on their own; networks that are
@@ -63,60 +66,100 @@ HEAD, LONGEST = 50_000, 64
 UNIT, GRAIN = 2.0**-32, 2.0**-24
 
 
-def known_words(vocabulary: list[str]) -> dict[bytes, int]:
-    """Symbols of the vocabulary, which follow the classes."""
-    return {w.encode(): 1 + CLASSES + i for i, w in enumerate(vocabulary)}
+def crc_table() -> np.ndarray:
+    """What a byte does to a CRC-32."""
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = c >> np.uint32(1) ^ np.uint32(0xEDB88320) * (c & np.uint32(1))
+    return c
+
+
+CRC = crc_table()
 
 
 def symbol_of(vocabulary: list[str]) -> Callable[[bytes], int]:
     """Symbol of a lower-case word: edge 0, classes 1..CLASSES, then the vocabulary."""
-    known = known_words(vocabulary)
+    known = {w.encode(): 1 + CLASSES + i for i, w in enumerate(vocabulary)}
     return lambda w: known.get(w) or 1 + zlib.crc32(w) % CLASSES
 
 
-def codes_of(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """Of each word what is known of it, or else its class. Words that are not known are not remembered: there is no end
-    of them, and their hash is soon taken."""
-    get, crc = known.get, zlib.crc32
-    return np.array([get(w) or 1 + crc(w) % CLASSES for w in words], np.int64)
-
-
-def symbols(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """A text's symbols between WINDOW edges on either side."""
-    out = np.zeros(len(words) + 2 * WINDOW, np.int64)
-    out[WINDOW : WINDOW + len(words)] = codes_of(words, known)
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row, A-Z lowered, split at ASCII white space; how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, counts = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    empty = pc.binary_length(words).to_numpy(zero_copy_only=False) == 0  # beside white space at a text's ends
+    if empty.any():
+        counts -= np.bincount(np.searchsorted(np.cumsum(counts), np.flatnonzero(empty), "right"), minlength=len(counts))
+        words = words.filter(pa.array(~empty))
+    return words, counts
+
+
+def crc32(words: pa.Array) -> np.ndarray:
+    """CRC-32 of each word of an array that is no slice: a byte of all words at a time, longest words first; words of more
+    than LONGEST bytes on their own."""
+    size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    if not size.any():
+        return np.zeros(len(size), np.uint32)
+    data, start = np.frombuffer(words.buffers()[2], np.uint8), np.cumsum(size) - size
+    order = np.argsort((LONGEST + 1 - np.minimum(size, LONGEST + 1)).astype(np.uint8), kind="stable")
+    own, at, live = np.full(len(size), 0xFFFFFFFF, np.uint32), start[order], len(size) - np.cumsum(np.bincount(np.minimum(size, LONGEST + 1)))
+    alone = live[LONGEST] if len(live) > LONGEST else 0
+    for k, end in enumerate(live[:LONGEST].tolist()):
+        # live[k] words have a byte at place k.
+        now = own[alone:end]
+        low = (now ^ data[at[alone:end] + k]) & np.uint32(0xFF)
+        now >>= np.uint32(8)
+        now ^= np.take(CRC, low)
+    out = np.empty(len(size), np.uint32)
+    out[order] = ~own
+    for i in order[:alone].tolist():
+        out[i] = zlib.crc32(data[start[i] : start[i] + size[i]])
     return out
 
 
-def words_of(text: pa.Scalar) -> tuple[bytes, list[bytes]]:
-    """A text's bytes and its words: A-Z lowered, split at ASCII white space."""
-    raw = t.encode() if (t := text.as_py()) else b""
-    return raw, raw.lower().split()
+def symbols(words: pa.Array, known: pa.Array, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word its place in known, or -1, and its symbol: that of its place, or else its class."""
+    place = pc.fill_null(pc.index_in(words, value_set=known.cast(words.type)), -1).to_numpy(zero_copy_only=False)
+    out, other = np.take(np.append(of, 0), place, mode="wrap"), np.flatnonzero(place < 0)
+    out[other] = 1 + crc32(words.take(pa.array(other))) % CLASSES
+    return place, out
 
 
-def strings(words: list[bytes]) -> pa.Array:
-    return pa.array(words, pa.binary()).cast(pa.string())
+def around(own: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The neighbours of each symbol of texts of so many, a row for each place, edges beyond a text's ends; each one's text."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    at = np.arange(len(own)) + WINDOW * (1 + row)
+    s = np.zeros(len(own) + WINDOW * (1 + len(counts)), np.int64)
+    s[at] = own
+    return np.stack([np.take(s, at + k) for k in PLACES]), row
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """(word, count) over all texts. A task counts HELD_WORDS distinct words, or HELD_BYTES of text, at a time; Spark adds
     its counts up before it shuffles them."""
 
-    def counted(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([strings(list(counts)), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+    def merged(held: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+        words = pa.concat_arrays([w for w, _ in held]).dictionary_encode()
+        n = np.bincount(words.indices.to_numpy(), np.concatenate([n for _, n in held]), len(words.dictionary))
+        return words.dictionary, n.astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held = Counter(), 0
+        def counted() -> pa.RecordBatch:
+            words, n = merged(held) if len(held) > 1 else held[0]
+            return pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(n)], ["word", "n"])
+
+        held, size = [], 0
         for batch in pieces(batches, 512):
-            for text in batch.column(0):
-                raw, words = words_of(text)
-                counts.update(words)
-                held += len(raw)
-            if len(counts) > HELD_WORDS or held > HELD_BYTES:
-                yield counted(counts)
-                counts, held = Counter(), 0
-        if counts:
-            yield counted(counts)
+            words, n = split(batch.column(0))[0].value_counts().flatten()
+            held.append((words, n.to_numpy()))
+            size += batch.nbytes
+            if sum(len(n) for _, n in held) > HELD_WORDS:
+                held = [merged(held)]
+            if len(held[0][0]) > HELD_WORDS or size > HELD_BYTES:
+                yield counted()
+                held, size = [], 0
+        if held:
+            yield counted()
 
     return docs.select(text_col).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("count"))
 
@@ -136,22 +179,25 @@ def windows(docs: DataFrame, text_col: str, vocabulary: list[str], turns: int =
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), turn, np.int32)), pa.array(codes), pa.array(n.astype(np.int64))], ["turn", "code", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = known_words(vocabulary)
+        known, of = pa.array(vocabulary, pa.string()), 1 + CLASSES + np.arange(len(vocabulary))
         found, held = [[] for _ in range(turns)], 0
         for batch in pieces(batches, 512):
-            for text in batch.column(0):
-                raw, words = words_of(text)
-                s, first = symbols(words, known), zlib.crc32(raw) % MASKED
-                code = np.zeros(len(words), np.int64)
-                for k in [*PLACES, 0]:
-                    code *= SYMBOLS
-                    code += s[WINDOW + k : WINDOW + k + len(words)]
-                for turn, own in enumerate(found):
-                    own.append(code[(first + turn) % MASKED :: MASKED])
-                held += len(code)
-                if held > HELD_WINDOWS:
-                    yield from counted(found)
-                    found, held = [[] for _ in range(turns)], 0
+            words, counts = split(batch.column(0))
+            token = symbols(words, known, of)[1]
+            near, row = around(token, counts)
+            code = np.zeros(len(token), np.int64)
+            for digit in [*near, token]:
+                code <<= BITS
+                code += digit
+            # A token's place in its text, less that of the first that is masked.
+            first = np.array([zlib.crc32(t.as_buffer()) % MASKED if t.is_valid else 0 for t in batch.column(0)], np.int64)
+            masked = ((np.arange(len(token)) - (np.cumsum(counts) - counts + first)[row]) % MASKED).astype(np.uint8)
+            for turn, own in enumerate(found):
+                own.append(code[masked == turn])
+            held += len(code)
+            if held > HELD_WINDOWS:
+                yield from counted(found)
+                found, held = [[] for _ in range(turns)], 0
         if held:
             yield from counted(found)
 
@@ -223,18 +269,55 @@ def deal(found: DataFrame, tokens: int) -> DataFrame:
 
 def digits(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Neighbours, a row for each place, and tokens of window codes."""
-    return np.stack([codes // SYMBOLS ** (len(PLACES) - k) % SYMBOLS for k in range(len(PLACES))]), codes % SYMBOLS
+    return np.stack([codes >> BITS * (len(PLACES) - k) & SYMBOLS - 1 for k in range(len(PLACES))]), codes & SYMBOLS - 1
 
 
-def softmax(z: np.ndarray, own: np.ndarray, small: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """log p of each column's own row, and the columns' sums of the exponentials that z then holds. Values known to be small
-    need no shift. A column is summed from the first row to the last, a single one (which would be summed by pairs) too."""
+def softmax(z: np.ndarray, own: np.ndarray, small: bool) -> np.ndarray:
+    """log p of each column's own row; z then holds the exponentials. Values known to be small need no shift. A column is
+    summed from the first row to the last, a single one (which would be summed by pairs) too."""
     if not small:
         z -= np.maximum.reduce(z, 0)
     told = z[own, np.arange(z.shape[1])]
     np.exp(z, out=z)
     total = np.add.reduce(z, 0) if z.shape[1] > 1 else np.add.reduce(np.repeat(z, 2, 1), 0)[:1]
-    return told - np.log(total), total
+    return told - np.log(total)
+
+
+def slopes(z: np.ndarray, own: np.ndarray, weight: np.ndarray, small: bool) -> float:
+    """The weighted sum of log p of each row's own column under the softmax of the row, which z then holds the slopes of: of
+    the sum's negative by the row's values."""
+    if not small:
+        z -= np.maximum.reduce(z, 1, keepdims=True)
+    rows = np.arange(len(own))
+    told = z[rows, own]
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], z.dtype)
+    z *= (weight / total)[:, None]
+    z[rows, own] -= weight
+    return float(weight @ (told - np.log(total)))
+
+
+def descend(flat: np.ndarray, slope: np.ndarray, first: np.ndarray, second: np.ndarray, pulls: list[tuple[int, int, float]], rate: float) -> None:
+    """A step of Adam down slope, which is overwritten, rate corrected already. first and second are sums of slopes and of
+    their squares that fade by 0.9 and 0.99 a step: ten and a hundred times the usual means. pulls are first and last place
+    and prior of each stretch; it is taken in parts, that are small enough to stay in the processor's cache between operations."""
+    spare = np.empty(min(PART, len(flat)), flat.dtype)
+    for start, end, pull in pulls:
+        for lo in range(start, end, PART):
+            own = slice(lo, min(lo + PART, end))
+            w, g, m, v = flat[own], slope[own], first[own], second[own]
+            if pull:
+                g += np.multiply(w, pull, out=spare[: len(w)])
+            m *= 0.9
+            m += g
+            g *= g
+            v *= 0.99
+            v += g
+            np.sqrt(v, out=g)
+            g += 1e-8
+            np.divide(m, g, out=g)
+            g *= rate
+            w -= g
 
 
 def by_group(token: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -244,6 +327,18 @@ def by_group(token: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]
     return np.argsort(g, kind="stable"), [(k, ends[k], ends[k + 1]) for k in range(GROUPS) if ends[k] < ends[k + 1]]
 
 
+class Room(NamedTuple):
+    """Arrays that one step after the other works in."""
+
+    flat: np.ndarray  # the gradient
+    grad: dict[str, np.ndarray]  # its parts
+    hidden: np.ndarray
+    back: np.ndarray
+    spare: np.ndarray
+    group: np.ndarray
+    member: np.ndarray
+
+
 class Network:
     def __init__(self, totals: np.ndarray, seed: int = 11):
         """A network whose output biases are those of symbols that occur so often."""
@@ -262,18 +357,23 @@ class Network:
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.parts.values()])
 
-    def take(self, flat: np.ndarray) -> Network:
-        """This network with other numbers."""
-        out, at = object.__new__(Network), 0
-        out.parts = {}
+    def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """Its numbers in the shapes of the parts."""
+        out, at = {}, 0
         for k, v in self.parts.items():
-            out.parts[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
+            out[k] = flat[at : at + v.size].reshape(v.shape)
             at += v.size
         return out
 
+    def take(self, flat: np.ndarray) -> Network:
+        """This network with other numbers."""
+        out = object.__new__(Network)
+        out.parts = {k: v.astype(np.float32) for k, v in self.views(flat).items()}
+        return out
+
     def rounded(self) -> Network:
         """Output weights in units of 2^-7, below 8; hidden values are taken in units of 2^-6 and biases of 2^-13. A sum
-        of HIDDEN products has 21 bits then, and is exact."""
+        of HIDDEN products and a bias has 22 bits then, and is exact."""
         out = self.take(self.flat())
         for k in ("group", "member"):
             out.parts[k] = np.clip(np.round(out.parts[k] * 128) / 128, -7.9375, 7.9375)
@@ -282,14 +382,15 @@ class Network:
 
     def small(self) -> bool:
         """Whether no softmax of this network needs a shift."""
-        p = self.parts
-        return all(np.abs(p[k]).sum(-1).max() + np.abs(p[k + "_bias"]).max() < 60 for k in ("group", "member"))
+        p, ones = self.parts, np.ones(HIDDEN, np.float32)
+        return all((np.abs(p[k]) @ ones).max() + np.abs(p[k + "_bias"]).max() < 60 for k in ("group", "member"))
 
-    def hidden(self, context: np.ndarray) -> np.ndarray:
+    def hidden(self, context: np.ndarray, h: np.ndarray | None = None, spare: np.ndarray | None = None) -> np.ndarray:
+        """The hidden values, in h if given."""
         near = self.parts["near"]
-        h = np.take(near[0], context[0], 0)
+        h = np.take(near[0], context[0], 0, out=h, mode="clip")
         for k in range(1, len(PLACES)):
-            h += np.take(near[k], context[k], 0)
+            h += np.take(near[k], context[k], 0, out=spare, mode="clip")
         h += self.parts["inner"]
         return np.tanh(h, out=h)
 
@@ -297,55 +398,67 @@ class Network:
         """log p of each token between its neighbours; of a rounded network the same in any batch."""
         p, out = self.parts, np.empty(len(token), np.float32)
         small = self.small()
-        for start in range(0, len(token), 16_384):
-            order, groups = by_group(token[start : start + 16_384])
-            t = token[start : start + 16_384][order]
-            h = self.hidden(context[:, start : start + 16_384][:, order])
-            h *= 64
-            np.rint(h, out=h)
-            h /= 64
-            z = p["group"] @ h.T
-            z += p["group_bias"][:, None]
-            told = softmax(z, t // MEMBERS, small)[0]
+        # Biases as weights of a value that is always 1.
+        group, member = (np.concatenate([p[k], p[k + "_bias"][..., None]], -1) for k in ("group", "member"))
+        h = None
+        for start in range(0, len(token), AT_ONCE):
+            order, groups = by_group(token[start : start + AT_ONCE])
+            t = token[start : start + AT_ONCE][order]
+            if h is None or len(h) != len(t):
+                h, g, z = np.ones((len(t), HIDDEN + 1), np.float32), *(np.empty((n, len(t)), np.float32) for n in (GROUPS, MEMBERS))
+                own, spare = np.empty((2, len(t), HIDDEN), np.float32)
+            self.hidden(np.take(context[:, start : start + AT_ONCE], order, 1), own, spare)
+            own *= 64
+            np.rint(own, out=own)
+            np.multiply(own, 1 / 64, out=h[:, :HIDDEN])
+            told = softmax(np.matmul(group, h.T, out=g), t // MEMBERS, small)
             for k, lo, hi in groups:
-                z = p["member"][k] @ h[lo:hi].T
-                z += p["member_bias"][k][:, None]
-                told[lo:hi] += softmax(z, t[lo:hi] % MEMBERS, small)[0]
-            out[start + order] = told
+                np.matmul(member[k], h[lo:hi].T, out=z[:, lo:hi])
+            out[start + order] = told + softmax(z, t % MEMBERS, small)
         return out
 
-    def gradient(self, context: np.ndarray, token: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """The weighted sum of negative log p, and its gradient."""
-        p, grad = self.parts, {k: np.zeros_like(v) for k, v in self.parts.items()}
+    def room(self, size: int) -> Room:
+        kind = self.parts["near"].dtype
+        flat = np.empty(sum(v.size for v in self.parts.values()), kind)
+        return Room(flat, self.views(flat), *(np.empty((size, n), kind) for n in (HIDDEN, HIDDEN, HIDDEN, GROUPS, MEMBERS)))
+
+    def gradient(self, context: np.ndarray, token: np.ndarray, weight: np.ndarray, room: Room | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """The weighted sum of negative log p, and its gradient, in room if given."""
+        p, (_, grad, h, back, spare, g, z) = self.parts, room or self.room(len(token))
         small, (order, groups) = self.small(), by_group(token)
         context, token, weight = np.take(context, order, 1), token[order], weight[order]
-        h, g, rows = self.hidden(context), token // MEMBERS, np.arange(len(token))
-        d = p["group"] @ h.T
-        d += p["group_bias"][:, None]
-        told, total = softmax(d, g, small)
-        loss = -float(weight @ told)
-        d *= weight / total
-        d[g, rows] -= weight
-        grad["group"], grad["group_bias"], back = d @ h, d.sum(1), d.T @ p["group"]
+        self.hidden(context, h, spare)
+        ones = np.ones(len(token), h.dtype)  # products with it are sums
+        np.matmul(h, p["group"].T, out=g)
+        g += p["group_bias"]
+        loss = -slopes(g, token // MEMBERS, weight, small)
+        np.matmul(g.T, h, out=grad["group"])
+        np.matmul(ones, g, out=grad["group_bias"])
+        np.matmul(g, p["group"], out=back)
+        for k, lo, hi in groups:
+            own = np.matmul(h[lo:hi], p["member"][k].T, out=z[lo:hi])
+            own += p["member_bias"][k]
+        loss -= slopes(z, token % MEMBERS, weight, small)
+        if len(groups) < GROUPS:
+            grad["member"][:], grad["member_bias"][:] = 0, 0
         for k, lo, hi in groups:
-            m, w = token[lo:hi] % MEMBERS, weight[lo:hi]
-            d = p["member"][k] @ h[lo:hi].T
-            d += p["member_bias"][k][:, None]
-            told, total = softmax(d, m, small)
-            loss -= float(w @ told)
-            d *= w / total
-            d[m, rows[: hi - lo]] -= w
-            grad["member"][k], grad["member_bias"][k] = d @ h[lo:hi], d.sum(1)
-            back[lo:hi] += d.T @ p["member"][k]
-        back *= 1 - h * h
-        grad["inner"] = back.sum(0)
+            own = z[lo:hi]
+            np.matmul(own.T, h[lo:hi], out=grad["member"][k])
+            np.matmul(ones[lo:hi], own, out=grad["member_bias"][k])
+            np.matmul(own, p["member"][k], out=spare[lo:hi])
+        back += spare
+        h *= h
+        back *= np.subtract(1, h, out=h)
+        np.matmul(ones, back, out=grad["inner"])
+        grad["near"][:] = 0
         pairs = back.view(np.result_type(back, 1j))  # complex numbers: as many sums in half the steps
+        held = spare.view(pairs.dtype)
         for k in range(len(PLACES)):
             of = context[k].astype(np.uint16)
             order = np.argsort(of, kind="stable")
             of = of[order]
             starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-            grad["near"][k][of[starts]] = np.add.reduceat(np.take(pairs, order, 0), starts).view(back.dtype)
+            grad["near"][k][of[starts]] = np.add.reduceat(np.take(pairs, order, 0, out=held, mode="clip"), starts).view(back.dtype)
         return loss, grad
 
     def fit(self, codes: np.ndarray, n: np.ndarray, turn: int = 0) -> list[float]:
@@ -353,29 +466,19 @@ class Network:
         The rate falls from turn to turn."""
         size = min(BATCH, len(codes))
         steps = max(STEPS, -(-len(codes) // size))
-        first, second = ({k: np.zeros_like(v) for k, v in self.parts.items()} for _ in range(2))
+        flat, room = self.flat(), self.room(size)
+        self.parts = self.views(flat)
+        ends, pull = np.cumsum([0, *(v.size for v in self.parts.values())]).tolist(), PRIOR / float(n.sum())
+        pulls = [(lo, hi, 0 if "bias" in k or k == "inner" else pull) for k, lo, hi in zip(self.parts, ends, ends[1:])]
+        first, second = np.zeros_like(flat), np.zeros_like(flat)
         losses, at = [], 0
         for step in range(1, steps + 1):
             part = np.arange(at, at + size) % len(codes)
             at = (at + size) % len(codes)
             context, token = digits(codes[part])
-            loss, grad = self.gradient(context, token, (n[part] / n[part].sum()).astype(np.float32))
-            losses.append(loss)
+            losses.append(self.gradient(context, token, (n[part] / n[part].sum()).astype(np.float32), room)[0])
             rate = RATE * (1 - 0.95 * (turn + step / steps) / MASKED)
-            for k, value in grad.items():
-                if "bias" not in k and k != "inner":
-                    value += np.float32(PRIOR / n.sum()) * self.parts[k]
-                first[k] *= 0.9
-                first[k] += 0.1 * value
-                value *= value
-                value *= 0.01
-                second[k] *= 0.99
-                second[k] += value
-                np.sqrt(second[k], out=value)
-                value += 1e-9
-                np.divide(first[k], value, out=value)
-                value *= rate * math.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-                self.parts[k] -= value
+            descend(flat, room.flat, first, second, pulls, rate * math.sqrt(1 - 0.99**step) / (1 - 0.9**step))
         return losses
 
 
@@ -485,39 +588,30 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     ship(docs.sparkSession)
     common = (F.col("count") >= least_of_head(model.words)) & (F.octet_length("word") <= LONGEST)
-    head = {r["word"].encode(): r["count"] for r in model.words.where(common).collect()}
+    head = {r["word"]: r["count"] for r in model.words.where(common).collect()}
     for w in model.vocabulary:
-        head.pop(w.encode(), None)
+        head.pop(w, None)
     # Of each class log(1 + total), in units; 0 for the edge and the vocabulary, whose words are symbols.
     below = np.zeros(SYMBOLS, np.int64)
     below[1 : 1 + CLASSES] = np.round(np.log1p(model.totals[1 : 1 + CLASSES]) / UNIT)
-    held = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.network, head, below))
+    # Of each known word its symbol and log(count), in units; 0 for the vocabulary, and at the end for other words.
+    known, of = [*model.vocabulary, *head], map(symbol_of(model.vocabulary), (w.encode() for w in [*model.vocabulary, *head]))
+    above = [*[0] * len(model.vocabulary), *(round(math.log(n) / UNIT) for n in head.values()), 0]
+    held = docs.sparkSession.sparkContext.broadcast((pa.array(known, pa.string()), np.array([*of], np.int64), np.array(above, np.int64), below, model.network))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, network, head, below = held.value
-        known = known_words(vocabulary)
-        known |= {w: i * SYMBOLS + 1 + zlib.crc32(w) % CLASSES for i, w in enumerate(head, 1)}
-        above = np.array([0, *(round(math.log(n) / UNIT) for n in head.values())], np.int64)
+        known, of, above, below, network = held.value
+
+        def by_row(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+            return np.diff(np.append(0, np.cumsum(values))[ends])
+
         for batch in pieces(batches, 512):
-            counts, tokens, context, inside, rest, upto = [], [], [], [], [], [0]
-            for text in batch.column(2):
-                _, words = words_of(text)
-                code = codes_of(words, known)
-                s = np.zeros(len(words) + 2 * WINDOW, np.int64)
-                s[WINDOW : WINDOW + len(words)] = code % SYMBOLS
-                at, own = code // SYMBOLS, s[WINDOW : WINDOW + len(words)]
-                counts.append(len(words))
-                tokens.append(own)
-                context.append(np.stack([s[WINDOW + k : WINDOW + k + len(words)] for k in PLACES]))
-                inside.append(int(above[at].sum() - below[own].sum()))
-                rest += [words[i] for i in np.flatnonzero((at == 0) & (own <= CLASSES)).tolist()]
-                upto.append(len(rest))
-            if not counts:
-                continue
-            p = np.round(network.log_p(np.concatenate(context, 1), np.concatenate(tokens)).astype(np.float64) / GRAIN).astype(np.int64)
-            ends = np.cumsum([0, *counts])
-            sums = np.diff(np.concatenate([[0], np.cumsum(p)])[ends]) * GRAIN
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(sums, pa.float64()), pa.array(inside, pa.int64()), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), strings(rest))], ["row", id_col, "n_tokens", "symbols", "inside", "rest"])
+            words, counts = split(batch.column(2))
+            at, token = symbols(words, known, of)
+            ends, other = np.append(0, np.cumsum(counts)), at < 0
+            p = np.round(network.log_p(around(token, counts)[0], token).astype(np.float64) / GRAIN).astype(np.int64)
+            rest = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(other))[ends], pa.int32()), words.filter(pa.array(other)).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), pa.array(by_row(p, ends) * GRAIN), pa.array(by_row(above[at] - below[token], ends)), rest], ["row", id_col, "n_tokens", "symbols", "inside", "rest"])
 
     # Written once, so that a row's number is the same on both sides of the join.
     kind, path, row = docs.schema[id_col].dataType.simpleString(), scratch(docs), F.monotonically_increasing_id().alias("row")

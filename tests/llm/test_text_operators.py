@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import sys
 import textwrap
 import zlib
 from collections import Counter
@@ -330,6 +331,58 @@ def test_every_token_is_trained_on(spark, monkeypatch):
         assert not np.allclose(model.network.flat(), lm.Network(model.totals).rounded().flat(), atol=1e-2)
 
 
+def test_words_and_their_symbols():
+    """Words, checksums and symbols that are found for a whole batch at once, against one text and word at a time."""
+    texts = pa.array([None, "", " ", " a  B\tc ", "É x\x0by\x1cz q", "x" * 200 + " y", None, "d" * 63 + " " + "e" * 64 + " " + "f" * 65], pa.string())
+    voc = ["a", "q", "é"]
+    of = lm.symbol_of(voc)
+    for own in (texts, texts.slice(1), texts.slice(3, 2), texts.slice(0, 3), texts.cast(pa.large_string())):
+        want = [(t.as_py() or "").encode().lower().split() for t in own]
+        words, counts = lm.split(own)
+        assert [w.encode() for w in words.to_pylist()] == [w for ws in want for w in ws] and counts.tolist() == [len(ws) for ws in want]
+        place, found = lm.symbols(words, pa.array(voc), 1 + lm.CLASSES + np.arange(3))
+        assert found.tolist() == [of(w) for ws in want for w in ws] and ((place < 0) == (found <= lm.CLASSES)).all()
+        assert lm.crc32(words.take(pa.array(range(len(words)), pa.int64()))).tolist() == [zlib.crc32(w) for ws in want for w in ws]
+
+
+def test_no_call_for_each_word(spark):
+    """Counting words and finding windows are steps over batches: they make fewer calls than there are words."""
+
+    class Caught:
+        def mapInArrow(self, run, _):
+            self.run = run
+            return self
+
+        select = groupBy = agg = lambda self, *_: self
+
+    draw = random.Random(3)
+    texts = pa.array([" ".join(f"w{int(draw.paretovariate(0.6)) % 5000}" for _ in range(500)) for _ in range(40)])
+    docs, made = Caught(), Counter()
+    for call in (lambda: lm.word_counts(docs, "text"), lambda: lm.windows(docs, "text", [f"w{k}" for k in range(300)], lm.MASKED, 2)):
+        call()
+        made.clear()
+        sys.setprofile(lambda _, event, __: made.update([event]))
+        rows = list(docs.run(iter([pa.RecordBatch.from_arrays([texts], ["text"])])))
+        sys.setprofile(None)
+        assert rows and made["call"] + made["c_call"] < 20_000 / 4
+
+
+def test_a_step_is_adams(monkeypatch):
+    """Against Adam as it is written, in parts that don't divide the stretches, one of which has a prior."""
+    monkeypatch.setattr(lm, "PART", 7)
+    draw = np.random.default_rng(9)
+    flat = draw.normal(size=30)
+    want, m, v, first, second = flat.copy(), 0.0, 0.0, np.zeros(30), np.zeros(30)
+    pull = np.where(np.arange(30) < 20, 0.3, 0)
+    for step in range(1, 6):
+        slope = draw.normal(size=30)
+        g = slope + pull * want
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        want -= 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9 / np.sqrt(1 - 0.99**step))
+        lm.descend(flat, slope, first, second, [(0, 20, 0.3), (20, 30, 0)], 0.02 * np.sqrt(1 - 0.99**step) / (1 - 0.9**step))
+        assert np.allclose(flat, want, rtol=1e-12, atol=1e-12)
+
+
 def test_shards_are_trained_apart_and_averaged(spark, monkeypatch):
     """Against training them one after the other, however the windows are split."""
     draw = np.random.default_rng(6)
