@@ -52,7 +52,7 @@ MASKED, SHARD, STEPS, BATCH, RATE = 8, 1 << 20, 25, 4096, 0.02
 HELD_WINDOWS = 1 << 20
 BUNDLES = "turn int, shard bigint, size bigint, codes binary, n binary"
 #: Numbers of the network that a step changes at once; tokens that are scored at once.
-PART, AT_ONCE = 1 << 15, 4096
+PART, AT_ONCE = 1 << 15, 16_384
 #: Precision of the normal prior of embeddings and output weights: what few windows don't support stays near 0.
 PRIOR = 10.0
 #: Partitions that shards are dealt to, at most; parts of the network that are averaged on their own; networks that are
